@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import chat, ordermin, ppm, quality, rankbpe, sharding, tokencount
+from gridlake.llm import chat, ordermin, pii, ppm, quality, rankbpe, sharding, tokencount
 from gridlake.llm.common import documents
 from gridlake.llm.packing import Bins, pack_documents
 
@@ -41,6 +41,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 40)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir), audit=True).drop("failed_rule")
 
@@ -60,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_best_fit_packing, op5_order_minhash, op6_sharding, op8_quality_rules, op9_bpe_codec, op10_language_id)
+    f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_best_fit_packing, op5_order_minhash, op6_sharding, op7_pii, op8_quality_rules, op9_bpe_codec, op10_language_id)
 }
 SQL: dict[str, str] = {}
 
