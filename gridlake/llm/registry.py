@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import chat, ordermin, pii, ppm, quality, rankbpe, sharding, tokencount
+from gridlake.llm import chat, ngramjoin, ordermin, pii, ppm, quality, rankbpe, sharding, tokencount
 from gridlake.llm.common import documents
 from gridlake.llm.packing import Bins, pack_documents
 
@@ -33,6 +33,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), Bins(2048))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_documents(documents(spark, sf_dir), shingle=4, threshold=85)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprint_documents(documents(spark, sf_dir))
 
@@ -65,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_best_fit_packing, op5_order_minhash, op6_sharding, op7_pii, op8_quality_rules, op9_bpe_codec, op10_language_id)
+    f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_best_fit_packing, op4_ngram_jaccard, op5_order_minhash, op6_sharding, op7_pii, op8_quality_rules, op9_bpe_codec, op10_language_id)
 }
 SQL: dict[str, str] = {}
 
