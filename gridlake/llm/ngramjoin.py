@@ -28,10 +28,10 @@ from gridlake.llm.common import slices, small_batches, text_bytes, written
 from gridlake.llm.components import components, forest
 from gridlake.llm.scan import gram_hashes, mix, span_hashes, words
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 ORDERS = 3
 #: Tokens a range of hashes holds, tokens and sets a block holds.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 1_000_000
 BLOCK_TOKENS = 2_000_000
 BLOCK_SETS = 1000
 DENSE = 32
@@ -268,9 +268,9 @@ def link_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_co
 
     Two texts link when 100 * intersection >= threshold * union of their sets of distinct shingles of words
     [^\\x20\\x09-\\x0D]+, A-Z lower-cased. A null text, or one without words, has an empty set and links with
-    nothing, so its component is its own id. Texts with equal sets link, repeated rows too. Rows with a null
-    id are kept and count as the smallest of ids only if all ids of a component are null. Other columns are
-    not read; no rows give no rows.
+    nothing, so its component is its own id. Texts with equal sets link, repeated rows too. A row with a null
+    id gets the component of its equals; one without equals that have an id has none and links with nothing.
+    Other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
