@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import small_batches
+from gridlake.llm.common import small_batches, tidy
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings that chat templates in use give a meaning to.
@@ -153,7 +153,7 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
                 masks.append([{"from": a, "to": b} for a, b in mask])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(masks, pa.list_(span))], names=[id_col, "fingerprint", "layout", "formatted", "mask"])
 
-    return records.select(id_col, record_col).mapInArrow(run, schema)
+    return records.select(id_col, record_col).mapInArrow(tidy(run), schema)
 
 
 def records_from_rows(rows: DataFrame) -> DataFrame:
@@ -181,4 +181,4 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
             n, turns_sha, chars, loss_sha, total = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(turns_sha, pa.string()), pa.array(chars, pa.int64()), pa.array(loss_sha, pa.string()), pa.array(total, pa.int64()), batch.column(3), batch.column(4)], names=[id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "layout", "fingerprint"])
 
-    return formatted.select(id_col, "formatted", "mask", "layout", "fingerprint").mapInArrow(run, schema)
+    return formatted.select(id_col, "formatted", "mask", "layout", "fingerprint").mapInArrow(tidy(run), schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +49,42 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def _release() -> None:
+    """Give freed memory back: Python workers live on after their tasks, and so would what they held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run):
+    """run, a function of batches for mapInArrow, with its memory released after each task."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for a function of one table for applyInArrow."""
+
+    @functools.wraps(run)
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _release()
+
+    return tidied
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:
     """Add a gapless number from 0 within each value of keys, without gathering a key in one task.
 

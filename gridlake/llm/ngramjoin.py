@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import slices, small_batches, text_bytes, written
+from gridlake.llm.common import slices, small_batches, text_bytes, tidy, tidy_group, written
 from gridlake.llm.components import components, forest
 from gridlake.llm.scan import gram_hashes, mix, span_hashes, words
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 ORDERS = 3
 #: Tokens a range of hashes holds, tokens and sets a block holds.
 RANGE_TOKENS = 1_000_000
@@ -85,7 +85,7 @@ def _sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 key, more = fingerprints(grams, at)
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(np.diff(at).astype(np.int64)), pa.array(key), pa.array(more)], names=[id_col, "n", "key", "more"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, key long, more long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"{id_col} {kind}, n long, key long, more long")
 
 
 def _packed(reps: DataFrame, n: int, ranges: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _packed(reps: DataFrame, n: int, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "keys", "sizes", "counts", "low", "high"])
                 chunk += 1
 
-    return reps.select("text").mapInArrow(run, "range int, chunk long, keys binary, sizes binary, counts binary, low binary, high binary")
+    return reps.select("text").mapInArrow(tidy(run), "range int, chunk long, keys binary, sizes binary, counts binary, low binary, high binary")
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -281,9 +281,9 @@ def link_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_co
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = int(min(60_000, max(parts, -(-total // RANGE_TOKENS))))
     one = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(classes.select("rep").distinct(), "rep", "left_semi")
-    shared = _packed(one, shingle, ranges).groupBy("range").applyInArrow(_count, "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
+    shared = _packed(one, shingle, ranges).groupBy("range").applyInArrow(tidy_group(_count), "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
     kinds = "key long, n long, prefix array<bigint>, tokens binary, flags binary"
-    active = written(shared.groupBy("chunk").applyInArrow(_prefixes(threshold), kinds), "active")
+    active = written(shared.groupBy("chunk").applyInArrow(tidy_group(_prefixes(threshold)), kinds), "active")
     # the smallest key of each prefix token, and an edge from it to every other
     posting = active.select("key", F.explode("prefix").alias("token"))
     hub = posting.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("__top")).where("hub <> __top").select("token", "hub")
@@ -303,7 +303,7 @@ def link_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_co
         ).alias("bin"),
         "group", "key", "n", "tokens", "flags",
     )
-    links = dealt.groupBy("bin").applyInArrow(_verify(threshold), "a long, b long")
+    links = dealt.groupBy("bin").applyInArrow(tidy_group(_verify(threshold)), "a long, b long")
     joined = components(links)
     # by class: the smallest representative in its component
     labels = classes.join(joined.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import rank_within, slices, small_batches, written
+from gridlake.llm.common import rank_within, slices, small_batches, tidy, written
 from gridlake.llm.tokencount import SLICE, prove_whole_tokens, word_encoder
 
 
@@ -130,7 +130,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, separator: int = 0, id
                 arrays = [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def place_pieces(pieces: DataFrame, bins: Bins, order: list[str]) -> DataFrame:
@@ -156,7 +156,7 @@ def place_pieces(pieces: DataFrame, bins: Bins, order: list[str]) -> DataFrame:
             past = rank - found[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found[:, 2] + past // found[:, 3]), pa.array(found[:, 4] + past % found[:, 3] * size)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, bins: Bins = Bins(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

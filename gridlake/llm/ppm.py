@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import small_batches, text_bytes
+from gridlake.llm.common import small_batches, text_bytes, tidy
 
 UNKNOWN = "und"
 #: Bytes that the price table may take; it bounds the number of symbols.
 TABLE_BYTES = 64 << 20
-MOST_SYMBOLS = 40
+MOST_SYMBOLS = 32
 STEP = 1 << 20
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -86,7 +86,7 @@ def train(docs: DataFrame, is_training: Column, lang_col: str = "lang", text_col
             yield pa.RecordBatch.from_arrays([pa.array([name] * 256, pa.string()), pa.array(range(256), pa.int32()), pa.array(total)], names=["lang", "byte", "n"])
             total = total * 0
 
-    seen = rows.mapInArrow(bytes_seen, "lang string, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n")).collect()
+    seen = rows.mapInArrow(tidy(bytes_seen), "lang string, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n")).collect()
     languages = tuple(sorted({r["lang"] for r in seen}))
     n = np.zeros(256, np.int64)
     for r in seen:
@@ -120,7 +120,7 @@ def train(docs: DataFrame, is_training: Column, lang_col: str = "lang", text_col
             key, count = folded(parts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.astype(np.int32)), pa.array(count)], names=["lang", "gram", "n"])
 
-    found = rows.mapInArrow(grams, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(tidy(grams), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, count = (np.asarray(found.column(c)) for c in ("lang", "gram", "n"))
     prices = np.zeros((k**4, len(languages)), np.float32)
     for i in range(len(languages)):
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             best, score = classify(held.value, column)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import slices, small_batches, sums, text_bytes
+from gridlake.llm.common import slices, small_batches, sums, text_bytes, tidy
 from gridlake.llm.scan import SPACE, gram_hashes, mix, span_hashes, words
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -136,7 +136,7 @@ def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
                 seen.append(rule.name)
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(gone, pa.int64()), pa.array(spent)], names=["rule", "gone", "spent"])
 
-    found = {r["rule"]: r for r in part.mapInArrow(run, "rule string, gone long, spent double").groupBy("rule").agg(F.sum("gone").alias("gone"), F.sum("spent").alias("spent")).collect()}
+    found = {r["rule"]: r for r in part.mapInArrow(tidy(run), "rule string, gone long, spent double").groupBy("rule").agg(F.sum("gone").alias("gone"), F.sum("spent").alias("spent")).collect()}
     if not found:
         return [r.name for r in named]
     worth = {r.name: (-found[r.name]["gone"] / max(found[r.name]["spent"], 1e-9), found[r.name]["spent"]) for r in named}
@@ -180,7 +180,7 @@ def cascade(docs: DataFrame, order: list[str] | None = None, rules: tuple[Rule,
                     more = [*(pa.array(found[c].astype(np.int64)) for c in counts), pa.array(base)]
                 yield pa.RecordBatch.from_arrays([ids[a:b], *more, pa.array(failed == None), pa.array(failed, pa.string())], names=schema.names)  # noqa: E711
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
                         alive = alive[~_measured(Texts(column.take(pa.array(alive))), rule)]
                 yield batch.take(pa.array(alive, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridlake.llm.common import slices, small_batches
+from gridlake.llm.common import slices, small_batches, tidy
 from gridlake.llm.tokencount import MEMO, SLICE, _bytes_of_symbols
 from gridlake.llm.wordpieces import Encoder, Splitter
 
@@ -192,4 +192,4 @@ def _mapped(docs, path, id_col, text_col, schema, make) -> DataFrame:
             for a, b in slices(np.array(pa.compute.binary_length(column), np.int64), SLICE):
                 yield pa.RecordBatch.from_arrays([ids[a:b], *make(codec, column[a:b].to_pylist())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from gridlake.llm.common import slices, small_batches
+from gridlake.llm.common import slices, small_batches, tidy
 from gridlake.llm.wordpieces import Encoder, Splitter
 
 #: Distinct merged pre-tokens a worker remembers; beyond it the memory is emptied.
-MEMO = 1_000_000
-SLICE = 3 << 20
+MEMO = 500_000
+SLICE = 1 << 20
 SUFFIX = "</w>"
 
 
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                 counts[a:b] = encoder.counts(column[a:b].to_pylist())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def reference_count(path: str, text: str | None) -> int:
