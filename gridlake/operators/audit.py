@@ -27,35 +27,42 @@ def findings(rows: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(hits).alias("f")).select(*keep, "f.*")
 
 
-def scorecard_rules(name: Column, filled: Column, owner: Column, rating: Column, contract: Column, ends: Column, score: Column, total: Column, bound: dict[str, bool], most: float = 150) -> list[Rule]:
-    """The rules of a main tab; bound says which columns the table has."""
+def _given(bound: dict[str, bool | Column], name: str) -> Column:
+    have = bound.get(name, False)
+    return have if isinstance(have, Column) else F.lit(have)
+
+
+def scorecard_rules(name: Column, filled: Column, owner: Column, rating: Column, contract: Column, ends: Column, score: Column, total: Column, bound: dict[str, bool | Column], most: float = 150) -> list[Rule]:
+    """The rules of a main tab; bound says which columns the table (or the row's table) has.
+
+    A row without a name is one finding and no other: filled in, but not a row of sums.
+    """
     first = F.coalesce(F.nullif(number(score), F.lit(0.0)), number(total))
-    rules = [Rule("name_missing", "critical", blank(name) & (filled >= 2) & (first.isNull() | (first < most)), filled)]
-    if bound.get("owner"):
-        rules.append(Rule("owner_missing", "critical", blank(owner), name))
-    if bound.get("rating"):
-        rules += [Rule("rating_missing", "warning", blank(rating), name), Rule("rating_not_numeric", "warning", ~blank(rating) & ~numeric_text(rating), rating)]
-    if bound.get("contract"):
-        rules.append(Rule("contract_missing", "warning", blank(contract), name))
-    if bound.get("ends"):
-        rules += [
-            Rule("end_missing", "warning", blank(ends) & ~F.coalesce(F.lower(contract).contains("har oy"), F.lit(False)), name),
-            Rule("date_without_year", "warning", year_less_date(ends), ends),
-        ]
-    if bound.get("score"):
-        rules += [
-            Rule("score_not_numeric", "warning", ~blank(score) & ~numeric_text(score), score),
-            Rule("total_zero", "critical", ~blank(total) & ~has_nonzero(total) & has_nonzero(score), total),
-        ]
-    return rules
-
-
-def month_row_unnamed(name: Column, scores: list[Column], most: float = 150) -> Rule:
-    top = F.greatest(*(number(s) for s in scores)) if len(scores) > 1 else number(scores[0])
+    rule = lambda key, level, column, holds, detail: Rule(key, level, ~blank(name) & _given(bound, column) & holds, detail)
+    return [
+        Rule("name_missing", "critical", blank(name) & (filled >= 2) & (first.isNull() | (first < most)), filled),
+        rule("owner_missing", "critical", "owner", blank(owner), name),
+        rule("rating_missing", "critical", "rating", blank(rating), name),
+        rule("rating_not_numeric", "critical", "rating", ~blank(rating) & ~numeric_text(rating), rating),
+        rule("contract_missing", "warning", "contract", blank(contract), name),
+        rule("end_missing", "warning", "ends", blank(ends) & ~F.coalesce(F.lower(contract).contains("har oy"), F.lit(False)), name),
+        rule("date_without_year", "warning", "ends", year_less_date(ends), ends),
+        rule("total_zero", "critical", "score", ~blank(total) & ~has_nonzero(total) & has_nonzero(score), total),
+    ]
+
+
+def month_rules(name: Column, scores: dict[str, Column], bound: dict[str, bool | Column], most: float = 150) -> list[Rule]:
+    """The rules of a month tab: scores without a name (unless a row of sums), scores that aren't numbers.
+
+    An unnamed row shares its key with main tabs, so that one acknowledgement covers both.
+    """
+    values = [number(s) for s in scores.values()]
+    top = F.greatest(*values) if len(values) > 1 else values[0]
     some = F.lit(False)
-    for s in scores:
+    for s in scores.values():
         some = some | F.coalesce(has_nonzero(s), F.lit(False))
-    return Rule("month_row_unnamed", "critical", blank(name) & some & (top < most), top)
+    unnamed = Rule("name_missing", "critical", blank(name) & some & (top.isNull() | (top < most)), top)
+    return [unnamed, *(Rule("score_not_numeric", "critical", ~blank(name) & _given(bound, k) & ~blank(s) & ~numeric_text(s), s) for k, s in scores.items())]
 
 
 def missing_tabs(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:

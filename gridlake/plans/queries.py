@@ -114,17 +114,17 @@ AUDIT_ROWS = """SELECT o_orderkey, CAST(o_custkey % 20 AS VARCHAR) AS sheet, CAS
  CASE WHEN o_orderkey % 14 = 0 THEN 'n/a' ELSE CAST(o_custkey % 160 AS VARCHAR) END AS score, CASE WHEN o_orderkey % 12 = 0 THEN '0' ELSE CAST(o_custkey % 200 AS VARCHAR) END AS total FROM orders"""
 _NUM = "TRY_CAST(replace({0}, ',', '.') AS DOUBLE)"
 _ISNUM = "regexp_matches({0}, '^[+-]?[0-9.,]+%?$')"
-FINDINGS = f"""WITH a AS ({AUDIT_ROWS}), f AS (
+FINDINGS = f"""WITH a AS ({AUDIT_ROWS}), named AS (SELECT * FROM a WHERE trim(name) <> ''), f AS (
 SELECT o_orderkey, sheet, 'name_missing' AS "key", 'critical' AS level, CAST(filled AS VARCHAR) AS detail FROM a WHERE trim(name) = '' AND filled >= 2 AND coalesce(coalesce(nullif({_NUM.format('score')}, 0), {_NUM.format('total')}) < 150, true)
-UNION ALL SELECT o_orderkey, sheet, 'owner_missing', 'critical', name FROM a WHERE owner = ''
-UNION ALL SELECT o_orderkey, sheet, 'rating_missing', 'warning', name FROM a WHERE rating = ''
-UNION ALL SELECT o_orderkey, sheet, 'rating_not_numeric', 'warning', rating FROM a WHERE rating <> '' AND NOT {_ISNUM.format('rating')}
-UNION ALL SELECT o_orderkey, sheet, 'contract_missing', 'warning', name FROM a WHERE contract = ''
-UNION ALL SELECT o_orderkey, sheet, 'end_missing', 'warning', name FROM a WHERE ends = '' AND NOT contains(lower(contract), 'har oy')
-UNION ALL SELECT o_orderkey, sheet, 'date_without_year', 'warning', ends FROM a WHERE ends = '05.08'
-UNION ALL SELECT o_orderkey, sheet, 'score_not_numeric', 'warning', score FROM a WHERE NOT {_ISNUM.format('score')}
-UNION ALL SELECT o_orderkey, sheet, 'total_zero', 'critical', total FROM a WHERE NOT regexp_matches(total, '[1-9]') AND regexp_matches(score, '[1-9]')
-UNION ALL SELECT o_orderkey, sheet, 'month_row_unnamed', 'critical', CAST(CAST(greatest({_NUM.format('score')}, {_NUM.format('total')}) AS INT) AS VARCHAR) FROM a WHERE trim(name) = '' AND (regexp_matches(score, '[1-9]') OR regexp_matches(total, '[1-9]')) AND greatest({_NUM.format('score')}, {_NUM.format('total')}) < 150)
+UNION ALL SELECT o_orderkey, sheet, 'owner_missing', 'critical', name FROM named WHERE owner = ''
+UNION ALL SELECT o_orderkey, sheet, 'rating_missing', 'critical', name FROM named WHERE rating = ''
+UNION ALL SELECT o_orderkey, sheet, 'rating_not_numeric', 'critical', rating FROM named WHERE rating <> '' AND NOT {_ISNUM.format('rating')}
+UNION ALL SELECT o_orderkey, sheet, 'contract_missing', 'warning', name FROM named WHERE contract = ''
+UNION ALL SELECT o_orderkey, sheet, 'end_missing', 'warning', name FROM named WHERE ends = '' AND NOT contains(lower(contract), 'har oy')
+UNION ALL SELECT o_orderkey, sheet, 'date_without_year', 'warning', ends FROM named WHERE ends = '05.08'
+UNION ALL SELECT o_orderkey, sheet, 'total_zero', 'critical', total FROM named WHERE NOT regexp_matches(total, '[1-9]') AND regexp_matches(score, '[1-9]')
+UNION ALL SELECT o_orderkey, sheet, 'score_not_numeric', 'critical', score FROM named WHERE NOT {_ISNUM.format('score')}
+UNION ALL SELECT o_orderkey, sheet, 'name_missing', 'critical', 'top ' || CAST(CAST(greatest({_NUM.format('score')}, {_NUM.format('total')}) AS INT) AS VARCHAR) FROM a WHERE trim(name) = '' AND (regexp_matches(score, '[1-9]') OR regexp_matches(total, '[1-9]')) AND coalesce(greatest({_NUM.format('score')}, {_NUM.format('total')}) < 150, true))
 """
 
 
@@ -132,8 +132,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr(*_columns(AUDIT_ROWS))
     c = F.col
     rules = audit.scorecard_rules(c("name"), c("filled"), c("owner"), c("rating"), c("contract"), c("ends"), c("score"), c("total"), dict.fromkeys(("owner", "rating", "contract", "ends", "score"), True))
-    unnamed = audit.month_row_unnamed(c("name"), [c("score"), c("total")])
-    rules.append(audit.Rule(unnamed.key, unnamed.level, unnamed.holds, unnamed.detail.cast("int")))
+    unnamed, *scores = audit.month_rules(c("name"), {"score": c("score"), "total": c("total")}, {"score": True, "total": False})
+    rules += [audit.Rule(unnamed.key, unnamed.level, unnamed.holds, F.concat(F.lit("top "), unnamed.detail.cast("int").cast("string"))), *scores]
     return audit.findings(rows, rules, ["o_orderkey", "sheet"])
 
 
@@ -163,12 +163,12 @@ def acknowledged(spark, sf_dir):
     return audit.acknowledge(found(spark, sf_dir), spark.createDataFrame(ACKS, "key string, sheet string, ack_day string, note string, ack_no int"))
 
 
-@query(FINDINGS + f', {ACK_SQL} SELECT f.o_orderkey, f."key", f.sheet, min(a.ack_no) IS NOT NULL AS acked, arg_min(a.ack_day, a.ack_no) AS ack_day FROM f LEFT JOIN acks a ON a."key" = f."key" AND (a.sheet IS NULL OR a.sheet = f.sheet) GROUP BY ALL')
+@query(FINDINGS + f', {ACK_SQL} SELECT f.o_orderkey, f."key", f.sheet, f.detail, min(a.ack_no) IS NOT NULL AS acked, arg_min(a.ack_day, a.ack_no) AS ack_day FROM f LEFT JOIN acks a ON a."key" = f."key" AND (a.sheet IS NULL OR a.sheet = f.sheet) GROUP BY ALL')
 def ack_split(spark, sf_dir):
-    return acknowledged(spark, sf_dir).select("o_orderkey", "key", "sheet", "acked", "ack_day")
+    return acknowledged(spark, sf_dir).select("o_orderkey", "key", "sheet", "detail", "acked", "ack_day")
 
 
-@query(FINDINGS + f', {ACK_SQL}, s AS (SELECT f.o_orderkey, f."key", f.sheet, arg_min(a.ack_day, a.ack_no) AS d FROM f JOIN acks a ON a."key" = f."key" AND (a.sheet IS NULL OR a.sheet = f.sheet) GROUP BY ALL) SELECT "key", count(*) AS findings, count(DISTINCT sheet) AS sheets, min(d) AS ack_day FROM s GROUP BY 1')
+@query(FINDINGS + f', {ACK_SQL}, s AS (SELECT f.o_orderkey, f."key", f.sheet, f.detail, arg_min(a.ack_day, a.ack_no) AS d FROM f JOIN acks a ON a."key" = f."key" AND (a.sheet IS NULL OR a.sheet = f.sheet) GROUP BY ALL) SELECT "key", count(*) AS findings, count(DISTINCT sheet) AS sheets, min(d) AS ack_day FROM s GROUP BY 1')
 def ack_groups(spark, sf_dir):
     return audit.ack_groups(acknowledged(spark, sf_dir))
 
