@@ -16,6 +16,17 @@ def follow_up(mode: Column, q: Column, has_history: Column, short: int = 25) ->
     return F.when((mode == "fast") & has_history & (F.char_length(q) <= short), "deep").otherwise(mode)
 
 
+def needs_live(q: Column, words: list[str]) -> Column:
+    """Whether the question asks for the present state rather than the last snapshot."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(q, w)) if words else F.lit(False)
+
+
+def fresh(day: Column, modified: Column, now: Column, hours: float = 6) -> Column:
+    """Whether a snapshot of today is recent enough to answer from."""
+    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(modified.cast("timestamp"))
+    return F.coalesce((day == now.cast("date")) & (age <= hours * 3600), F.lit(False))
+
+
 def match_sheets(questions: DataFrame, sheets: DataFrame, q: str, token: str) -> DataFrame:
     """Questions with the sheets they name: an alias is contained in the question.
 

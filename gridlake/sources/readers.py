@@ -6,6 +6,7 @@ import io
 import json
 import os
 import re
+import time
 import zipfile
 from xml.etree import ElementTree
 
@@ -131,6 +132,50 @@ def extracted(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.col("path").alias("origin"), F.when(F.lower("path").endswith(".rtf"), rtf_text(F.decode("content", "UTF-8"))).otherwise(text).alias("text"))
 
 
+#: Answers of a remote source after which one more try makes sense.
+TRANSIENT = (429, 500, 502, 503)
+
+
+def retrying(call, attempts: int = 2, wait: float = 20.0, status=lambda e: getattr(e, "status", None), sleep=time.sleep):
+    """call(), again after a pause where it failed with a transient status. Other failures go straight up."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return call()
+        except Exception as e:
+            if not left or status(e) not in TRANSIENT:
+                raise
+            sleep(wait)
+
+
+def registry(spark: SparkSession, path: str, with_question_only: bool = False, placeholders: tuple[str, ...] = ("SHU_YERGA", "SHEET_ID")) -> DataFrame:
+    """The configured sheets of a YAML or JSON file, in order: ordinal, sheet_id, name, is_scorecard, question_only, aliases.
+
+    Entries without an id or with a placeholder for one are left out, and those for questions only unless asked for.
+    A registry is written by hand and read on the driver.
+    """
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith(".json"):
+        config = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("a YAML registry needs the optional package pyyaml; JSON needs none") from e
+        config = yaml.safe_load(text)
+    rows = []
+    for i, s in enumerate((config or {}).get("sheets") or []):
+        sheet_id = str(s.get("id") or "")
+        if sheet_id and not any(p in sheet_id for p in placeholders) and (with_question_only or not s.get("qa_only")):
+            rows.append((i, sheet_id, str(s.get("name", sheet_id)), bool(s.get("pm_kpi", True)), bool(s.get("qa_only", False)), [str(a) for a in s.get("aliases") or []]))
+    return spark.createDataFrame(rows, "ordinal int, sheet_id string, name string, is_scorecard boolean, question_only boolean, aliases array<string>")
+
+
+def run_errors(status: DataFrame) -> DataFrame:
+    """One row of a scan's (workbook, ok, error) rows: n_ok, n_failed and failed, which is true where none worked."""
+    per = status.groupBy("workbook").agg(F.min("ok").alias("ok"))
+    return per.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), ((F.count(F.lit(1)) > 0) & (F.count_if("ok") == 0)).alias("failed"))
+
+
 class _Workbook(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
