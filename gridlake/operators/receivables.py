@@ -19,6 +19,16 @@ def active_only(status: Column, outstanding: Column, prepaid: Column) -> Column:
     return ~status.isin(*CLOSED) & (outstanding <= 0) & (prepaid > 0)
 
 
+#: Labels by urgency.
+LABELS = ("overdue", "pending", "prepaid", "paused", "churned", "paid")
+
+
+def urgency(today: Column) -> Column:
+    """Label of a row: prepaid and overdue ones apart, else the status."""
+    late = unpaid(F.col("status"), F.col("outstanding")) & (F.col("due") < today)
+    return F.when(active_only(F.col("status"), F.col("outstanding"), F.col("prepaid")), "prepaid").when(late, "overdue").otherwise(F.col("status"))
+
+
 def _sum(c: Column) -> Column:
     return F.coalesce(F.sum(exact(c)), F.lit(0)).cast("double")
 

@@ -82,10 +82,8 @@ def push(current: DataFrame, previous: DataFrame, contacts: DataFrame, today: Co
 
 def by_urgency(rows: DataFrame, today: Column) -> DataFrame:
     """Receivables in the dashboard's order, with label: overdue, pending, prepaid, paused, churned, paid; then due."""
-    late = receivables.unpaid(F.col("status"), F.col("outstanding")) & (F.col("due") < today)
-    label = F.when(receivables.active_only(F.col("status"), F.col("outstanding"), F.col("prepaid")), "prepaid").when(late, "overdue").otherwise(F.col("status"))
-    rank = F.array_position(F.array(*map(F.lit, ("overdue", "pending", "prepaid", "paused", "churned", "paid"))), F.col("label"))
-    return rows.withColumn("label", label).orderBy(rank, F.coalesce(F.col("due"), today), "row_no")
+    rank = F.array_position(F.array(*map(F.lit, receivables.LABELS)), F.col("label"))
+    return rows.withColumn("label", receivables.urgency(today)).orderBy(rank, F.coalesce(F.col("due"), today), "row_no")
 
 
 class Store:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions import dates, text
-from gridlake.operators import audit, diff, grid, kb, present, receivables, routing, scorecard, sync
+from gridlake.operators import audit, diff, grid, kb, present, receivables, routing, scorecard, sync, tables
+from gridlake.plans import commands
 from gridlake.sources import readers, sinks
 from gridlake.streaming import jobs
 
@@ -471,3 +472,38 @@ def events_daily_stream(spark, sf_dir):
     jobs.upsert_batches(jobs.daily_rollup(stream), f"{work}/out", f"{work}/checkpoint", ["w", "event_type"]).awaitTermination()
     rows = jobs.latest(spark.read.parquet(f"{work}/out"), ["w", "event_type"])
     return rows.select(F.col("w.start").cast("date").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query(f"""WITH r AS ({RECEIVABLE}) SELECT o_orderkey, CASE WHEN {_PRE} THEN 'prepaid' WHEN {_OPEN} AND due < {TODAY} THEN 'overdue' ELSE status END AS label FROM r""")
+def urgency_labels(spark, sf_dir):
+    return receivable_rows(spark, sf_dir).select("o_orderkey", receivables.urgency(today()).alias("label"))
+
+
+def nation_grids(spark, sf_dir, name, head, keep, cells, tail=()):
+    """A grid a region with a row a nation, below a row of its own and a header; nations number 25 at any size."""
+    n = table(spark, sf_dir, "nation").where(keep)
+    rows = n.groupBy(F.col("n_regionkey").cast("string").alias("sheet_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(*(F.expr(c).cast("string") for c in cells)).alias("row")))).alias("r"))
+    row = lambda x: F.array(*map(F.lit, x))
+    grid_rows = F.concat(F.array(row(["list"]), row(head)), F.transform("r", lambda x: x["row"]), *(F.array(row(t)) for t in tail))
+    return rows.select("sheet_id", F.lit(name).alias("range"), F.lit(0).alias("ordinal"), grid_rows.alias("grid"))
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS sheet_id, count(*) FILTER (p > 0) AS active, CAST(sum(p) AS DOUBLE) AS plan, CAST(sum(a) AS DOUBLE) AS actual, CAST(sum(d) AS DOUBLE) AS delay_days,
+ round_even(CASE WHEN sum(p) = 0 THEN 0 ELSE CAST(sum(a) * 100 AS DOUBLE) / CAST(sum(p) AS DOUBLE) END, 1) AS pct, round_even(coalesce(CAST(sum(d) AS DOUBLE) * 3.33 / nullif(count(*) FILTER (p > 0), 0), 0), 2) AS delay_pct
+ FROM (SELECT n_regionkey, n_nationkey * 10 AS p, n_nationkey * 7 AS a, n_nationkey % 3 AS d FROM nation) GROUP BY 1""")
+def grid_scorecard(spark, sf_dir):
+    cells = ["n_name", "n_nationkey * 10", "concat(n_nationkey * 7, ' ')", "n_nationkey % 3"]
+    ends = (["narvon"], ["below the table", "999", "999", "9"])
+    g = nation_grids(spark, sf_dir, "'Iyul '!A1:BZ1000", ["Proekt nomi", "Kpi ideal bali", "Proekt bali", "Kechga qolgan"], "true", cells, ends)
+    return tables.month_scorecards(g.withColumn("day", today())).drop("day")
+
+
+@query("""WITH a AS (SELECT * FROM nation WHERE n_nationkey % 7 <> 0), b AS (SELECT * FROM nation WHERE n_nationkey % 4 <> 0),
+ j AS (SELECT coalesce(a.n_regionkey, b.n_regionkey) AS r, a.n_nationkey AS x, b.n_nationkey AS y FROM a FULL JOIN b ON a.n_nationkey = b.n_nationkey)
+ SELECT CAST(r AS VARCHAR) AS sheet_id, count(x) AS rows_prev, count(y) AS rows_now, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed, count(*) FILTER (x IS NOT NULL AND y % 3 = 0) AS changed FROM j GROUP BY 1""")
+def grid_daily_diff(spark, sf_dir):
+    head = ["Key", "Name", "Region"]
+    side = lambda keep, name: nation_grids(spark, sf_dir, "T!A1:C30", head, keep, ["n_nationkey", name, "n_regionkey"]).withColumn("key_column", F.lit("key"))
+    before = side("n_nationkey % 7 <> 0", "n_name")
+    now = side("n_nationkey % 4 <> 0", "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, '*') ELSE n_name END")
+    return commands.daily_diff(now, before)[2].select("sheet_id", "rows_prev", "rows_now", "added", "removed", "changed")
