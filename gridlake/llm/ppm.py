@@ -6,9 +6,11 @@ longest context that was seen, a byte seen there costs -log2(count / (total + di
 the escape -log2(distinct / (total + distinct)) and then its price one order lower, down to a uniform
 order -1. The language with the shortest code is predicted.
 
-The price of a byte depends on it and the three bytes before it alone, so the trees are held as one
-table of prices by 4-gram. Bytes are folded (letters A-Z, digits, white space) and the rarest share one
-symbol, so that the table stays below a given size whatever the corpus.
+The price of a byte depends on it and the three bytes before it alone. Bytes are folded (letters A-Z,
+digits, white space) and each folded byte is a symbol of its own. Held are the grams and contexts that
+occur, by order, as sorted numbers with their prices and escapes; a gram that never occurred pays the
+escape of its context, if that occurred, and is looked for one order lower. So the tables grow with the
+distinct 4-grams of the training texts, and working memory by pieces of texts.
 """
 
 from __future__ import annotations
@@ -22,36 +24,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import small_batches, text_bytes, tidy
+from gridlake.llm.common import slices, small_batches, text_bytes, tidy
 
 UNKNOWN = "und"
-#: Bytes that the price table may take; it bounds the number of symbols.
-TABLE_BYTES = 64 << 20
-MOST_SYMBOLS = 32
+#: Prices looked up at once, over all languages; it bounds the working memory.
 STEP = 1 << 20
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 FOLD[ord("0") : ord("9") + 1] = ord("0")
 FOLD[[*range(9, 14)]] = ord(" ")
+_KINDS, SYMBOL = np.unique(FOLD, return_inverse=True)
+SYMBOLS, SYMBOL = len(_KINDS), SYMBOL.astype(np.uint8)
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages in ascending order; symbol of each byte; prices in bits, a row a 4-gram."""
+    """languages in ascending order; symbol of each byte; by order: sorted grams with a row of prices in
+    bits each, and sorted contexts with a row of escapes each, 0 where the language never had the context."""
 
     languages: tuple[str, ...]
     symbol: np.ndarray
     n_symbols: int
-    prices: np.ndarray
+    grams: tuple[np.ndarray, ...]
+    prices: tuple[np.ndarray, ...]
+    contexts: tuple[np.ndarray, ...]
+    escapes: tuple[np.ndarray, ...]
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, k: int) -> np.ndarray:
     """The 4-gram number of each byte; before a text stand three blanks."""
     blank = int(symbol[ord(" ")])
-    code = symbol[data].astype(np.int32)
+    code = symbol[data].astype(np.uint32)
     out = code.copy()
     starts = offsets[:-1][np.diff(offsets) > 0]
     scale = 1
@@ -68,79 +74,110 @@ def contexts(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, k: int)
     return out
 
 
-def train(docs: DataFrame, is_training: Column, lang_col: str = "lang", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> Model:
+def pieces(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, k: int, step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, offsets of its texts in the piece, 4-gram numbers, bytes) for runs of texts of about step bytes.
+
+    A longer text comes in pieces counted from its own start, so nothing depends on the texts beside it.
+    """
+    for a, b in slices(np.diff(offsets), step):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        for at in range(lo, hi, step):
+            end, back = min(at + step, hi), max(lo, at - 3)
+            gram = contexts(data[back:end], np.clip(offsets[a : b + 1], back, end) - back, symbol, k)[at - back :]
+            yield a, np.clip(offsets[a : b + 1], at, end) - at, gram, data[at:end]
+
+
+def train(docs: DataFrame, is_training: Column, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Count the trees over all training rows with a text and a language.
 
-    Counting is a partial count in each task and one aggregation; the driver gets at most as many rows
-    as the table has entries.
+    Counting is a partial count in each task and one aggregation; the driver gets a row for each 4-gram
+    that occurs in a language.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(is_training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
-    def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(256, np.int64), set()
-        for batch in batches:
-            total += np.bincount(FOLD[text_bytes(batch.column(1))[0]], minlength=256)
-            names |= set(batch.column(0).to_pylist())
-        for name in sorted(names):
-            yield pa.RecordBatch.from_arrays([pa.array([name] * 256, pa.string()), pa.array(range(256), pa.int32()), pa.array(total)], names=["lang", "byte", "n"])
-            total = total * 0
-
-    seen = rows.mapInArrow(tidy(bytes_seen), "lang string, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({r["lang"] for r in seen}))
-    n = np.zeros(256, np.int64)
-    for r in seen:
-        n[r["byte"]] += r["n"]
-    k = int(max(2, min(MOST_SYMBOLS, (table_bytes / 4 / max(1, len(languages))) ** 0.25)))
-    symbol = np.zeros(256, np.uint8)  # 0: all others
-    common = [b for b in sorted(range(256), key=lambda b: (-n[b], b)) if n[b]][: k - 1]
-    symbol[common] = np.arange(1, len(common) + 1)
-    symbol = symbol[FOLD]
-    k = len(common) + 1
-    place = {name: i for i, name in enumerate(languages)}
-
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return key, np.bincount(back, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
 
         for batch in batches:
-            code = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
-            for i in np.unique(code).tolist():
-                data, offsets = text_bytes(batch.column(1).filter(pa.array(code == i)))
-                if len(data):
-                    counts = np.bincount(contexts(data, offsets, symbol, k), minlength=k**4)
-                    key = np.flatnonzero(counts)
-                    held.setdefault(i, []).append((key, counts[key]))
-                    if len(held[i]) >= 32:
-                        held[i] = [folded(held[i])]
-        for i, parts in held.items():
+            names = np.array(batch.column(0).to_pylist(), object)
+            for name in sorted(set(names.tolist())):
+                parts = held.setdefault(name, [(np.zeros(1, np.uint32), np.zeros(1, np.int64))])  # names it even without a byte
+                data, offsets = text_bytes(batch.column(1).filter(pa.array(names == name)))
+                for _, _, gram, _ in pieces(data, offsets, SYMBOL, SYMBOLS, STEP):
+                    parts.append(np.unique(gram, return_counts=True))
+                    if len(parts) >= 8:
+                        parts[:] = [folded(parts)]
+        for name, parts in held.items():
             key, count = folded(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.astype(np.int32)), pa.array(count)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
+
+    found = rows.mapInArrow(tidy(grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    known = names.dictionary.to_pylist()
+    languages = tuple(sorted(known))
+    place = np.array([languages.index(x) for x in known], np.int64)
+    lang = place[np.asarray(names.indices)] if len(known) else np.zeros(0, np.int64)
+    gram, count = (np.asarray(found.column(c)) for c in ("gram", "n"))
+    tables = price_tables(lang[count > 0], gram[count > 0], count[count > 0], len(languages), SYMBOLS)
+    bits = lambda x: tuple(t.astype(np.float32) for t in x)
+    return Model(languages, SYMBOL, SYMBOLS, tables[0], bits(tables[1]), tables[2], bits(tables[3]))
+
+
+def price_tables(lang: np.ndarray, gram: np.ndarray, count: np.ndarray, n_languages: int, k: int) -> tuple[tuple[np.ndarray, ...], ...]:
+    """Grams, prices, contexts and escapes of Model from counts of 4-grams (escape method C)."""
+    out: list[tuple[np.ndarray, ...]] = []
+    lower_keys, lower_prices = np.zeros(1, np.int64), np.full((1, n_languages), np.log2(k))
+    for order in range(4):
+        keys, at = np.unique(gram % k ** (order + 1), return_inverse=True)
+        above, under = np.unique(keys // k, return_inverse=True)
+        prices, escapes = np.empty((len(keys), n_languages)), np.empty((len(above), n_languages))
+        lower = np.searchsorted(lower_keys, keys % k**order)
+        for i in range(n_languages):
+            seen = np.bincount(at[lang == i], count[lang == i], len(keys))
+            total, distinct = np.bincount(under, seen, len(above)), np.bincount(under, seen > 0, len(above))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escapes[:, i] = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0)
+                prices[:, i] = np.where(seen > 0, -np.log2(seen / (total + distinct)[under]), escapes[under, i] + lower_prices[lower, i])
+        out.append((keys.astype(np.uint32), prices, above.astype(np.uint32), escapes))
+        lower_keys, lower_prices = keys, prices
+    return tuple(zip(*out, strict=True))
+
+
+def look_up(model: Model, gram: np.ndarray) -> np.ndarray:
+    """A row of prices, one a language, for each 4-gram number, seen or not."""
+    out = np.zeros((len(gram), len(model.languages)), model.prices[0].dtype)
+    left, key = np.arange(len(gram)), gram
+    for order in (3, 2, 1, 0):
+        key = key % np.uint32(model.n_symbols ** (order + 1)) if order < 3 else key
+        at, hit = _find(model.grams[order], key)
+        out[left[hit]] += model.prices[order][at[hit]]
+        left, key = left[~hit], key[~hit]
+        if not len(left):
+            return out
+        at, hit = _find(model.contexts[order], key // np.uint32(model.n_symbols))
+        out[left[hit]] += model.escapes[order][at[hit]]
+    out[left] += np.log2(model.n_symbols)
+    return out
 
-    found = rows.mapInArrow(tidy(grams), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, count = (np.asarray(found.column(c)) for c in ("lang", "gram", "n"))
-    prices = np.zeros((k**4, len(languages)), np.float32)
-    for i in range(len(languages)):
-        counts = np.zeros(k**4, np.int64)
-        counts[gram[lang == i]] = count[lang == i]
-        prices[:, i] = code_lengths(counts, k)
-    return Model(languages, symbol, k, prices)
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def code_lengths(counts: np.ndarray, k: int) -> np.ndarray:
-    """Price in bits of each 4-gram's last symbol, from counts of 4-grams (escape method C)."""
-    price = np.full(k, np.log2(k))
-    for order in range(4):
-        seen = counts.reshape(-1, k ** (order + 1)).sum(0).reshape(-1, k).astype(float)
-        total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        lower = np.tile(price.reshape(-1, k), (k if order else 1, 1)).reshape(-1, k)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            here = np.where(seen > 0, -np.log2(seen / (total + distinct)), -np.log2(distinct / (total + distinct)) + lower)
-        price = np.where(total > 0, here, lower)
-    return price.reshape(-1)
+    """Price in bits of each 4-gram's last symbol, from counts of all 4-grams of a small alphabet."""
+    gram = np.flatnonzero(counts)
+    model = Model(("",), np.zeros(256, np.uint8), k, *price_tables(np.zeros(len(gram), np.int64), gram, counts[gram], 1, k))
+    return look_up(model, np.arange(k**4, dtype=np.uint32))[:, 0]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -172,18 +209,11 @@ def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         return [UNKNOWN] * n, np.zeros(n)
     bits = np.zeros((n, len(model.languages)))
     letters = np.zeros(n, bool)
-    edges = np.searchsorted(offsets, np.arange(0, len(data) + STEP, STEP))
-    edges = np.unique(np.clip(np.concatenate([[0], edges, [n]]), 0, n))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        lo, hi = offsets[a], offsets[b]
-        full = np.flatnonzero(np.diff(offsets[a : b + 1]) > 0)
-        if not len(full):
-            continue
-        part = data[lo:hi]
-        at = (offsets[a:b] - lo)[full]
-        price = model.prices[contexts(part, offsets[a : b + 1] - lo, model.symbol, model.n_symbols)]
-        bits[a + full] = np.add.reduceat(price, at, axis=0, dtype=np.float64)
-        letters[a + full] = np.logical_or.reduceat(ASCII_LETTER[part], at)
+    for a, places, gram, part in pieces(data, offsets, model.symbol, model.n_symbols, max(4096, STEP // len(model.languages))):
+        full = np.flatnonzero(np.diff(places) > 0)
+        at = places[full]
+        bits[a + full] += np.add.reduceat(look_up(model, gram), at, axis=0, dtype=np.float64)
+        letters[a + full] |= np.logical_or.reduceat(ASCII_LETTER[part], at)
     for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)).tolist():
         letters[i] = any(c.isalpha() for c in column[i].as_py() or "")
     best = bits.argmin(1)

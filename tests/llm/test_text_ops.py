@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridlake.llm import chat, ppm, quality, registry, sharding, tokencount
@@ -263,6 +264,26 @@ def test_code_lengths_by_hand():
     assert at == [1, 2, 7, 21, 2 + 3 * 0 + 9 * 1 + 27 * 2, 2]
 
 
+def test_languages_by_rare_letters(spark):
+    import pyarrow as pa
+
+    common = "abcdefghijklmnopqrstuvwxyz0 .,;:!?()%&*$#@+=" * 20
+    rows = [("aa", common + " ñam ñim"), ("bb", common + " üam üim"), ("cc", common + " çam çim"), ("dd", "")]
+    model = ppm.train(spark.createDataFrame(rows, "lang string, text string").repartition(3), F.lit(True))
+    assert model.languages == ("aa", "bb", "cc", "dd") and model.n_symbols == len(set(ppm.FOLD.tolist()))
+    names = {"ñam": "aa", "üim": "bb", "ç": "cc", "ñññ": "aa", "üü": "bb"}
+    assert ppm.classify(model, pa.array(list(names)))[0] == list(names.values())
+    texts = pa.array(["ñ" + common, None, "x", common * 40 + "ü", ""])
+    best, score = ppm.classify(model, texts)
+    step, ppm.STEP = ppm.STEP, 1
+    try:  # pieces of 4096 bytes: contexts reach over their edges
+        again = ppm.classify(model, texts)
+    finally:
+        ppm.STEP = step
+    assert again[0] == best and np.allclose(again[1], score)
+    assert (best[0], best[3]) == ("aa", "bb")
+
+
 def test_chat(spark, tiny):
     rows = defaultdict(list)
     for r in spark.read.parquet(f"{tiny}/conversations.parquet").collect():
