@@ -371,7 +371,7 @@ _RANKED = "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id)
 def context_pack(spark, sf_dir):
     from pyspark.sql import Window
 
-    top = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("n_chars", "doc_id").limit(200)
+    top = kb.prefix_within(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 12000)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "doc_id")))
     return kb.pack_context(ranked, 12000).select("doc_id", "used", F.col("take").cast("bigint").alias("take"))
 

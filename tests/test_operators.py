@@ -166,6 +166,31 @@ def test_context(spark):
     assert [(r["rank"], r["take"]) for r in big] == [(1, 300)]
 
 
+def test_context_of_many(spark):
+    import random
+
+    from gridlake.plans import queries
+
+    sf_dir = "/root/testdata/sf0.1"
+    rows = sorted((r.n_chars, r.doc_id) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("n_chars", "doc_id").collect())
+    want, used = [], 0
+    for n, i in rows:
+        used += n
+        if used > 12000:
+            break
+        want.append((i, used, n))
+    got = sorted(tuple(r) for r in queries.context_pack(spark, sf_dir).select("doc_id", "used", "take").collect())
+    assert len(want) > 200 and got == sorted(want)
+    rng = random.Random(5)
+    for budget in (0, 1, 7, 40, 41, 10**6):
+        sizes = [rng.choice([0, 1, 3, 3, 5, 9]) for _ in range(60)]
+        df = spark.createDataFrame(list(enumerate(sizes)), "doc_id int, n_chars int")
+        order = sorted((n, i) for i, n in enumerate(sizes))
+        fits = [i for k, (_, i) in enumerate(order) if sum(n for n, _ in order[: k + 1]) <= budget]
+        assert [r.doc_id for r in kb.prefix_within(df, budget).collect()] == fits
+    assert [r.doc_id for r in kb.prefix_within(df.where("n_chars > 3"), 2).collect()] == [next(i for n, i in order if n > 3)]
+
+
 def test_tree(spark):
     patterns = ["odam/", "kunlik/shaxsiy/", "*.private.md", "!kunlik/shaxsiy/keep.md"]
     paths = ["a/odam/x.md", "kunlik/shaxsiy/note.md", "bilim/x.private.md", "bilim/a.md", "kunlik/shaxsiy/keep.md", ".git/x.md"]
