@@ -241,11 +241,19 @@ def rtf_text(c: Column) -> Column:
     return strip(F.translate(bare, "{}", ""))
 
 
+def _bare(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def fts_tokens(s: pd.Series) -> pd.Series:
     """Letters and digits only, lower case, without diacritics."""
     import re
 
     word = re.compile(r"[^\W_]+")
-    bare = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower()
-    return s.map(lambda x: word.findall(bare(x)) if x else [])
+    return s.map(lambda x: word.findall(_bare(x)) if x else [])
+
+
+@F.pandas_udf(T.StringType())
+def without_diacritics(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: _bare(x) if x else x)

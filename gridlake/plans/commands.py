@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.functions.text import fts_tokens, query_terms, search_prefixes, without_diacritics
 from gridlake.operators import diff, grid, kb, receivables, sync
 from gridlake.operators.tables import key_place
 
@@ -171,14 +172,15 @@ class Store:
     def search(self, question: str, most: int = 30, terms: list[str] | None = None) -> DataFrame:
         """Ranked chunks of active documents: rank, uid, ord, heading, text, n_chars, title, source, score.
 
-        Statistics are over all chunks, archived ones too. terms replaces the words of the question.
+        Statistics are over all chunks, archived ones too. terms replaces the words of the question. Words and
+        texts are compared without diacritics, and a word is split at any apostrophe, as stored texts are.
         """
-        words = terms or self.spark.range(1).select(_prefixes(question)).first()[0]
+        words = self.spark.range(1).select(_prefixes(question, terms)).first()[0]
         docs = self.docs()
         tagged = self.chunks().join(docs.select("uid", "source", "title", "archived"), "uid").withColumn("__id", F.struct("uid", "ord"))
         if not words:
             return tagged.where("false").withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0)).drop("__id", "archived")
-        scored = kb.bm25(tagged, words, "__id", "text", "heading", F.when(F.col("source") == "chat", 0.6).otherwise(1.0))
+        scored = kb.bm25(tagged, words, "__id", "text", "heading", F.when(F.col("source") == "chat", 0.6).otherwise(1.0), fts_tokens)
         top = kb.search(scored.join(tagged.where("NOT archived"), "__id"), "__id", most)
         from pyspark.sql import Window
 
@@ -199,7 +201,6 @@ class Store:
         return "ok", gone.withColumn("action", F.lit("archive"))
 
 
-def _prefixes(question: str) -> Column:
-    from gridlake.functions.text import query_terms
-
-    return query_terms(F.lower(F.lit(question)))
+def _prefixes(question: str, terms: list[str] | None = None) -> Column:
+    words = F.lit(" ".join(terms)) if terms else F.array_join(query_terms(without_diacritics(F.lit(question))), " ")
+    return search_prefixes(without_diacritics(words))

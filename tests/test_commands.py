@@ -130,6 +130,18 @@ def test_store(spark, tmp_path):
     assert {r.origin: r.archived for r in store.docs().collect()} == {"a": True, "b": True, "c": True, "x.md": False}
 
 
+def test_store_search_forms(spark, tmp_path):
+    store = commands.Store(spark, f"file://{tmp_path}/kb")
+    rows = [("o\u02bbzbek tili", 0), ("cafe\u0301 r\u00e9sum\u00e9", 1), ("plain cafe", 2), ("# Na\u00efve\n\nother", 3), ("\u0130zmir", 4)]
+    store.ingest(spark.createDataFrame([("v", str(i), str(i), t, i) for t, i in rows], "source string, origin string, title string, text string, seq int"))
+    found = lambda q, **k: sorted(r.title for r in store.search(q, **k).collect())
+    for mark in "\u02bb\u02b9\u2019'`":
+        assert found(f"o{mark}zbek?") == found("?", terms=[f"O{mark}zbek"]) == ["0"]
+    assert found("CAF\u00c9") == found("cafe\u0301") == found("cafe") == found("?", terms=["caf\u00e9"]) == ["1", "2"]
+    assert found("resume") == ["1"] and found("na\u00efv") == found("naiv") == ["3"] and found("\u0130zmir") == found("izmir") == ["4"]
+    assert found("o' a") == [] and found("???") == []
+
+
 def test_store_survives_a_lost_driver(spark, tmp_path):
     store = commands.Store(spark, f"file://{tmp_path}/kb")
     store.ingest(spark.createDataFrame([("v", "a", "A", "t", 0)], "source string, origin string, title string, text string, seq int"))
