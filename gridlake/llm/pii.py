@@ -85,7 +85,8 @@ def with_base(df: DataFrame, text_col: str) -> DataFrame:
     df = df.withColumn("__number", text.rlike(r"[0-9][\x20().-]{0,2}[0-9]"))
     for kind in KINDS:
         needed = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
-        df = df.withColumn(f"__all_{kind}", located(text, PATTERNS[kind], needed if kind == "email" else needed & F.col("__number")))
+        # digits of a phone may stand any number of separators apart
+        df = df.withColumn(f"__all_{kind}", located(text, PATTERNS[kind], needed if kind in ("email", "phone") else needed & F.col("__number")))
     return df.select(*keep, "__number", *(F.filter(f"__all_{k}", _keeper(k)).alias(f"__{k}") for k in KINDS))
 
 

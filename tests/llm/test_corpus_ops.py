@@ -232,6 +232,13 @@ def test_trees_add_spans_like_the_base_ones_and_redact(spark):
     assert clean.columns == docs.columns
 
 
+def test_phones_of_far_digits(spark):
+    docs = rows_of(spark, [(1, "call +4 - 9 - 1 - 2 - 3 - 4 - 5 - 6."), (2, "+1 ... 2 ... 3"), (3, "1 - 2 - 3")])
+    found = pii.find(docs, boosting.Boosted(0.0, (), float("inf")))
+    assert {r.doc_id: [(x.k, x.s, x.e) for x in r.base] for r in found.collect()} == {1: [("phone", 5, 35)], 2: [], 3: []}
+    assert {r.doc_id: r.text for r in pii.redact(found).collect()}[1] == "call [PHONE]."
+
+
 def test_tree_expressions_equal_numpy(spark):
     from pyspark.sql import functions as F
 
