@@ -316,10 +316,23 @@ def link_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_co
 def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs without those whose doc_id isn't the smallest of its component.
 
-    Rows that repeat the smallest id are all copies of one document; one of them stays.
+    Rows that repeat the smallest id are all copies of one document; one of them stays. Rows without an id
+    come after all ids and are told apart by their text: in a component without ids one row stays. Of rows
+    without an id and without words, which link with nothing, all stay.
     """
+    if docs.where("doc_id IS NULL").isEmpty():
+        return _kept(docs, shingle, threshold)
+    mark = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
+    marked = docs.withColumn("__doc", F.col("doc_id")).withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("hash")))
+    wordless = F.col("__doc").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    linked = marked.where(~wordless)
+    kept = _kept(linked, shingle, threshold).unionByName(marked.where(wordless))
+    return kept.withColumn("doc_id", F.col("__doc")).select(*docs.columns)
+
+
+def _kept(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     found = link_documents(docs, shingle, threshold)
-    keep = found.where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    keep = found.where("n_shingles = 0 OR doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return one.withColumn("__copy", F.row_number().over(first)).where("__copy = 1 OR doc_id IS NULL").drop("__copy")
+    return one.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")

@@ -86,6 +86,18 @@ def test_links_of_repeated_and_no_rows(spark):
     assert ngramjoin.keep_one(docs.where("doc_id IS NOT NULL")).count() == 2
 
 
+def test_one_is_kept_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(words), " ".join(words[:58] + ["x", "y"])
+    texts = [(None, "a b c d e f"), (None, "a b c d e f"), (None, "A b c d  e f"), (5, "p q r s t u"), (None, "p q r s t u"), (None, "p q r  s t u"), (None, near), (None, far), (9, near + " z"), (None, "alone with six words in it"), (None, None), (None, " "), (None, " "), (7, None)]
+    kept = ngramjoin.keep_one(rows_of(spark, texts))
+    assert kept.columns == rows_of(spark, texts).columns and dict(kept.dtypes)["doc_id"] == "bigint"
+    got = Counter((r.doc_id, (r.text or "").lower().replace("  ", " ")) for r in kept.collect())
+    assert got == Counter([(None, "a b c d e f"), (5, "p q r s t u"), (9, near + " z"), (None, "alone with six words in it"), (None, ""), (None, " "), (None, " "), (7, "")])
+    no_ids = rows_of(spark, [(None, near), (None, far), (None, near)])
+    assert ngramjoin.keep_one(no_ids).count() == 1
+
+
 def test_blocks_find_the_links_of_one_task(spark, monkeypatch):
     texts = dict(enumerate(near_copies(9, groups=2, most=60)))
     monkeypatch.setattr(ngramjoin, "BLOCK_SETS", 7)
