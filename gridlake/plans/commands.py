@@ -136,8 +136,12 @@ class Store:
         docs.write.parquet(f"{self.path}/{version}/docs")
         self._publish(version)
 
-    def ingest(self, incoming: DataFrame, by_content: bool = False) -> DataFrame:
-        """Upsert source, origin, text, title, seq; the status of each as logged. Only new and updated ones are cut."""
+    def ingest(self, incoming: DataFrame, by_content: bool = False, most_chunks: int = kb.MOST_CHUNKS) -> DataFrame:
+        """Upsert source, origin, text, title, seq; the status of each as logged. Only new and updated ones are cut.
+
+        The first most_chunks chunks of a document are stored; beside the status stand n_found, the chunks
+        that its text has, and n_stored, both null where it is unchanged.
+        """
         found = kb.identified(incoming, by_content)
         old, pieces = self.docs(), self.chunks()
         none = found.select("uid", "source", "origin", "title", "text", "content_hash").withColumn("n_chunks", F.lit(0)).withColumn("archived", F.lit(False)).where("false")
@@ -146,12 +150,15 @@ class Store:
         kb.classify_ingest(found, stored).write.parquet(log)  # each attempt; what follows reads it
         done = self.spark.read.parquet(log)
         fresh = done.where("ingest <> 'unchanged'")
-        new = kb.chunks(fresh.select("uid", "text"), "uid")
+        cut = kb.chunks(fresh.select("uid", "text"), "uid")
+        new = cut.where(F.col("ord") < most_chunks)
         kept = pieces.join(fresh.select("uid"), "uid", "left_anti").unionByName(new) if pieces is not None else new
         counts = new.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
         ready = done.join(counts, "uid", "left").na.fill(0, ["n_chunks"])
         self._write(kb.merged(ready, stored).select(*stored.columns), kept)
-        return done.select("seq", "uid", "source", "origin", "ingest")
+        every = cut.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("__n"))
+        n_found = F.when(F.col("ingest") != "unchanged", F.coalesce("__n", F.lit(0)))
+        return done.join(every, "uid", "left").select("seq", "uid", "source", "origin", "ingest", n_found.alias("n_found"), F.least(n_found, F.lit(most_chunks)).alias("n_stored"))
 
     def log(self) -> DataFrame:
         return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/log").select("seq", "source", "origin", "ingest")

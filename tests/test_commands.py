@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.functions.text import slot_key
-from gridlake.operators import receivables, tables
+from gridlake.operators import kb, receivables, tables
 from gridlake.plans import commands
 from tests.test_operators import DAY1, DAY2
 
@@ -142,6 +142,16 @@ def test_store_search_forms(spark, tmp_path):
     assert found("o' a") == [] and found("???") == []
 
 
+def test_all_chunks_and_the_cap_of_the_store(spark, tmp_path):
+    body = "\n".join(f"# h{i}\n" + "x" * 210 for i in range(2100))
+    assert kb.chunks(spark.createDataFrame([(1, body)], "doc_id int, text string")).count() == 2100
+    store = commands.Store(spark, f"file://{tmp_path}/kb")
+    doc = spark.createDataFrame([("v", "a", "A", body, 0), ("v", "b", "B", "short", 1)], "source string, origin string, title string, text string, seq int")
+    assert {r.origin: (r.ingest, r.n_found, r.n_stored) for r in store.ingest(doc).collect()} == {"a": ("new", 2100, 2000), "b": ("new", 1, 1)}
+    assert store.chunks().count() == 2001 and {r.origin: r.n_chunks for r in store.docs().collect()} == {"a": 2000, "b": 1}
+    assert {(r.ingest, r.n_found) for r in store.ingest(doc).collect()} == {("unchanged", None)}
+
+
 def test_store_survives_a_lost_driver(spark, tmp_path):
     store = commands.Store(spark, f"file://{tmp_path}/kb")
     store.ingest(spark.createDataFrame([("v", "a", "A", "t", 0)], "source string, origin string, title string, text string, seq int"))
