@@ -50,26 +50,44 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
+#: Rows of one node that a join may gather; nodes with more are few enough to broadcast.
+MOST_OF_NODE = 1000
+MOST_HOT = 100_000
+
+
+def _attached(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m of a from least (a, m, degree). total rows in all.
+
+    Nodes of many rows (at most 2 * total / bound of them, so at most MOST_HOT) are joined by broadcast: a
+    star's rows stay where they are. The other nodes have few rows each.
+    """
+    bound = max(MOST_OF_NODE, 2 * total // MOST_HOT)
+    hot = F.broadcast(least.where(F.col("degree") > bound).select("a", "m"))
+    mild = least.where(F.col("degree") <= bound).select("a", "m")
+    return rows.join(hot, "a").unionByName(rows.join(hot, "a", "left_anti").join(mild, "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node with an edge to another; label is the smallest node of its component.
+    """(node, label) of the nodes that aren't the smallest of their component; label is the smallest.
 
     Edges are columns a and b, longs that aren't null; loops and repeated edges do no harm. Each round is
-    written, so lost executors cost a round at most. A star's centre is joined with AQE's skew handling.
+    written, so lost executors cost a round at most.
     """
     small_batches(edges.sparkSession)
     now = written(contract(edges.where("a <> b")), "edges")
+    total = now.count()
     seen = None
     while True:
         both = now.select("a", "b").union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("__b"), F.count(F.lit(1)).alias("degree")).select("a", F.least("a", "__b").alias("m"), "degree")
+        large = _attached(both.where("b > a"), low, 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         up = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = up.groupBy("a").agg(F.min("b").alias("m"))
-        small = up.join(least, "a")
+        least = up.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = _attached(up, least, 2 * total)
         stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = written(stars, "edges")
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        state = (found[0], found[1])
+        state, total = (found[0], found[1]), found[0]
         if state == seen or not found[0]:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
         seen = state

@@ -1,18 +1,21 @@
 """Exact Jaccard self-join on word shingles by multiple-global-order filtering.
 
-1. Texts with equal shingle sets form a class (a 128-bit sum of shingle hashes and the set's size); one
-   text of each goes on.
+1. Texts with equal shingle sets form a class (two independent 64-bit sums of shingle hashes and the set's
+   size); one text of each goes on. Sizes are exact: words and shingles of a text are compared by bytes.
 2. Every shingle's document frequency is counted over all classes. Two sets with likeness t share at
    least t of either one's shingles, so a set of which less than t is found elsewhere drops out here.
 3. A global token order, rare shingles first, makes the prefix filter: linked sets share one of their
    first n - ceil(t n) + 1 tokens. Shingles found once can't be shared, so the rest of a prefix is short.
    Three orders that break ties between frequencies by unlike hashes give three prefixes.
-4. Sets connected by prefix tokens of the first order form groups; within a group, a pair must share prefix
-   tokens under all three orders. Only then are the sets themselves intersected.
-5. Links of each group are reduced to a forest, and the forests to components.
-
-Shingles travel as packed arrays dealt by ranges of their hashes. Large groups are cut into blocks and
-the pairs of blocks are dealt out; no pair becomes a row unless it links two components.
+4. Sets with one most frequent prefix token ("home") lie in one block, or in several if they are many. Each
+   block is joined within itself and, where a home has several, with its first. What is linked is contracted.
+5. A set then goes to another block only if, under every one of the three orders, a prefix token of it
+   is a prefix token there of a set in another component. Pairs that share a prefix token under all orders
+   are intersected. So a rare token costs a row a pair, and a hot group that phase 4 connects none.
+
+Shingles travel as packed arrays dealt by ranges of their hashes; those found in a large share of texts
+need no count (any common order will do) and are dealt by text. No pair becomes a row unless it links two
+components. Intersections count equal 64-bit hashes of shingles: two unlike ones meet with odds of 2**-64.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import slices, small_batches, text_bytes, tidy, tidy_group, written
 from gridlake.llm.components import components, forest
-from gridlake.llm.scan import gram_hashes, mix, span_hashes, words
+from gridlake.llm.scan import exact_codes, exact_grams, gram_hashes, mix, paired, span_hashes, words
 
 SLICE = 1 << 20
 ORDERS = 3
@@ -34,85 +38,117 @@ ORDERS = 3
 RANGE_TOKENS = 1_000_000
 BLOCK_TOKENS = 2_000_000
 BLOCK_SETS = 1000
+#: Sets that one step of a task joins at most, unless two blocks hold more.
+BIN_SETS = 3000
 DENSE = 32
+#: A shingle is hot if the slices that report it hold it in a 64th of all rows; so at most 64 times the mean size are hot.
+HOT_SHARE = 64
+HOT_LEVEL = 200
 
 
-def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, ascending within a text, and their offsets.
+def shingle_sets(column: pa.Array, n: int, seeds: tuple[int, ...] = (0,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes (one array a seed) of the distinct shingles of each text, and the texts' offsets among them.
 
     With fewer than n words the whole sequence is the one shingle; without words there is none.
     """
     data, offsets = text_bytes(column)
     starts, ends, places = words(data, offsets)
-    hashes = span_hashes(data, starts, ends, lower=True)
-    grams, at = gram_hashes(hashes, places, n)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    codes, own = exact_codes(data, starts, ends, lower=True)
+    key, bound, place, text = exact_grams(codes, len(own), places, n)
+    same, found = pd.factorize(paired(key, bound, text, len(places))[0])
+    first = np.empty(len(found), np.int64)
+    first[same[::-1]] = np.arange(len(same) - 1, -1, -1)  # ascending, so by text
+    place, text = place[first], text[first]
     count = np.diff(places)
     short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        whole = np.zeros(len(short), np.uint64)
-        for k in range(n - 1):
-            has = count[short] > k
-            word = hashes[np.minimum(places[:-1][short] + k, len(hashes) - 1)]
-            whole = np.where(has, mix(whole * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(1000 + k)), whole)
-        grams, text = np.concatenate([grams, whole]), np.concatenate([text, short])
-    order = np.lexsort((grams, text))
-    grams, text = grams[order], text[order]
-    keep = np.ones(len(grams), bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-    grams, text = grams[keep], text[keep]
-    return grams, np.searchsorted(text, np.arange(len(at)))
-
-
-def fingerprints(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set; the size stands beside them."""
     out = []
-    for salt in (1, 2):
-        run = np.zeros(len(grams) + 1, np.uint64)
-        np.cumsum(mix(grams + np.uint64(salt * 0x51ED2701)), out=run[1:])
+    for seed in seeds:
+        hashes = span_hashes(data, starts[own], ends[own], True, seed)[codes]
+        grams = gram_hashes(hashes, place, n)
+        if len(short):
+            whole = np.zeros(len(short), np.uint64)
+            for k in range(n - 1):
+                word = hashes[np.minimum(places[:-1][short] + k, len(hashes) - 1)]
+                whole = np.where(count[short] > k, mix(whole * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(1000 + k)), whole)
+            grams = np.concatenate([grams, whole])
+        out.append(grams)
+    text = np.concatenate([text, short])
+    order = np.argsort(text, kind="stable")
+    return [g[order] for g in out], np.searchsorted(text[order], np.arange(len(places)))
+
+
+def fingerprints(grams: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """A 64-bit sum over each set for each seed; the size stands beside them."""
+    out = []
+    for g in grams:
+        run = np.zeros(len(g) + 1, np.uint64)
+        np.cumsum(mix(g + np.uint64(0x51ED2701)), out=run[1:])
         out.append(mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    return out
+
+
+def _often(grams: np.ndarray, texts: int) -> tuple[list[int], list[int]]:
+    """Shingles that a 32nd of a slice's texts hold, eight at least, and in how many they are."""
+    least = max(8, texts // 32)
+    if texts < least:
+        return [], []
+    codes, found = pd.factorize(grams)
+    count = np.bincount(codes, minlength=len(found))
+    hot = np.flatnonzero(count >= least)
+    return found[hot].view(np.int64).tolist(), count[hot].tolist()
 
 
 def _sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+    """Of each row its set's size and sums; the first row of a slice also tells the slice's frequent shingles."""
+    names = [id_col, "n", "key", "more", "often", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, column = batch.column(0), batch.column(1).fill_null("")
             for a, b in slices(np.array(pa.compute.binary_length(column), np.int64), SLICE):
-                grams, at = shingle_sets(column[a:b], n)
+                grams, at = shingle_sets(column[a:b], n, (0, 1))
                 key, more = fingerprints(grams, at)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(np.diff(at).astype(np.int64)), pa.array(key), pa.array(more)], names=[id_col, "n", "key", "more"])
+                often, times = _often(grams[0], b - a)
+                rest = [None] * (b - a - 1)
+                lists = [pa.array([x, *rest], pa.list_(pa.int64())) for x in (often, times)]
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(np.diff(at).astype(np.int64)), pa.array(key), pa.array(more), *lists], names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"{id_col} {kind}, n long, key long, more long, often array<bigint>, times array<bigint>")
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"{id_col} {kind}, n long, key long, more long")
 
+PACKED = "range long, chunk long, keys binary, sizes binary, counts binary, low binary, high binary"
 
-def _packed(reps: DataFrame, n: int, ranges: int) -> DataFrame:
+
+def _packed(reps: DataFrame, n: int, ranges: int, hot: np.ndarray, bins: int) -> DataFrame:
     """Rows (range, chunk, keys, sizes, counts, low, high): for each chunk of texts and each range of hashes
-    the tokens in it, by text; keys and sizes of the chunk's sets stand in range 0 only."""
+    the tokens in it, by text; keys and sizes of the chunk's sets stand in range 0 only. Hot tokens
+    have ranges below 0, which follow from the chunk. A chunk has fewer than 2048 texts."""
+    held = reps.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        task, chunk, hot = TaskContext.get().partitionId(), 0, held.value
         for batch in batches:
             column = batch.column(0).fill_null("")
             for a, b in slices(np.array(pa.compute.binary_length(column), np.int64), SLICE):
-                grams, at = shingle_sets(column[a:b], n)
-                key, _ = fingerprints(grams, at)
+                (grams, second), at = shingle_sets(column[a:b], n, (0, 1))
+                key = np.stack(fingerprints([grams, second], at))
                 size = np.diff(at)
                 text = np.repeat(np.arange(b - a), size)
                 part = ((grams >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
+                if len(hot):
+                    part[hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams] = ranges
                 order = np.argsort(part, kind="stable")  # by text within a range
                 grams, text, part = grams[order], text[order], part[order]
-                cut = np.searchsorted(part, np.arange(ranges + 1))
+                cut = np.searchsorted(part, np.arange(ranges + 2))
                 low, high = (grams & np.uint64(0xFFFFFFFF)).astype("<u4"), (grams >> np.uint64(32)).astype("<u4")
-                found = [r for r in range(ranges) if cut[r + 1] > cut[r] or r == 0]
+                found = [r for r in range(ranges + 1) if cut[r + 1] > cut[r] or r == 0]
                 counts = [np.bincount(text[cut[r] : cut[r + 1]], minlength=b - a).astype("<u4").tobytes() for r in found]
                 arrays = [
-                    pa.array(found, pa.int32()),
-                    pa.array([chunk] * len(found), pa.int64()),
+                    pa.array([r if r < ranges else -1 - (31 * task + chunk) % bins for r in found], pa.int64()),
+                    pa.array([task << 28 | chunk] * len(found), pa.int64()),
                     pa.array([key.tobytes() if r == 0 else b"" for r in found], pa.binary()),
                     pa.array([size.astype("<i8").tobytes() if r == 0 else b"" for r in found], pa.binary()),
                     pa.array(counts, pa.binary()),
@@ -122,73 +158,85 @@ def _packed(reps: DataFrame, n: int, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "keys", "sizes", "counts", "low", "high"])
                 chunk += 1
 
-    return reps.select("text").mapInArrow(tidy(run), "range int, chunk long, keys binary, sizes binary, counts binary, low binary, high binary")
+    return reps.select("text").mapInArrow(tidy(run), PACKED)
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of one range: for each chunk its shared tokens (frequency 2 or more), their texts and frequencies."""
+    """Of one range: for each chunk its shared tokens (frequency 2 or more), their texts and levels of frequency.
+
+    Hot tokens get the highest level without a count."""
     rows = table.to_pylist()
     tokens = [np.frombuffer(r["low"], "<u4").astype(np.uint64) | (np.frombuffer(r["high"], "<u4").astype(np.uint64) << np.uint64(32)) for r in rows]
     flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(flat) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(flat)))
-    frequency = np.empty(len(flat), np.int64)
-    frequency[order] = np.repeat(size, size)
+    level = np.full(len(flat), HOT_LEVEL, np.uint8)
+    if rows and rows[0]["range"] >= 0:
+        codes, found = pd.factorize(flat)
+        count = np.bincount(codes, minlength=len(found))
+        level = np.log2(count[codes]).astype(np.uint8) + (count[codes] > 1)  # 0: found once
     out, at = [], 0
     for r, t in zip(rows, tokens, strict=True):
-        f = frequency[at : at + len(t)]
+        f = level[at : at + len(t)]
         at += len(t)
         counts = np.frombuffer(r["counts"], "<u4")
         text = np.repeat(np.arange(len(counts)), counts)
-        keep = f > 1
-        out.append((r["chunk"], r["keys"], r["sizes"], text[keep].astype("<u4").tobytes(), t[keep].tobytes(), np.log2(f[keep]).astype("u1").tobytes()))
+        keep = f > 0
+        out.append((r["chunk"], r["keys"], r["sizes"], text[keep].astype("<u4").tobytes(), t[keep].tobytes(), f[keep].astype("u1").tobytes()))
     columns = list(zip(*out, strict=True)) if out else [[]] * 6
     kinds = [pa.int64(), *[pa.binary()] * 5]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "keys", "sizes", "texts", "tokens", "levels"])
 
 
+ACTIVE = "node long, key long, more long, n long, home long, prefix array<bigint>, marks array<int>, tokens binary, flags binary"
+
+
 def _prefixes(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one chunk: sets that may have a link, with prefixes under each order and their shared tokens."""
+        """Of one chunk: sets that may have a link, with prefixes under each order and their shared tokens.
+
+        A set's node is its chunk's number and its place there, so no two sets share one."""
         rows = table.to_pylist()
         head = next(r for r in rows if r["keys"] or r["sizes"])
-        keys, sizes = np.frombuffer(head["keys"], "<i8"), np.frombuffer(head["sizes"], "<i8")
+        keys, sizes = np.frombuffer(head["keys"], "<i8").reshape(2, -1), np.frombuffer(head["sizes"], "<i8")
         text = np.concatenate([np.frombuffer(r["texts"], "<u4") for r in rows]).astype(np.int64)
         token = np.concatenate([np.frombuffer(r["tokens"], "<u8") for r in rows])
         level = np.concatenate([np.frombuffer(r["levels"], "u1") for r in rows])
-        shared = np.bincount(text, minlength=len(keys))
+        shared = np.bincount(text, minlength=len(sizes))
         need = -(-threshold * sizes // 100)  # ceil
         active = (shared >= need) & (sizes > 0)
         prefix = np.maximum(0, sizes - need + 1 - (sizes - shared))  # what single tokens leave of a prefix
         keep = active[text]
         text, token, level = text[keep], token[keep], level[keep]
-        chosen, full = [], None
+        flags, home = np.zeros(len(text), np.uint8), np.zeros(len(sizes), np.int64)
         for o in range(ORDERS):
             order = np.lexsort((mix(token + np.uint64((o + 1) * 0x632BE5AB)), level, text))
             t = text[order]
-            start = np.searchsorted(t, np.arange(len(keys)))
-            inside = np.arange(len(t)) - start[t] < prefix[t]
-            mask = np.zeros(len(t), bool)
-            mask[order[inside]] = True
-            chosen.append(mask)
+            start = np.searchsorted(t, np.arange(len(sizes)))
+            inside = order[np.arange(len(t)) - start[t] < prefix[t]]
+            flags[inside] |= 1 << o
+            if o == 0:
+                home[text[inside]] = token[inside].view(np.int64)  # the last one of a prefix stays
         by_text = np.argsort(text, kind="stable")
-        text, token = text[by_text], token[by_text]
-        flags = sum(m[by_text].astype(np.uint8) << o for o, m in enumerate(chosen)) if len(text) else np.zeros(0, np.uint8)
-        cut = np.searchsorted(text, np.arange(len(keys) + 1))
+        text, token, flags = text[by_text], token[by_text], flags[by_text]
+        cut = np.searchsorted(text, np.arange(len(sizes) + 1))
         at = np.flatnonzero(active)
-        full = [token[cut[i] : cut[i + 1]].tobytes() for i in at]
-        flag = [flags[cut[i] : cut[i + 1]].astype("u1").tobytes() for i in at]
-        first = [token[cut[i] : cut[i + 1]][(flags[cut[i] : cut[i + 1]] & 1) > 0].view(np.int64).tolist() for i in at]
-        return pa.table([pa.array(keys[at]), pa.array(sizes[at]), pa.array(first, pa.list_(pa.int64())), pa.array(full, pa.binary()), pa.array(flag, pa.binary())], names=["key", "n", "prefix", "tokens", "flags"])
+        part = lambda x, i: x[cut[i] : cut[i + 1]]
+        marked = flags > 0
+        lists = [[part(x, i)[part(marked, i)].tolist() for i in at] for x in (token.view(np.int64), flags)]
+        return pa.table(
+            [
+                pa.array((head["chunk"] << 11) + at, pa.int64()), pa.array(keys[0][at]), pa.array(keys[1][at]), pa.array(sizes[at]), pa.array(home[at]),
+                pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int32())),
+                pa.array([part(token, i).tobytes() for i in at], pa.binary()), pa.array([part(flags, i).tobytes() for i in at], pa.binary()),
+            ],
+            names=["node", "key", "more", "n", "home", "prefix", "marks", "tokens", "flags"],
+        )
 
     return run
 
 
-def links_within(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], flags: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that pass the filter of every order and whose sets link."""
-    count = len(keys)
+def links_within(sizes: np.ndarray, tokens: list[np.ndarray], flags: list[np.ndarray], threshold: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that pass the filter of every order and whose sets link; apart: pairs only of unlike numbers."""
+    count = len(sizes)
     length = [len(t) for t in tokens]
     flat, flag = np.concatenate(tokens), np.concatenate(flags)
     row = np.repeat(np.arange(count), length)
@@ -197,13 +245,15 @@ def links_within(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray],
     mask[np.tril_indices(count)] = False
     ratio = 100 * np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes)
     mask &= ratio
+    if apart is not None:
+        mask &= np.not_equal.outer(apart, apart)
     for o in range(ORDERS):
         if mask.any():
             inside = (flag >> o & 1) > 0
             mask &= _overlaps(row[inside], column[inside], count) > 0
     if not mask.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shared = _overlaps(row, column, count)
+    shared = _overlaps(row, column, count).astype(np.int64)
     mask &= 100 * shared >= threshold * (np.add.outer(sizes, sizes) - shared)
     return np.nonzero(mask)
 
@@ -242,74 +292,118 @@ def _overlaps(row: np.ndarray, column: np.ndarray, count: int) -> np.ndarray:
 
 def _verify(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one bin: a forest of the links in each of its groups."""
-        group = np.asarray(table.column("group"))
-        order = np.argsort(group, kind="stable")
-        cut = np.append(np.flatnonzero(np.append(True, np.diff(group[order]) != 0)), len(order)) if len(order) else np.zeros(1, int)
-        key, size = np.asarray(table.column("key")), np.asarray(table.column("n"))
+        """Of one bin: a forest of the links between its sets of unlike components."""
+        pair = np.asarray(table.column("pair"))
+        node, size, comp = (np.asarray(table.column(c)) for c in ("node", "n", "comp"))
         tokens, flags = table.column("tokens"), table.column("flags")
+        if len(np.unique(node)) <= BIN_SETS:
+            parts = [np.unique(node, return_index=True)[1]]
+        else:
+            order = np.argsort(pair, kind="stable")
+            parts = [at[np.unique(node[at], return_index=True)[1]] for at in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1)]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            at = order[lo:hi]
-            if len(at) < 2:
-                continue
-            x, y = links_within(key[at], size[at], [np.frombuffer(tokens[i].as_py(), "<u8") for i in at.tolist()], [np.frombuffer(flags[i].as_py(), "u1") for i in at.tolist()], threshold)
-            if len(x):
-                one, two = forest(key[at][x], key[at][y])
-                a.append(one)
-                b.append(two)
+        for at in parts:
+            if len(at) > 1:
+                x, y = links_within(size[at], [np.frombuffer(tokens[i].as_py(), "<u8") for i in at.tolist()], [np.frombuffer(flags[i].as_py(), "u1") for i in at.tolist()], threshold, comp[at])
+                if len(x):
+                    one, two = forest(node[at][x], node[at][y])
+                    a.append(one)
+                    b.append(two)
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
+def _blocked(active: DataFrame, least: int) -> DataFrame:
+    """Add block, pivot (the first block of the same home) and parts, the blocks that the home has.
+
+    Homes with few sets share blocks by hash. Should two blocks get one number, they are one block."""
+    every = active.agg(F.count(F.lit(1)), F.sum(F.length("tokens") / 8)).first()
+    small = max(least, int(2 * max(every[0] / BLOCK_SETS, float(every[1] or 0) / BLOCK_TOKENS)) + 1)
+    held = active.groupBy("home").agg(F.count(F.lit(1)).alias("__sets"), F.sum(F.length("tokens") / 8).alias("__held"))
+    parts = F.ceil(F.greatest(F.col("__sets") / BLOCK_SETS, F.col("__held") / BLOCK_TOKENS)).cast("int")
+    large = held.select("home", parts.alias("parts")).where("parts > 1")  # at most a home for each block's worth of sets
+    df = active.join(large, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("home"), F.lit(small))).otherwise(_large(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    return df.withColumn("block", own).withColumn("pivot", F.when(F.col("parts") > 1, _large(F.lit(0))).otherwise(own))
+
+
+def _large(part) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("home", part), 2).bitwiseOR(F.lit(1 << 62))
+
+
+def _links(active: DataFrame, threshold: int, least: int) -> DataFrame:
+    """(node, label) of the sets whose component has a smaller node, with the smallest one as label."""
+    edge, sets = "a long, b long", ["node", "n", "tokens", "flags"]
+    blocked = written(_blocked(active, least), "blocks")
+    first = blocked.where("parts > 1 AND block = pivot").withColumn("__part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    first = first.select(_large(F.col("__part")).alias("pair"), *sets)
+    near = blocked.select(F.col("block").alias("pair"), *sets).unionByName(first).withColumn("comp", F.col("node"))
+    joined = components(near.groupBy("pair").applyInArrow(tidy_group(_verify(threshold)), edge))
+    joined = written(joined, "joined")
+    # what is left: sets with prefix tokens under every order in a block where other components have them too
+    named = blocked.join(joined, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    posting = named.select("node", "block", "comp", F.explode(F.arrays_zip("prefix", "marks")).alias("p")).select("node", "block", "comp", F.col("p.prefix").alias("token"), F.col("p.marks").alias("mark"))
+    seen = [F.when(F.col("mark").bitwiseAND(1 << o) > 0, F.col("comp")) for o in range(ORDERS)]
+    there = posting.groupBy("token", F.col("block").alias("other")).agg(*(f(seen[o]).alias(f"{f.__name__}{o}") for o in range(ORDERS) for f in (F.min, F.max)))
+    unlike = [((F.col("mark").bitwiseAND(1 << o) > 0) & ((F.col(f"min{o}") != F.col("comp")) | (F.col(f"max{o}") != F.col("comp")))) for o in range(ORDERS)]
+    bits = sum((F.when(unlike[o], 1 << o).otherwise(0) for o in range(ORDERS)), F.lit(0))
+    wanted = posting.join(there, "token").where("block <> other").select("node", "block", "other", bits.alias("bits")).where("bits > 0")
+    wanted = wanted.groupBy("node", "block", "other").agg(F.bit_or("bits").alias("bits")).where(f"bits = {(1 << ORDERS) - 1}")
+    pair = F.xxhash64(F.least("block", "other"), F.greatest("block", "other"))
+    wanted = written(wanted.select("node", pair.alias("pair")), "wanted")
+    rows = wanted.count()
+    if not rows:
+        return joined
+    bins = max(least, rows * 2 // BIN_SETS)
+    far = named.select(*sets, "comp").join(wanted, "node").withColumn("__bin", F.pmod("pair", F.lit(bins)))
+    links = far.groupBy("__bin").applyInArrow(tidy_group(_verify(threshold)), edge)
+    return components(links.union(joined.select("node", "label")))
+
+
 def link_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Two texts link when 100 * intersection >= threshold * union of their sets of distinct shingles of words
     [^\\x20\\x09-\\x0D]+, A-Z lower-cased. A null text, or one without words, has an empty set and links with
-    nothing, so its component is its own id. Texts with equal sets link, repeated rows too. A row with a null
-    id gets the component of its equals; one without equals that have an id has none and links with nothing.
+    nothing, so its component is its own id. Texts with equal sets link, repeated rows too. Rows with a null id
+    take part as all others; ids come before null, so a component is null only if none of its rows has an id.
     Other columns are not read; no rows give no rows.
     """
+    if docs.where(F.col(id_col).isNull()).isEmpty():
+        return _linked(docs, shingle, threshold, id_col, text_col)
+    marked = docs.select(_told_apart(id_col, text_col).alias(id_col), F.col(text_col).alias("text"))
+    return _linked(marked, shingle, threshold, id_col, "text").select(F.col(f"{id_col}.id").alias(id_col), "n_shingles", F.col("component_id.id").alias("component_id"))
+
+
+def _told_apart(id_col: str, text_col: str) -> Column:
+    """An id that isn't null: rows without one are told apart by their text and come last."""
+    mark = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), mark.alias("hash"))
+
+
+def _linked(docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = written(_sets_of(docs, shingle, id_col, text_col), "sets")
-    classes = rows.where("n > 0").groupBy("key", "more", "n").agg(F.min(id_col).alias("rep"))
-    classes = written(classes, "classes")
+    classes = written(rows.where("n > 0").groupBy("key", "more", "n").agg(F.min(id_col).alias("rep")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = int(min(60_000, max(parts, -(-total // RANGE_TOKENS))))
+    often = rows.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
+    often = often.groupBy(F.col("x.often").alias("token")).agg(F.sum("x.times").alias("times")).where(F.col("times") >= max(8, rows.count() // HOT_SHARE))
+    hot = np.sort(np.asarray(often.select("token").toArrow().column(0)).view(np.uint64))
+    ranges = max(parts, -(-total // RANGE_TOKENS))
     one = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(classes.select("rep").distinct(), "rep", "left_semi")
-    shared = _packed(one, shingle, ranges).groupBy("range").applyInArrow(tidy_group(_count), "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
-    kinds = "key long, n long, prefix array<bigint>, tokens binary, flags binary"
-    active = written(shared.groupBy("chunk").applyInArrow(tidy_group(_prefixes(threshold)), kinds), "active")
-    # the smallest key of each prefix token, and an edge from it to every other
-    posting = active.select("key", F.explode("prefix").alias("token"))
-    hub = posting.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("__top")).where("hub <> __top").select("token", "hub")
-    near = posting.join(hub, "token").select(F.col("key").alias("a"), F.col("hub").alias("b")).where("a <> b")
-    groups = components(near)
-    grouped = active.join(groups.select(F.col("node").alias("key"), F.col("label").alias("group")), "key", "left").withColumn("group", F.coalesce("group", "key"))
-    grouped = grouped.drop("prefix")
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("tokens") / 8).alias("held")).where("sets > 1")
-    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("held") / BLOCK_TOKENS)).cast("int")
-    sizes = sizes.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("__bin", F.pmod(F.xxhash64("group"), F.lit(4 * parts)))
-    dealt = grouped.join(sizes.select("group", "blocks", "__bin"), "group")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        F.when(F.col("blocks") == 1, F.struct(F.lit(0).alias("k"), F.col("__bin").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"))).otherwise(
-            F.struct(F.lit(1).alias("k"), F.col("group").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        ).alias("bin"),
-        "group", "key", "n", "tokens", "flags",
-    )
-    links = dealt.groupBy("bin").applyInArrow(tidy_group(_verify(threshold)), "a long, b long")
-    joined = components(links)
-    # by class: the smallest representative in its component
-    labels = classes.join(joined.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    lowest = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(lowest, "label").select("key", "more", "n", "component_id")
-    out = rows.join(labels, ["key", "more", "n"], "left")
+    shared = _packed(one, shingle, ranges, hot, parts).groupBy("range").applyInArrow(tidy_group(_count), "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
+    active = written(shared.groupBy("chunk").applyInArrow(tidy_group(_prefixes(threshold)), ACTIVE), "active")
+    linked = active.select("node", "key", "more", "n").join(_links(active, threshold, parts), "node", "left")
+    labels = linked.groupBy("key", "more", "n").agg(F.min(F.coalesce("label", "node")).alias("label"))
+    # by class: the smallest representative in its component; labels are not negative
+    alone = F.col("key").bitwiseOR(F.lit(-(1 << 63)))
+    named = classes.join(labels, ["key", "more", "n"], "left").withColumn("label", F.coalesce("label", alone))
+    lowest = named.where("label >= 0").groupBy("label").agg(F.min("rep").alias("__low"))
+    named = named.join(lowest, "label", "left").select("key", "more", "n", F.coalesce("__low", "rep").alias("component_id"))
+    out = rows.join(named, ["key", "more", "n"], "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
@@ -322,17 +416,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFram
     """
     if docs.where("doc_id IS NULL").isEmpty():
         return _kept(docs, shingle, threshold)
-    mark = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
-    marked = docs.withColumn("__doc", F.col("doc_id")).withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("hash")))
+    marked = docs.withColumn("__doc", F.col("doc_id")).withColumn("doc_id", _told_apart("doc_id", "text"))
     wordless = F.col("__doc").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    linked = marked.where(~wordless)
-    kept = _kept(linked, shingle, threshold).unionByName(marked.where(wordless))
+    kept = _kept(marked.where(~wordless), shingle, threshold).unionByName(marked.where(wordless))
     return kept.withColumn("doc_id", F.col("__doc")).select(*docs.columns)
 
 
 def _kept(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    found = link_documents(docs, shingle, threshold)
+    found = _linked(docs, shingle, threshold, "doc_id", "text")
     keep = found.where("n_shingles = 0 OR doc_id = component_id").select("doc_id").distinct()
     one = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    first = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.lit(1))
     return one.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")

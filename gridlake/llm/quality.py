@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlake.llm.common import slices, small_batches, sums, text_bytes, tidy
-from gridlake.llm.scan import SPACE, gram_hashes, mix, span_hashes, words
+from gridlake.llm.scan import SPACE, exact_codes, exact_grams, paired, words
 
 SLICE = 1 << 20
 SYMBOL = np.zeros(256, bool)
@@ -64,20 +64,19 @@ class Texts:
         filled = np.concatenate([[0], np.cumsum(~SPACE[self.data])])
         keep = (starts < cut) & (filled[cut] > filled[np.minimum(starts, len(self.data))])
         starts, cut, text = starts[keep], cut[keep], text[keep]
-        hashes = mix(span_hashes(self.data, starts, cut) ^ mix(text.astype(np.uint64) + np.uint64(7)))
-        first = np.zeros(len(hashes), bool)
-        first[np.unique(hashes, return_index=True)[1]] = True
+        codes, own = exact_codes(self.data, starts, cut)
+        first = np.zeros(len(codes), bool)
+        first[np.unique(paired(text, len(self), codes, len(own))[0], return_index=True)[1]] = True
         n = len(self)
         lines = np.bincount(text, minlength=n)
         return {"n_lines": lines, "n_dup_lines": lines - np.bincount(text[first], minlength=n)}
 
     def _repeats_(self) -> dict[str, np.ndarray]:
         starts, ends, places = self.words()
-        grams, offsets = gram_hashes(span_hashes(self.data, starts, ends), places, 3)
-        text = np.repeat(np.arange(len(self)), np.diff(offsets))
-        codes, _ = pd.factorize(mix(grams ^ mix(text.astype(np.uint64) + np.uint64(7))))
-        again = np.bincount(codes)[codes] > 1 if len(codes) else np.zeros(0, bool)
-        at = (np.arange(len(codes)) + (places[:-1] - offsets[:-1])[text])[again]
+        codes, own = exact_codes(self.data, starts, ends)
+        grams, bound, place, text = exact_grams(codes, len(own), places, 3)
+        same, found = pd.factorize(paired(grams, bound, text, len(self))[0])
+        at = place[np.bincount(same, minlength=len(found))[same] > 1]
         covered = np.zeros(len(starts) + 3, bool)
         for k in range(3):
             covered[at + k] = True

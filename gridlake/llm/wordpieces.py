@@ -11,11 +11,10 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 from tokenizers import Tokenizer
 
 from gridlake.llm.common import sums
-from gridlake.llm.scan import span_hashes
+from gridlake.llm.scan import exact_codes
 
 #: Letters, numbers and white space below code point 256.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -125,7 +124,7 @@ class Encoder:
     """Token ids of whole texts: each distinct pre-token is merged once and then looked up.
 
     merge gives the ids of pre-tokens (as UTF-8). known: pre-tokens proven to be one token. Texts below
-    code point 256 without special strings are split as arrays of bytes and looked up by 64-bit hashes;
+    code point 256 without special strings are split as arrays of bytes and looked up by their bytes;
     other texts go through Splitter. memo: distinct merged pre-tokens remembered at most.
     """
 
@@ -136,16 +135,13 @@ class Encoder:
     def reset(self) -> None:
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.first, self.size, self.rows = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         words = [w for w in self.known if plain(w)]
-        coded = [w.encode("latin-1") for w in words]
-        ends = np.cumsum([len(w) for w in coded]) if coded else np.zeros(0, np.int64)
-        hashes = span_hashes(np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if coded else []
-        self.add([int(h) for h in hashes], [(self.known[w],) for w in words])
+        self.add([w.encode("latin-1") for w in words], [(self.known[w],) for w in words])
         self.other: dict[str | int, tuple[int, ...]] = {w: (i,) for w, i in self.known.items()}
         self.other |= {i: (i,) for i in self.splitter.special.values()}
 
-    def add(self, hashes: list[int], ids: list) -> None:
+    def add(self, words: list[bytes], ids: list) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         while self.used + len(flat) > len(self.flat):
@@ -155,7 +151,7 @@ class Encoder:
         self.flat[self.used : self.used + len(flat)] = flat
         to = slice(self.rows, self.rows + len(ids))
         self.size[to], self.first[to] = sizes, self.used + np.cumsum(sizes) - sizes
-        self.index.update(zip(hashes, range(self.rows, self.rows + len(ids)), strict=True))
+        self.index.update(zip(words, range(self.rows, self.rows + len(ids)), strict=True))
         self.rows += len(ids)
         self.used += len(flat)
 
@@ -165,17 +161,14 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = np.frombuffer(joined, np.uint8)
         starts, ends, places = spans(data, offsets, not self.splitter.lower)
-        codes, found = pd.factorize(span_hashes(data, starts, ends))
-        hashes = found.tolist()
-        rows = np.fromiter(map(self.index.get, hashes, repeat(-1)), np.int64, len(hashes))
+        codes, first = exact_codes(data, starts, ends)
+        words = [joined[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         rest = np.flatnonzero(rows < 0)
         if len(rest):
-            first = np.empty(len(hashes), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            a, b = starts[first[rest]].tolist(), ends[first[rest]].tolist()
-            words = [joined[x:y] for x, y in zip(a, b, strict=True)]
+            new = [words[i] for i in rest.tolist()]
             rows[rest] = np.arange(self.rows, self.rows + len(rest))
-            self.add([hashes[i] for i in rest.tolist()], self.merge([w if w.isascii() else w.decode("latin-1").encode() for w in words]))
+            self.add(new, self.merge([w if w.isascii() else w.decode("latin-1").encode() for w in new]))
         return rows[codes], places
 
     def slow(self, text: str) -> list[int]:
