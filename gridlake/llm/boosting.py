@@ -22,9 +22,13 @@ class Tree:
 
 @dataclass(frozen=True)
 class Boosted:
+    """precision: that of held-out rows from the threshold on; selected: how many of them."""
+
     start: float
     trees: tuple[Tree, ...]
     threshold: float
+    precision: float = 0.0
+    selected: int = 0
 
     def margin(self, x: dict[str, np.ndarray]) -> np.ndarray:
         n = len(next(iter(x.values()))) if x else 0
@@ -56,7 +60,7 @@ def _column(tree: Tree, of) -> Column:
 def _grow(x: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int, rate: float) -> Tree:
     total_g, total_h = g[at].sum(), h[at].sum()
     best = (1e-9, None, 0.0)
-    if depth and len(at) >= 20:
+    if depth and len(at) >= 10:
         for name in sorted(x):
             v = x[name][at]
             order = np.argsort(v, kind="stable")
@@ -74,26 +78,40 @@ def _grow(x: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, at: np.ndarray
     return Tree(feature=best[1], cut=best[2], low=_grow(x, g, h, at[goes], depth - 1, rate), high=_grow(x, g, h, at[~goes], depth - 1, rate))
 
 
-def fit(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.98) -> Boosted:
-    """Fit on two thirds of the rows; calibrate the threshold on the rest.
+FOLDS = 3
 
-    The threshold is the lowest margin from which on the held-out precision stays at or above precision,
-    with 20 rows at least; without one nothing is ever selected.
-    """
-    held = np.arange(len(y)) % 3 == 0
-    part = {k: v[~held] for k, v in x.items()}
-    label = y[~held].astype(float)
-    if len(label) < 20 or label.min() == label.max():
-        return Boosted(0.0, (), float("inf"))
-    start = float(np.log(label.mean() / (1 - label.mean())))
-    margin, trees = np.full(len(label), start), []
+
+def _boost(x: dict[str, np.ndarray], y: np.ndarray, rounds: int, depth: int, rate: float) -> Boosted:
+    if not len(y) or y.min() == y.max():
+        return Boosted(-20.0 if not len(y) or y.min() == 0 else 20.0, (), float("inf"))
+    start = float(np.log(y.mean() / (1 - y.mean())))
+    margin, trees = np.full(len(y), start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        trees.append(_grow(part, label - p, p * (1 - p), np.arange(len(label)), depth, rate))
-        margin += _apply(trees[-1], part, np.arange(len(label)))
-    model = Boosted(start, tuple(trees), float("inf"))
-    score, truth = model.margin({k: v[held] for k, v in x.items()}), y[held].astype(float)
+        trees.append(_grow(x, y - p, p * (1 - p), np.arange(len(y)), depth, rate))
+        margin += _apply(trees[-1], x, np.arange(len(y)))
+    return Boosted(start, tuple(trees), float("inf"))
+
+
+def fit(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.98, least: int = 8) -> Boosted:
+    """Fit on all rows; calibrate the threshold on margins of rows that a model didn't see, in three folds.
+
+    The threshold is the lowest margin from which on the share of right ones stays at or above precision,
+    with least rows selected at least; without one nothing is ever selected.
+    """
+    y = y.astype(float)
+    if len(y) < 2 * least or y.min() == y.max():
+        return Boosted(0.0, (), float("inf"))
+    fold, score = np.arange(len(y)) % FOLDS, np.empty(len(y))
+    for k in range(FOLDS):
+        out = fold == k
+        seen = _boost({f: v[~out] for f, v in x.items()}, y[~out], rounds, depth, rate)
+        score[out] = seen.margin({f: v[out] for f, v in x.items()})
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    last = np.flatnonzero((right >= precision) & (np.append(np.diff(score[order]) < 0, True)) & (np.arange(len(order)) >= 19))
-    return Boosted(start, tuple(trees), float(score[order][last[-1]])) if len(last) else model
+    right, count = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    good = (right / count >= precision) & np.append(np.diff(score[order]) < 0, True) & (count >= least)
+    model, last = _boost(x, y, rounds, depth, rate), np.flatnonzero(good)
+    if not len(last):
+        return Boosted(model.start, model.trees, float("inf"))
+    n = int(last[-1])
+    return Boosted(model.start, model.trees, float(score[order][n]), float(right[n] / (n + 1)), n + 1)

@@ -55,53 +55,101 @@ def fingerprint(paths: set[str]) -> str:
 class Mapping:
     """Where a layout holds its turns.
 
-    turns: the list's path, with role and text fields of its items. Or parts: (path, role) of single
-    fields; parts of one role in a row are joined by a blank line, absent and empty ones left out.
+    turns: the list's path, with role and text fields of its items; roles renames them where a layout has
+    names of its own. Or parts: (path, role) of single fields, of which needs must be there; parts of one
+    role in a row are joined by a blank line, absent and empty ones left out.
     """
 
     name: str
-    needs: frozenset[str]
     turns: str = ""
     role: str = ""
     text: str = ""
+    roles: tuple[tuple[str, str], ...] = ()
+    needs: frozenset[str] = frozenset()
     parts: tuple[tuple[str, str], ...] = ()
 
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Roles as the from/value layout names them.
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 MAPPINGS = (
-    Mapping("turns", frozenset({"turns[].role", "turns[].text"}), "turns", "role", "text"),
-    Mapping("messages", frozenset({"messages[].role", "messages[].content"}), "messages", "role", "content"),
-    Mapping("from_value", frozenset({"conversations[].from", "conversations[].value"}), "conversations", "from", "value"),
-    Mapping("instruction", frozenset({"instruction", "output"}), parts=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant"))),
-    Mapping("prompt_completion", frozenset({"prompt", "completion"}), parts=(("system", "system"), ("prompt", "user"), ("completion", "assistant"))),
-    Mapping("prompt_response", frozenset({"prompt", "response"}), parts=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
-    Mapping("question_answer", frozenset({"question", "answer"}), parts=(("context", "user"), ("question", "user"), ("answer", "assistant"))),
+    Mapping("turns", "turns", "role", "text"),
+    Mapping("messages", "messages", "role", "content"),
+    Mapping("from_value", "conversations", "from", "value", SPEAKERS),
+    Mapping("instruction", needs=frozenset({"instruction", "output"}), parts=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant"))),
+    Mapping("prompt_completion", needs=frozenset({"prompt", "completion"}), parts=(("system", "system"), ("prompt", "user"), ("completion", "assistant"))),
+    Mapping("prompt_response", needs=frozenset({"prompt", "response"}), parts=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
+    Mapping("question_answer", needs=frozenset({"question", "answer"}), parts=(("context", "user"), ("question", "user"), ("answer", "assistant"))),
 )
 
 
+def place_of(mapping: Mapping, paths: set[str]) -> str | None:
+    """The prefix below which paths hold the layout: "" or like "data.", the shortest one; None without."""
+    if mapping.turns:
+        role = f"{mapping.turns}[].{mapping.role}"
+        starts = {p[: -len(role)] for p in paths if p.endswith(role)}
+        text = f"{mapping.turns}[].{mapping.text}"
+        found = [s for s in starts if any(p == s + text or p.startswith((f"{s}{text}[]", f"{s}{text}.")) for p in paths)]
+        found += [p[: -len(f"{mapping.turns}[]")] for p in paths if p.endswith(f"{mapping.turns}[]")]  # no turns at all
+    else:
+        heads = {p.split("[]")[0] for p in paths}  # a field may hold a list or an object
+        heads |= {h[:i] for h in heads for i, c in enumerate(h) if c == "."}
+        first = min(mapping.needs)
+        found = [p[: -len(first)] for p in heads if p.endswith(first)]
+        found = [s for s in found if all(s + n in heads for n in mapping.needs)]
+    found = [s for s in found if (not s or s.endswith(".")) and "[]" not in s]
+    return min(found, key=lambda s: (len(s), s), default=None)
+
+
 class Registry:
-    """Mapping of each fingerprint: looked up, or found once by the paths that a layout needs."""
+    """Mapping and prefix of each fingerprint: looked up, or found once by the paths that a layout needs."""
 
     def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
         self.mappings, self.known = mappings, {}
 
-    def select(self, record: object) -> tuple[str, Mapping | None]:
+    def select(self, record: object) -> tuple[str, tuple[Mapping, str] | None]:
         paths = field_paths(record)
         key = fingerprint(paths)
         if key not in self.known:
-            self.known[key] = next((m for m in self.mappings if m.needs <= paths), None) or next((m for m in self.mappings if m.turns and f"{m.turns}[]" in paths), None)
+            places = [(m, place_of(m, paths)) for m in self.mappings]
+            self.known[key] = min(((m, p) for m, p in places if p is not None), key=lambda x: len(x[1]), default=None)
         return key, self.known[key]
 
 
-def canonical_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
-    """(role, text) in order. A null role is "", a null text is empty."""
+def plain_text(value: object) -> str:
+    """A string as it is, null as empty, a list as its items' texts by line, an object's text field, other values as JSON.
+
+    A lone surrogate, which no UTF-8 text can hold, becomes U+FFFD.
+    """
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "\n".join(map(plain_text, value))
+    if isinstance(value, dict):
+        return plain_text(value["text"]) if "text" in value else json.dumps(value, sort_keys=True)
+    text = value if isinstance(value, str) else json.dumps(value)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def canonical_turns(record: dict, mapping: Mapping, prefix: str = "") -> list[tuple[str, str]] | None:
+    """(role, text) in order, None where a turn is no object. Roles and texts are as plain_text makes them."""
+    for key in prefix.split(".")[:-1]:
+        record = record.get(key) if isinstance(record, dict) else None  # a list of objects holds no one layout
+    if not isinstance(record, dict):
+        return None
     if mapping.turns:
-        found = record.get(mapping.turns) or []
-        return [(ROLES.get(t.get(mapping.role), t.get(mapping.role)) or "", t.get(mapping.text) or "") for t in found]
+        found, roles = record.get(mapping.turns) or [], dict(mapping.roles)
+        if not isinstance(found, list) or not all(isinstance(t, dict) for t in found):
+            return None
+        named = [(plain_text(t.get(mapping.role)), plain_text(t.get(mapping.text))) for t in found]
+        return [(roles.get(r, r), t) for r, t in named]
     out: list[tuple[str, str]] = []
     for path, role in mapping.parts:
-        text = record.get(path)
+        text = plain_text(record.get(path))
         if text and out and out[-1][0] == role:
             out[-1] = (role, f"{out[-1][1]}\n\n{text}")
         elif text:
@@ -129,8 +177,8 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """Format JSON records: id, fingerprint, layout, formatted, mask array<struct<from,to>>.
 
-    A record that is null, no JSON object or in no known layout has layout and formatted null and an empty
-    mask. Repeated rows repeat; no rows give no rows; other columns are not read.
+    A layout may lie below other objects (data.messages). A record that is null, no JSON object, in no known
+    layout or with a turn that is no object has layout and formatted null and an empty mask. Repeated rows repeat; no rows give no rows; other columns are not read.
     """
     small_batches(records.sparkSession)
     schema = f"{id_col} {records.schema[id_col].dataType.simpleString()}, fingerprint string, layout string, formatted string, mask array<struct<from:int,to:int>>"
@@ -143,12 +191,13 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
             for raw in batch.column(1).to_pylist():
                 try:
                     record = json.loads(raw) if raw else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
-                key, mapping = registry.select(record) if isinstance(record, dict) else (None, None)
-                text, mask = render(canonical_turns(record, mapping)) if mapping else (None, [])
+                key, found = registry.select(record) if isinstance(record, dict) else (None, None)
+                turns = canonical_turns(record, *found) if found else None
+                text, mask = render(turns) if turns is not None else (None, [])
                 keys.append(key)
-                layouts.append(mapping.name if mapping else None)
+                layouts.append(found[0].name if turns is not None else None)
                 texts.append(text)
                 masks.append([{"from": a, "to": b} for a, b in mask])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(masks, pa.list_(span))], names=[id_col, "fingerprint", "layout", "formatted", "mask"])
@@ -157,13 +206,22 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
 
 
 def records_from_rows(rows: DataFrame) -> DataFrame:
-    """conversations (a row a turn) as JSON records in the layout "turns".
+    """conversations (a row a turn) as JSON records, in layouts that a hash of conv_id picks.
 
-    Turns are in order of turn (nulls first), role, text; null texts are empty. A conversation is one
-    record, so its rows meet in one task.
+    Layouts: turns; data.messages with lists of parts as content; conversations of from and value, where all
+    roles are plain ones. Turns are in order of turn (nulls first), role, text; null texts are empty. A
+    conversation is one record, so its rows meet in one task.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))).alias("record"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("__turns"))
+    each = lambda f: F.transform("__turns", f)
+    turns = F.struct(each(lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    parts = each(lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content")))
+    spoken = each(lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["text"].alias("value")))
+    plain = F.forall("__turns", lambda t: t["role"].isin("user", "assistant", "system"))
+    pick = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    record = F.when(pick == 1, F.to_json(F.struct(F.struct(parts.alias("messages")).alias("data")))).when((pick == 2) & plain, F.to_json(F.struct(spoken.alias("conversations")))).otherwise(F.to_json(turns))
+    return whole.select("conv_id", record.alias("record"))
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import small_batches, tidy, written
+from gridlake.llm.common import discard, small_batches, tidy, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = up.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
         small = _attached(up, least, 2 * total)
         stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(stars, "edges")
+        before, now = now, written(stars, "edges")
+        discard(before)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         state, total = (found[0], found[1]), found[0]
         if state == seen or not found[0]:

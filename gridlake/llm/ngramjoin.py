@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import slices, small_batches, text_bytes, tidy, tidy_group, written
+from gridlake.llm.common import discard, slices, small_batches, text_bytes, tidy, tidy_group, written
 from gridlake.llm.components import components, forest
 from gridlake.llm.scan import exact_codes, exact_grams, gram_hashes, mix, paired, span_hashes, words
 
@@ -354,11 +354,14 @@ def _links(active: DataFrame, threshold: int, least: int) -> DataFrame:
     wanted = written(wanted.select("node", pair.alias("pair")), "wanted")
     rows = wanted.count()
     if not rows:
+        discard(blocked, wanted)
         return joined
     bins = max(least, rows * 2 // BIN_SETS)
     far = named.select(*sets, "comp").join(wanted, "node").withColumn("__bin", F.pmod("pair", F.lit(bins)))
     links = far.groupBy("__bin").applyInArrow(tidy_group(_verify(threshold)), edge)
-    return components(links.union(joined.select("node", "label")))
+    out = components(links.union(joined.select("node", "label")))
+    discard(blocked, joined, wanted)
+    return out
 
 
 def link_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

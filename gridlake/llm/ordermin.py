@@ -7,7 +7,8 @@ text order, and hashed as a tuple: an entry (bucket, 16-bit signature). The fing
 entries; moving a passage changes it although the set of k-mers stays, so it follows edit distance.
 
 A k-mer is one long: 40 bits of hash (the upper 6 are the bucket) and 24 bits of position, so one sort
-of longs orders by bucket and hash. Only repeated k-mers need a number, and each finds its own by binary
+of longs orders by bucket and hash. Positions past 2 ** 24 - 1 count as that one: two selected k-mers from
+beyond it stand in order of their hashes. Only repeated k-mers need a number, and each finds its own by binary
 search among the sorted repeats.
 """
 
@@ -15,7 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Ids that bounds of ranges are taken from, where ids aren't numbers.
+BOUND_IDS = 10_000
 PLACE = 24
 LOW = (1 << PLACE) - 1
 
@@ -57,7 +61,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     blank = F.replace(F.replace(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     df = df.withColumn(hashes, F.transform(F.split(blank, " "), lambda u: F.xxhash64(u)))
     # get() past the end is null, which leaves the last unit's own hash
-    packed = F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(F.col(hashes), i + 1)).bitwiseAND(F.lit(~LOW)).bitwiseOR(i.bitwiseAND(F.lit(LOW)).cast("long")))
+    packed = F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(F.col(hashes), i + 1)).bitwiseAND(F.lit(~LOW)).bitwiseOR(F.least(i, F.lit(LOW)).cast("long")))
     df = df.withColumn(kmers, F.sort_array(packed)).drop(hashes)
     df = df.withColumn(many, F.filter(kmers, lambda x, i: _same(x, F.get(F.col(kmers), i - 1), PLACE)))
     place = lambda x: x.bitwiseAND(F.lit(LOW))
@@ -91,12 +95,17 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     """Add the text of the row after each in ascending (id, text); the last row gets the first's.
 
-    Rows are dealt by ranges of ids, whose bounds are quantiles of all ids; within a range a window finds
-    the next row, and a row a range stitches the ranges together. One shuffle of the texts.
+    Rows are dealt by ranges of ids of any type that has an order. The bounds are quantiles of all ids, or of
+    10,000 of them picked by hash where ids aren't numbers; they change the dealing only. Within a range a
+    window finds the next row, and a row a range stitches the ranges together. One shuffle of the texts.
     """
     spark = docs.sparkSession
     ranges = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
+    if isinstance(docs.schema[id_col].dataType, T.NumericType):
+        cut = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
+    else:
+        some = sorted(r[0] for r in docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(BOUND_IDS).collect())
+        cut = [some[len(some) * i // ranges] for i in range(1, ranges)] if some else []
     bounds = sorted(set(cut))
     group = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(id_col))) if bounds else F.lit(0)
     dealt = docs.withColumn("__range", F.coalesce(group, F.lit(-1))).repartition("__range")

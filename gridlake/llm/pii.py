@@ -1,25 +1,31 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
-Generators of high recall propose spans of a text: the base patterns, and looser ones for numbers and
-addresses. Boosted trees score each loose candidate by its format (digits, groups, separators, check
-sum) and its context (neighbouring characters, cue words before it). They are fitted on a bounded sample
-of candidates, labelled by the base rules; those above a threshold calibrated on held-out candidates are
-added to the base spans, which all stay.
+Generators of high recall propose spans of a text: the base patterns, and looser ones for addresses,
+numbers and secrets (long runs of letters and digits). Boosted trees score each loose candidate by its
+format and its context. Each group has its own trees, fitted on a bounded sample with labels that come
+from evidence which the features don't show: whether a base span overlaps an address or a number, while
+its @, its + and its check digit are hidden; whether a naming cue such as token = stands before a secret,
+while the features show its characters alone. So what looks like personal data without the hidden evidence
+is selected too: addresses with (at) and (dot), phones without +, secrets without a name. Candidates above
+a threshold calibrated on held-out ones are added to the base spans, which all stay.
 
 Matches get their places from split() and regexp_extract_all() of one pattern: the stretches between
 matches and the matches, in turn, make up the text. Patterns are possessive and anchored after the match
-before, so that they take linear time and find what the plain greedy patterns find.
+before, so that they take linear time and find what the plain greedy patterns find. Running sums go over
+chunks of about the square root of the matches, and overlaps are found by binary search.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm import boosting
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the trees add come after the base ones.
+ALL_KINDS = (*KINDS, "secret")
 #: What the contract states, in forms that never go back: a run is entered at its start or right after a match.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -32,28 +38,54 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+",
     "number": r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}",
 }
-SPAN = "array<struct<s:int,e:int,t:string>>"
-FEATURES = ("at", "digits", "dots", "groups", "longest", "luhn", "parens", "plus", "chars", "before", "after", "cue", "distinct")
-#: Candidates that the trees are fitted on at most, and how many of them one text may give.
+FEATURES = ("digits", "letters", "capitals", "dots", "groups", "longest", "parens", "chars", "before", "after", "cue", "distinct", "switches")
+#: Candidates of a group that its trees are fitted on at most, how many of them one text may give, and of how many texts (about).
 SAMPLE = 20_000
+PER_TEXT = 8
+TEXTS = 400_000
 CUE = r"(?i)(?:tel|phone|fon|call|mobile|fax|mail|contact|card|visa|iban|konto|account|ip|host|server)[^A-Za-z]{0,3}$"
+#: Names that make a following run a secret; labels only, the features of a secret don't show them.
+NAMED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]{0,2}\s{0,2}[\"']?$"
+CONTEXT = 24
+BLOCK = 4096
 
 
-def located(text: Column, pattern: str, needed: Column) -> Column:
-    """All matches, left to right: code point start, end (exclusive) and string."""
-    found = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    empty = F.expr(f"cast(array() as {SPAN})")
-    walk = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["p"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["p"])).alias("s"), (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("e"), x["m"].alias("t"))))).cast(SPAN).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(needed, walk).otherwise(empty)
+def _chunked(items: str) -> Column:
+    """An array column as an array of about as many chunks as a chunk has items."""
+    n = F.size(items)
+    each = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / each).cast("int"), F.lit(0))), lambda k: F.slice(items, k * each + 1, each))
+
+
+def _running(df: DataFrame, items: str, out: str, step, join) -> DataFrame:
+    """out: for each number of the array before which value stands, by step from 0: two levels of chunks.
+
+    step(acc, x) must be associative with 0 as its neutral element; join adds what stands before a chunk.
+    """
+    none = lambda: F.expr("cast(array() as array<int>)")
+    walk = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("at"), none().alias("out")), lambda acc, x: F.struct(step(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    df = df.withColumn("__walks", F.transform(_chunked(items), walk))
+    df = df.withColumn("__heads", walk(F.transform("__walks", lambda w: w["at"]))["out"])
+    return df.withColumn(out, F.flatten(F.zip_with("__walks", "__heads", lambda w, h: F.transform(w["out"], lambda v: join(h, v))))).drop("__walks", "__heads")
+
+
+def with_located(df: DataFrame, text: Column, pattern: str, needed: Column, out: str) -> DataFrame:
+    """Add all matches, left to right: code point start, end (exclusive), string, and up to 24 characters
+    before it (back to the match before) and the one after it."""
+    df = df.withColumn("__gaps", F.when(needed, F.split(text, pattern, -1)).otherwise(F.array(text)))
+    df = df.withColumn("__hits", F.when(needed, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(F.expr("cast(array() as array<string>)")))
+    df = df.withColumn("__wide", F.zip_with("__gaps", "__hits", lambda g, h: F.char_length(g) + F.coalesce(F.char_length(h), F.lit(0))))
+    df = _running(df, "__wide", "__starts", lambda a, x: a + x, lambda h, v: h + v)
+
+    def span(x: Column) -> Column:
+        start = x["__starts"] + F.char_length(x["__gaps"])
+        return F.struct(start.alias("s"), (start + F.char_length(x["__hits"])).alias("e"), x["__hits"].alias("t"), F.right(x["__gaps"], F.lit(CONTEXT)).alias("b"), F.left(x["next"], F.lit(1)).alias("a"))
+
+    # arrays go in as arguments: a column that only a lambda names may be made anew for every item
+    rows = F.arrays_zip("__hits", F.slice("__gaps", 1, F.size("__hits")).alias("__gaps"), F.slice("__starts", 1, F.size("__hits")).alias("__starts"), F.slice("__gaps", 2, F.size("__hits")).alias("next"))
+    return df.withColumn(out, F.transform(rows, span)).drop("__gaps", "__hits", "__wide", "__starts")
 
 
 def _digits(t: Column) -> Column:
@@ -73,21 +105,22 @@ def _holds(kind: str, t: Column) -> Column:
         plain = lambda p: F.regexp_replace(p, "^0+", "")
         return F.forall(F.split(t, r"\."), lambda p: (F.length(plain(p)) < 3) | ((F.length(plain(p)) == 3) & (plain(p) <= "255")))
     if kind == "card":
-        return n.between(16, 19) & luhn(t)
+        return F.when(n.between(16, 19), luhn(t)).otherwise(F.lit(False))
     if kind == "phone":
         return n.between(8, 15)
     return F.lit(True)
 
 
 def with_base(df: DataFrame, text_col: str) -> DataFrame:
-    """Add a column of spans for each kind. The text must not be null."""
-    text, keep = F.col(text_col), df.columns
+    """Add a column of spans for each kind, and __number, whether digits follow each other. The text must not be null."""
+    text = F.col(text_col)
     df = df.withColumn("__number", text.rlike(r"[0-9][\x20().-]{0,2}[0-9]"))
     for kind in KINDS:
         needed = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
         # digits of a phone may stand any number of separators apart
-        df = df.withColumn(f"__all_{kind}", located(text, PATTERNS[kind], needed if kind in ("email", "phone") else needed & F.col("__number")))
-    return df.select(*keep, "__number", *(F.filter(f"__all_{k}", _keeper(k)).alias(f"__{k}") for k in KINDS))
+        df = with_located(df, text, PATTERNS[kind], needed if kind in ("email", "phone") else needed & F.col("__number"), "__all")
+        df = df.withColumn(f"__{kind}", F.filter("__all", _keeper(kind))).drop("__all")
+    return df
 
 
 def _keeper(kind: str):
@@ -95,105 +128,163 @@ def _keeper(kind: str):
 
 
 def with_candidates(df: DataFrame, text_col: str) -> DataFrame:
-    """Add __loose: candidates with their features, and __base, all base spans with their kinds."""
+    """Add __loose_email, __loose_number and __loose_secret: candidates with their features and label."""
     text = F.col(text_col)
-    base = F.concat(*(F.transform(f"__{k}", _kinded(k)) for k in KINDS))
-    df = df.withColumn("__base", base)
-    df = df.withColumn("__loose_email", located(text, LOOSE["email"], text.contains("@") | text.rlike(r"[(\[]at[)\]]")))
-    df = df.withColumn("__loose_number", located(text, LOOSE["number"], F.col("__number")))
-    numbers = F.filter("__loose_number", lambda x: F.length(_digits(x["t"])).between(7, 19))
-    # a candidate that is a base span needs no verdict; its copy serves as a label in fitting
-    loose = F.concat(F.transform("__loose_email", _kinded("email")), F.transform(numbers, lambda x: F.struct(F.when(F.length(_digits(x["t"])) >= 13, F.lit("card")).otherwise(F.lit("phone")).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))))
-    df = df.withColumn("__spans", loose)
-    return df.withColumn("__loose", F.transform("__spans", lambda x: _featured(x, text))).drop("__loose_email", "__loose_number", "__spans")
-
-
-def _kinded(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))
+    df = with_located(df, text, LOOSE["email"], text.contains("@") | text.rlike(r"[(\[]at[)\]]"), "__found_email")
+    df = with_located(df, text, LOOSE["number"], F.col("__number"), "__found_number")
+    df = with_located(df, text, LOOSE["secret"], F.lit(True), "__found_secret")
+    df = df.withColumn("__found_number", F.filter("__found_number", lambda x: F.length(_digits(x["t"])).between(7, 19)))
+    for group in LOOSE:
+        df = df.withColumn(f"__loose_{group}", F.transform(F.transform(f"__found_{group}", _shower(group)), _featurer(group))).drop(f"__found_{group}")
+    return df
 
 
 def _char_class(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"\p{L}"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
 
 
-def _featured(x: Column, text: Column) -> Column:
-    t, n = x["t"], F.length(_digits(x["t"]))
-    before = F.when(x["s"] > 24, F.substring(text, x["s"] - 23, 24)).otherwise(F.substring(text, 1, x["s"]))
-    groups = F.filter(F.split(t, "[^0-9]+"), lambda g: g != "")
-    features = {
-        "at": F.contains(t, F.lit("@")).cast("int"),
-        "digits": n,
-        "dots": F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))),
-        "groups": F.size(groups),
-        "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)),
-        "luhn": luhn(t).cast("int"),
-        "parens": F.contains(t, F.lit("(")).cast("int"),
-        "plus": F.startswith(t, F.lit("+")).cast("int"),
-        "chars": F.length(t),
-        "before": _char_class(F.right(before, F.lit(1))),
-        "after": _char_class(F.substring(text, x["e"] + 1, F.lit(1))),
-        "cue": before.rlike(CUE).cast("int"),
-        "distinct": F.size(F.array_distinct(F.split(_digits(t), ""))),
-    }
-    return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), *(features[f].cast("int").alias(f) for f in FEATURES))
+def _shower(group: str):
+    """Add v, what the features see: neither how an address says at nor the plus of a phone."""
+
+    def shown(x: Column) -> Column:
+        plain = {"email": F.regexp_replace(F.regexp_replace(x["t"], r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", "."), "number": F.regexp_replace(x["t"], r"^\+", "")}.get(group, x["t"])
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["b"].alias("b"), x["a"].alias("a"), plain.alias("v"), F.length(_digits(plain)).alias("d"))
+
+    return shown
+
+
+def _featurer(group: str):
+    def featured(x: Column) -> Column:
+        kind = F.when(x["d"] >= 13, "card").otherwise("phone") if group == "number" else F.lit(group)
+        over = _overlaps_base(x)
+        shown, n = x["v"], x["d"]
+        label = x["b"].rlike(NAMED) if group == "secret" else over
+        letters, capitals = F.length(F.regexp_replace(shown, "[^A-Za-z]", "")), F.length(F.regexp_replace(shown, "[^A-Z]", ""))
+        runs = F.filter(F.split(shown, "[^0-9]+"), lambda g: g != "")
+        features = {
+            "digits": n,
+            "letters": letters,
+            "capitals": capitals,
+            "dots": F.length(shown) - F.length(F.replace(shown, F.lit("."), F.lit(""))),
+            "groups": F.size(runs),
+            "longest": F.coalesce(F.array_max(F.transform(runs, lambda g: F.length(g))), F.lit(0)),
+            "parens": F.contains(shown, F.lit("(")).cast("int"),
+            "chars": F.length(shown),
+            "before": F.lit(0) if group == "secret" else _char_class(F.right(x["b"], F.lit(1))),
+            "after": F.lit(0) if group == "secret" else _char_class(x["a"]),
+            "cue": F.lit(0) if group == "secret" else x["b"].rlike(CUE).cast("int"),
+            "distinct": F.size(F.array_distinct(F.split(shown, ""))),
+            "switches": F.size(F.regexp_extract_all(shown, F.lit("[0-9][A-Za-z]|[A-Za-z](?=[0-9])"), F.lit(0))),
+        }
+        return F.struct(kind.alias("k"), x["s"].alias("s"), x["e"].alias("e"), over.alias("over"), label.cast("int").alias("y"), *(features[f].cast("int").alias(f) for f in FEATURES))
+
+    return featured
 
 
 def _overlaps_base(x: Column) -> Column:
-    return F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    """Whether a base span of any kind overlaps x: the last one that starts before x ends, by binary search."""
+    found = F.lit(False)
+    for kind in KINDS:
+        spans = f"__{kind}"
+        powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(F.size(spans), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda t: F.pow(F.lit(2.0), t).cast("int"))
+        before = F.aggregate(powers, F.lit(0), _stepper(spans, x))
+        found = found | F.coalesce(F.get(spans, before - 1)["e"] > x["s"], F.lit(False))
+    return found
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> boosting.Boosted:
-    """Fit the trees on at most sample candidates of docs; a candidate's label is whether a base span overlaps it.
+def _stepper(spans: str, x: Column):
+    return lambda r, p: F.when(F.get(spans, r + p - 1)["s"] < x["e"], r + p).otherwise(r)
 
-    Rows come in the order of a hash of their text, so the sample doesn't depend on how rows are dealt.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("__text")).where(F.col("__text").contains("@") | F.col("__text").rlike(r"[0-9][\x20().-]{0,2}[0-9]"))
-    found = with_candidates(with_base(rows, "__text"), "__text").where(F.size("__loose") > 0)
-    labelled = F.transform("__loose", lambda x: F.struct(x.alias("c"), _overlaps_base(x).cast("int").alias("y")))
-    # one candidate a text, picked by hash: a text with thousands of them doesn't fill the sample
-    one = found.select(F.xxhash64("__text").alias("h"), labelled.alias("a")).select("h", F.get("a", F.pmod("h", F.size("a")).cast("int")).alias("x"))
-    taken = one.orderBy("h", "x").limit(sample).select(*(F.col(f"x.c.{f}").alias(f) for f in FEATURES), F.col("x.y").alias("y")).toArrow()
-    values = {c: np.asarray(taken.column(c)).astype(float) for c in taken.column_names}
-    return boosting.fit({f: values[f] for f in FEATURES}, values["y"])
 
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, texts: int = TEXTS) -> dict[str, boosting.Boosted]:
+    """Trees for each group, fitted on at most sample candidates of about texts distinct texts.
 
-def find(docs: DataFrame, model: boosting.Boosted, text_col: str = "text") -> DataFrame:
-    """Add base and spans, arrays of struct<k, s, e>, by kind as in KINDS and then start.
+    Texts are picked by their hash, and each gives PER_TEXT candidates of a group at most, so the sample
+    depends neither on how rows are dealt nor on copies. A group without enough candidates of both labels
+    selects nothing.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    share = min(1.0, texts / max(1, docs.count()))
+    rows = docs.select(text.alias("__text")).withColumn("__h", F.xxhash64("__text"))
+    rows = rows.where(F.pmod("__h", F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    found = with_candidates(with_base(rows, "__text"), "__text")
+    pick = lambda g: F.slice(F.array_sort(F.transform(f"__loose_{g}", lambda x: F.struct(F.xxhash64(F.col("__h"), x["s"]).alias("h"), x.alias("x")))), 1, PER_TEXT)
+    # no filter on candidates here: pushed below all projections, it would repeat their expressions in one another
+    once = found.select("__h", *(pick(g).alias(g) for g in LOOSE)).groupBy("__h").agg(*(F.max(g).alias(g) for g in LOOSE))
+    every = F.concat(*(F.transform(g, _tagged(g)) for g in LOOSE))
+    taken = once.select(F.explode(every).alias("c")).select("c.*")
+    place = F.row_number().over(Window.partitionBy("g").orderBy("h", "x"))
+    table = taken.withColumn("__r", place).where(F.col("__r") <= sample).select("g", "h", *(F.col(f"x.{f}").alias(f) for f in FEATURES), F.col("x.y").alias("y")).toArrow()
+    values = {c: np.asarray(table.column(c)) for c in table.column_names}
+    order, out = np.argsort(values["h"], kind="stable"), {}
+    for g in LOOSE:
+        at = order[values["g"][order] == g]
+        out[g] = boosting.fit({f: values[f][at].astype(float) for f in FEATURES}, values["y"][at].astype(float))
+    return out
+
+
+def _tagged(group: str):
+    return lambda c: F.struct(F.lit(group).alias("g"), c["h"].alias("h"), c["x"].alias("x"))
+
+
+def find(docs: DataFrame, model: dict[str, boosting.Boosted], text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
+    """Add two arrays of struct<k, s, e>, by kind as in ALL_KINDS and then start: base_col and spans_col.
 
     Spans are the base ones and the loose candidates that the trees select and no base span overlaps. A null
-    text has none. Rows and columns stay as they are. No shuffle.
+    text has none. Rows and columns stay as they are, but columns of these two names are replaced. No shuffle.
+    Write the result before filtering by spans, else the filter repeats what makes them.
     """
-    keep = docs.columns
-    df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    keep = [c for c in docs.columns if c not in (base_col, spans_col)]
+    df = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     df = with_candidates(with_base(df, "__text"), "__text")
     plain = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
-    chosen = F.filter("__loose", lambda x: (model.margin_column(lambda f: x[f]) >= F.lit(model.threshold)) & ~_overlaps_base(x))
-    df = df.withColumn("__extra", chosen)
-    rank = lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["k"]).alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))
-    both = F.transform(F.array_sort(F.transform(F.concat(F.transform("__base", plain), F.transform("__extra", plain)), rank)), plain)
-    return df.select(*keep, F.transform("__base", plain).alias("base"), both.alias("spans"))
+    df = df.withColumn("__base", F.concat(*(F.transform(f"__{k}", _kinded(k)) for k in KINDS)))
+    df = df.withColumn("__extra", F.concat(*(F.transform(F.filter(f"__loose_{g}", _chooser(model[g])), plain) for g in LOOSE)))
+    rank = lambda x: F.struct(F.array_position(F.array(*map(F.lit, ALL_KINDS)), x["k"]).alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))
+    both = F.transform(F.array_sort(F.transform(F.concat("__base", "__extra"), rank)), plain)
+    return df.select(*keep, F.col("__base").alias(base_col), both.alias(spans_col))
+
+
+def _kinded(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
 
-def joined(spans: str) -> Column:
+def _chooser(model: boosting.Boosted):
+    if not np.isfinite(model.threshold):
+        return lambda x: F.lit(False)
+    return lambda x: ~x["over"] & (model.margin_column(lambda f: x[f]) >= F.lit(model.threshold))
+
+
+def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replace each span by its kind in brackets; of overlapping spans the first one names the stretch."""
-    keep = [c for c in found.columns if c not in ("base", "spans")]
-    by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
-    text = F.col(text_col)
+def redact(found: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """Replace each span by its kind in brackets; of overlapping spans the first one names the stretch.
+
+    Columns stay, spans_col included. The text is cut into blocks once, and stretches are put together from
+    blocks, so long texts take linear time. A null text stays null.
+    """
+    text, keep = F.col(text_col), found.columns
+    df = found.withColumn("__by", F.array_sort(F.transform(spans_col, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k")))))
+    df = df.withColumn("__ends", F.transform("__by", lambda x: -x["e"]))
+    df = _running(df, "__ends", "__past", lambda a, x: F.greatest(a, x), lambda h, v: F.greatest(h, v))
+    df = df.withColumn("__blocks", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+    def stretch(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        block = lambda k: F.coalesce(F.get("__blocks", k), F.lit(""))
+        long = F.concat(F.substring(block(i), a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice("__blocks", i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(block(j), F.lit(1), b % BLOCK))
+        return F.when(a >= b, "").when(i == j, F.substring(block(i), a % BLOCK + 1, b - a)).otherwise(long)
 
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["k"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], -x["e"]).alias("at"), F.when(new, more).otherwise(acc["out"]).alias("out"))
+    def piece(x: Column, past: Column) -> Column:
+        return F.when(x["s"] >= past, F.concat(stretch(past, x["s"]), F.lit("["), F.upper(x["k"]), F.lit("]"))).otherwise(F.lit(""))
 
-    clean = F.aggregate("__by_place", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return found.withColumn("__by_place", by_place).withColumn(text_col, F.when(F.size("__by_place") == 0, text).otherwise(clean)).select(*keep)
+    end = F.array_max("__ends")
+    clean = F.concat(F.array_join(F.zip_with("__by", "__past", piece), ""), stretch(end, F.char_length(text)))
+    return df.withColumn(text_col, F.when(F.size("__by") == 0, text).otherwise(clean)).select(*keep)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(id_col, *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select(id_col, *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -180,8 +180,8 @@ def code_lengths(counts: np.ndarray, k: int) -> np.ndarray:
     return look_up(model, np.arange(k**4, dtype=np.uint32))[:, 0]
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the columns keep (default: the id).
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Add lang_pred and score, or what pred_col and score_col name, to the columns keep (default: the id).
 
     score: the posterior of the prediction with equal priors, 1 / sum of 2 ** (shortest - each code).
     und with score 0 where the text is null or has no letter, or where nothing was learned. Equal code
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     keep = keep or [id_col]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

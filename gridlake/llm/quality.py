@@ -8,6 +8,7 @@ only the texts that all rules before it kept. The order changes what is measured
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,10 @@ from gridlake.llm.scan import SPACE, exact_codes, exact_grams, paired, words
 SLICE = 1 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+MARK = ~SPACE & (np.arange(256) < 128)
+MARK[[b for b in range(128) if chr(b).isalnum()]] = False
+#: Measures that make the contract's columns; with audit they are made for every text.
+COUNTED = ("words", "symbols", "lines", "repeats")
 
 
 class Texts:
@@ -82,6 +87,15 @@ class Texts:
             covered[at + k] = True
         return {"n_repeat_words": sums(covered[: len(starts)], places)}
 
+    def _packed_(self) -> dict[str, np.ndarray]:
+        """Bytes of each text, and of it when compressed: the dearest measure."""
+        cut, raw = self.offsets.tolist(), memoryview(np.ascontiguousarray(self.data))
+        return {"n_bytes": np.diff(self.offsets), "n_packed": np.array([len(zlib.compress(raw[a:b], 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.int64)}
+
+    def _marks_(self) -> dict[str, np.ndarray]:
+        """Bytes that are ASCII and no letter, digit or space."""
+        return {"n_marks": sums(MARK[self.data], self.offsets), "n_bytes": np.diff(self.offsets)}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,6 +113,8 @@ RULES = (
     *BASE,
     Rule("symbols", ("words", "symbols"), lambda m: 100 * m["n_symbols"] > 25 * m["n_words"]),
     Rule("repeated_lines", ("lines",), lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
+    Rule("marks", ("marks",), lambda m: 100 * m["n_marks"] > 40 * m["n_bytes"]),
+    Rule("regular", ("packed",), lambda m: (m["n_bytes"] >= 500) & (100 * m["n_packed"] < 6 * m["n_bytes"])),
     Rule("word_length", ("words",), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
 )
 
@@ -145,9 +161,9 @@ def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
 def cascade(docs: DataFrame, order: list[str] | None = None, rules: tuple[Rule, ...] = RULES, audit: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verdict of the cascade for each document, in the order given or estimated.
 
-    Columns: id, kept, failed_rule (the first that rejected, null if kept). With audit all measures are
-    also made for every document and returned, with base_failed; else a rejected text costs nothing
-    more. A null text has no words, so few_words rejects it. Repeated rows repeat; other columns are not
+    Columns: id, kept, failed_rule (the first that rejected, null if kept). With audit the measures of
+    the contract are also made for every document and returned, with base_failed; those of other rules, and
+    without audit all, are made only for texts that no rule before rejected. A null text has no words, so few_words rejects it. Repeated rows repeat; other columns are not
     read; no rows give no rows. No shuffle.
     """
     small_batches(docs.sparkSession)
@@ -165,14 +181,17 @@ def cascade(docs: DataFrame, order: list[str] | None = None, rules: tuple[Rule,
                 for rule in chain:
                     if not len(alive):
                         break
-                    gone = _measured(all_texts, rule)[alive] if audit else _measured(texts, rule)
+                    if audit and set(rule.measures) <= set(COUNTED):
+                        gone = _measured(all_texts, rule)[alive]
+                    else:
+                        if len(texts) > len(alive):
+                            texts = Texts(column[a:b].take(pa.array(alive)))
+                        gone = _measured(texts, rule)
                     failed[alive[gone]] = rule.name
                     alive = alive[~gone]
-                    if not audit and gone.any():
-                        texts = Texts(column[a:b].take(pa.array(alive)))
                 more = []
                 if audit:
-                    found = {k: v for m in ("words", "symbols", "lines", "repeats") for k, v in all_texts.of(m).items()}
+                    found = {k: v for m in COUNTED for k, v in all_texts.of(m).items()}
                     base = np.zeros(b - a, bool)
                     for rule in BASE:
                         base |= rule.rejects(found)

@@ -324,3 +324,60 @@ def test_chat_layouts(spark):
     assert all(chat.read_back(got[i].formatted) == same for i in range(len(records)))
     assert len({got[i].fingerprint for i in range(len(records))}) == len(records)
     assert [got[i].formatted for i in (90, 91, 92, 93)] == [None, None, None, ""]
+
+
+def test_chat_odd_records(spark):
+    import json
+
+    good = [
+        ('{"data": {"messages": [{"role": "human", "content": [{"type": "text", "text": "p"}, "q", null, 5]}]}}', [("human", "p\nq\n\n5")]),
+        ('{"turns": [{"role": "gpt", "text": 7}, {"role": null, "text": {"a": 1}}, {"role": "user", "text": null}]}', [("gpt", "7"), ("", '{"a": 1}'), ("user", "")]),
+        ('{"messages": [{"role": "user", "content": "s"}, {"role": "user", "content": [{"text": "t"}]}]}', [("user", "s"), ("user", "t")]),
+        ('{"turns": [{"role": "user", "text": "x\\ud800y"}]}', [("user", "x\ufffdy")]),
+        ('{"a": {"b": {"prompt": "p", "completion": ["c", "d"]}}}', [("user", "p"), ("assistant", "c\nd")]),
+        ('{"conversations": [{"from": "gpt", "value": "v"}, {"from": "other", "value": "w"}]}', [("assistant", "v"), ("other", "w")]),
+    ]
+    bad = ['{"turns": ["a"]}', '{"turns": [null]}', '{"turns": [{"role": "user", "text": "t"}, 3]}', '{"turns": "text"}', "[1]", "5", '{"list": [{"prompt": "p", "completion": "c"}]}', "[" * 5000]
+    rows = [*((i, r) for i, (r, _) in enumerate(good)), *((100 + i, r) for i, r in enumerate(bad)), (None, good[0][0]), (0, good[0][0])]
+    got = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.conv_id is not None and r.conv_id >= 100:
+            assert r.formatted is None and r.layout is None and r.mask == []
+        else:
+            assert chat.read_back(r.formatted) == good[r.conv_id or 0][1]
+    assert json.loads(good[3][0])
+
+
+def test_texts_that_polynomial_hashes_confuse():
+    import pyarrow as pa
+
+    from gridlake.llm import rankbpe, tokencount
+    from tokenizers import Tokenizer
+
+    codec = rankbpe.RankBPE(registry.tokenizer_path("byte_bpe_50k.json"))
+    words_path = registry.tokenizer_path("word_bpe_49k.json")
+    words = tokencount.word_encoder(words_path, tokencount.prove_whole_tokens(words_path))
+    library = [Tokenizer.from_file(registry.tokenizer_path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k")]
+    for n in (1024, 2048, 4096):
+        pair = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n)) for k in (0, 1)]
+        both = [codec.encode(pair), [x.tolist() for x in words.ids(pair)]]
+        for found, lib in zip(both, library, strict=True):
+            assert found == [e.ids for e in lib.encode_batch(pair, add_special_tokens=False)]
+        t = quality.Texts(pa.array(["\n".join([*pair, pair[0]]), " ".join(pair * 3)]))
+        assert t.of("lines")["n_dup_lines"].tolist() == [1, 0] and t.of("repeats")["n_repeat_words"].tolist() == [0, 6]
+
+
+def test_exact_codes_tell_equal_keys_apart():
+    """With all keys equal, spans are still told apart by their bytes, short and very long ones."""
+    import numpy as np
+
+    from gridlake.llm import scan
+
+    spans = [b"a", b"ab", b"a", b"b" * 300, b"b" * 299 + b"c", b"b" * 300, b"abcdefgh1", b"abcdefgh2", b"ab"]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    starts = ends - [len(x) for x in spans]
+    for keys in (None, np.zeros(len(spans), np.uint64)):
+        codes, first = scan.exact_codes(data, starts, ends, keys=keys)
+        assert [spans[first[c]] for c in codes] == spans and len(first) == len(set(spans))
