@@ -17,14 +17,22 @@ from gridlake.llm.packing import Bins, pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the trees learned; null texts and texts without letters go."""
+    """Keep documents in a language that the trees learned; null texts and texts without letters go.
+
+    A row with a null id is no training row but is told like the others; repeated rows repeat; no rows give
+    none. Columns of docs pass through whatever their names.
+    """
     train = ~F.coalesce(registry.held_out(), F.lit(False))
     model = ppm.train(docs, train)
-    return ppm.predict(docs, model, keep=docs.columns).where(F.col("lang_pred") != ppm.UNKNOWN).select(*docs.columns)
+    told = ppm.predict(docs, model, keep=docs.columns, pred_col="__lang_pred", score_col="__lang_score")
+    return told.where(F.col("__lang_pred") != ppm.UNKNOWN).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that no rule of the cascade rejects."""
+    """Keep documents that no rule of the cascade rejects; a null or empty text has too few words.
+
+    Ids aren't read; repeated rows repeat; no rows give none; other columns pass through.
+    """
     return quality.keep_good(docs)
 
 
@@ -34,9 +42,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by the kind in brackets; n_chars follows the new text."""
-    clean = pii.redact(pii.find(docs, pii.fit(docs)))
-    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Replace personal data in the texts by the kind in brackets; n_chars follows the new text, where docs has it.
+
+    A null text stays null, with a null n_chars. Ids aren't read; repeated rows repeat; no rows give none;
+    other columns pass through.
+    """
+    clean = pii.redact(pii.find(docs, pii.fit(docs), base_col="__pii_base", spans_col="__pii_spans"), spans_col="__pii_spans")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
