@@ -62,7 +62,10 @@ def _attached(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     star's rows stay where they are. The other nodes have few rows each.
     """
     bound = max(MOST_OF_NODE, 2 * total // MOST_HOT)
-    hot = F.broadcast(least.where(F.col("degree") > bound).select("a", "m"))
+    many = least.where(F.col("degree") > bound).select("a", "m").toArrow()
+    if not many.num_rows:
+        return rows.join(least.select("a", "m"), "a")
+    hot = F.broadcast(rows.sparkSession.createDataFrame(many, "a long, m long"))
     mild = least.where(F.col("degree") <= bound).select("a", "m")
     return rows.join(hot, "a").unionByName(rows.join(hot, "a", "left_anti").join(mild, "a"))
 
