@@ -14,8 +14,8 @@ SPACES = r"[\s\p{Z}]"
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(c, rf"^{SPACES}+|{SPACES}+$", "")
+    """Without white space of any script at both ends. A run of blanks is entered at its start only: linear time."""
+    return F.regexp_replace(c, rf"^{SPACES}++|(?<!{SPACES}){SPACES}++$", "")
 
 
 def blank(c: Column) -> Column:
@@ -111,7 +111,7 @@ def apostrophes(c: Column) -> Column:
 
 def normalise_document(c: Column) -> Column:
     """LF line ends, one apostrophe, no blanks at line ends, at most two blank lines in a run, stripped."""
-    lines = F.regexp_replace(F.replace(F.replace(apostrophes(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"(?m)[\s\p{Z}&&[^\n]]+$", "")
+    lines = F.regexp_replace(F.replace(F.replace(apostrophes(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"(?md)(?<![\s\p{Z}&&[^\n]])[\s\p{Z}&&[^\n]]++$", "")
     return strip(F.regexp_replace(lines, r"\n{4,}", "\n\n\n"))
 
 
@@ -133,6 +133,20 @@ def search_prefixes(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.char_length(t) >= 2))
 
 
+def month_word(tab: Column, aliases: list[str]) -> Column:
+    """struct<prefix, rest> of a tab's name at its first word that is a month's alias, or one with a bracket after it; null without."""
+    words = F.filter(F.split(strip(tab), r"\s+"), lambda w: w != "")
+    at = F.array_position(F.transform(words, lambda w: F.regexp_extract(F.lower(w), r"^([^(]*)", 1).isin(aliases)), True)
+    return F.when(at > 0, F.struct(F.array_join(F.slice(words, 1, (at - 1).cast("int")), " ").alias("prefix"), F.array_join(F.slice(words, at.cast("int"), F.size(words)), " ").alias("rest")))
+
+
+def light_metadata(text: Column, title: Column, path: Column, lang: str = "uz", most: int = 300) -> Column:
+    """struct<title, lang, summary> without a model: the title given, else the first heading, else the file's name."""
+    blank_free = lambda c: F.nullif(strip(c), F.lit(""))
+    name = F.coalesce(blank_free(title), first_heading(text), blank_free(file_title(path)))
+    return F.struct(F.substring(name, 1, 120).alias("title"), F.lit(lang).alias("lang"), F.substring(strip(text), 1, most).alias("summary"))
+
+
 def file_title(path: Column) -> Column:
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
     return F.substring(F.translate(stem, "-_", "  "), 1, 120)
@@ -191,10 +205,10 @@ def redact_tokens(c: Column, token: str | None = None) -> Column:
 
 
 def speech_summary(c: Column, most: int = 500) -> Column:
-    """Without Markdown marks; cut at the last sentence end in the second half, else at `most`."""
-    bare = strip(F.regexp_replace(F.regexp_replace(c, r"[*_`#>|]", ""), r"\s+", " "))
+    """Without fenced code and Markdown marks; cut at the last sentence end (a mark and a blank) in the second half, else at `most`."""
+    bare = strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?(?:```|\z)", " "), r"[*_`#>|]", ""), r"\s+", " "))
     head = F.substring(bare, 1, most)
-    cut = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
+    cut = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
     return F.when(F.char_length(bare) <= most, bare).when(F.char_length(cut) > most // 2, cut).otherwise(head)
 
 
@@ -236,8 +250,9 @@ def html_text(s: pd.Series) -> pd.Series:
 
 
 def rtf_text(c: Column) -> Column:
-    """RTF by rule: \\'hh escapes and control words out, braces out."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\\'[0-9a-fA-F]{2}", ""), r"\\[a-zA-Z]+-?[0-9]* ?", "")
+    """RTF by rule: paragraphs and lines broken, \\'hh escapes and control words out, braces out."""
+    lines = F.regexp_replace(F.regexp_replace(c, r"\\'[0-9a-fA-F]{2}", ""), r"\\(?:par|line)(?![a-zA-Z])-?[0-9]* ?", "\n")
+    bare = F.regexp_replace(lines, r"\\[a-zA-Z]+-?[0-9]* ?", "")
     return strip(F.translate(bare, "{}", ""))
 
 

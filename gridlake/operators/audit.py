@@ -86,3 +86,13 @@ def acknowledge(found: DataFrame, acks: DataFrame) -> DataFrame:
 def ack_groups(acknowledged: DataFrame) -> DataFrame:
     """Per key of acknowledged findings: findings, distinct sheets, earliest day."""
     return acknowledged.where("acked").groupBy("key").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("sheet").alias("sheets"), F.min("ack_day").alias("ack_day"))
+
+
+def critical_counts(found: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """Fresh critical findings of each sheet; found: findings that no acknowledgement covers."""
+    return found.where("level = 'critical'").groupBy(sheet).agg(F.count(F.lit(1)).alias("critical"))
+
+
+def by_level(found: DataFrame, *then: str) -> DataFrame:
+    """Findings in order: critical ones first, then as the columns say."""
+    return found.orderBy(F.when(F.col("level") == "critical", 0).otherwise(1), *then)

@@ -67,3 +67,16 @@ def quiet(stats: DataFrame) -> DataFrame:
     """One row: whether nothing at all happened."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return stats.agg((total("added") + total("removed") + total("changed") == 0).alias("quiet"))
+
+
+def totals(stats: DataFrame) -> DataFrame:
+    """One row over all watched ranges: rows added, removed and changed, ranges whose header changed, sheets."""
+    each = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return stats.agg(*map(each, ("added", "removed", "changed")), F.count_if("header_changed").alias("header_changed"), F.countDistinct("sheet_id").alias("sheets"))
+
+
+def assembled(today: DataFrame, before: DataFrame, changes: DataFrame, key: str = "sheet_id") -> DataFrame:
+    """Today's stats of each sheet beside those of the day before (prev_...) and its change counts, in order of names."""
+    others = [c for c in before.columns if c != key]
+    old = before.select(key, *(F.col(c).alias(f"prev_{c}") for c in others))
+    return today.join(old, key, "left").join(changes, key, "left").orderBy(key)

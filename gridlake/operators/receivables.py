@@ -132,3 +132,20 @@ def month_tabs(tabs: DataFrame, year: int) -> DataFrame:
     years = F.regexp_extract_all("title", F.lit(r"(20[0-9]{2})"), 1)
     rank = F.when(F.array_contains(years, str(year)), 0).when(F.size(years) == 0, 1)
     return tabs.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", "title")
+
+
+def owners_by_outstanding(owners: DataFrame) -> DataFrame:
+    """Owners, the largest unpaid sum first; equal sums in order of names."""
+    return owners.orderBy(F.desc("unpaid_sum"), F.asc_nulls_last("owner"))
+
+
+def due_order(rows: DataFrame, today: Column, soon: int = 5) -> DataFrame:
+    """Unpaid rows that are overdue, the longest first, then those due soon by date, with bucket and days (late, or left)."""
+    open_rows = rows.where(unpaid(F.col("status"), F.col("outstanding"))).withColumn("bucket", due_bucket(F.col("due"), today, soon))
+    kept = open_rows.where("bucket IN ('overdue', 'soon')").withColumn("days", F.abs(F.date_diff("due", today)))
+    return kept.orderBy("bucket", F.when(F.col("bucket") == "overdue", -F.col("days")).otherwise(F.col("days")), "project")
+
+
+def owners_with_items(dated: DataFrame, undated: DataFrame, owner: str = "owner") -> DataFrame:
+    """Distinct owners with dated or undated items."""
+    return dated.select(owner).union(undated.select(owner)).where(F.col(owner).isNotNull()).distinct()

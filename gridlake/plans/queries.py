@@ -95,17 +95,17 @@ def changed_groups(spark, sf_dir):
     return diff.changed_groups(prev_orders(spark, sf_dir), now_orders(spark, sf_dir), "o_custkey", h)
 
 
-@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal < 0 THEN 'in debt' END, 'no orders') AS reason FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal < 0 THEN 'in debt' END, 'no orders') AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 5 <> 0)")
 def missing_today(spark, sf_dir):
-    gone = diff.only_in(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    gone = diff.only_in(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
     errors = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey", F.lit("in debt").alias("error"))
     return gone.join(errors, "c_custkey", "left").select("c_custkey", F.coalesce("error", F.lit("no orders")).alias("reason"))
 
 
-@query("SELECT DISTINCT c_custkey AS k, 'critical' AS level FROM customer ANTI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT DISTINCT o_custkey, 'warning' FROM orders ANTI JOIN customer ON c_custkey = o_custkey")
+@query("WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_custkey AS k FROM orders WHERE o_custkey % 5 <> 0) SELECT DISTINCT k, 'critical' AS level FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT DISTINCT k, 'warning' FROM o WHERE k NOT IN (SELECT k FROM c)")
 def cross_table_missing(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("k"))
     return diff.only_in(c, o, ["k"]).withColumn("level", F.lit("critical")).union(diff.only_in(o, c, ["k"]).withColumn("level", F.lit("warning")))
 
 
@@ -364,7 +364,7 @@ def bm25_search(spark, sf_dir):
     return kb.search(scored, "doc_id").withColumn("score", F.bround("score", 6))
 
 
-_RANKED = "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS \"rank\" FROM documents ORDER BY n_chars, doc_id LIMIT 200"
+_RANKED = "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS \"rank\" FROM documents ORDER BY n_chars, doc_id"
 
 
 @query(f'WITH r AS ({_RANKED}), u AS (SELECT *, CAST(sum(n_chars) OVER (ORDER BY "rank" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM r) SELECT doc_id, used, least(n_chars, 12000) AS take FROM u WHERE used <= 12000 OR "rank" = 1')
@@ -376,14 +376,14 @@ def context_pack(spark, sf_dir):
     return kb.pack_context(ranked, 12000).select("doc_id", "used", F.col("take").cast("bigint").alias("take"))
 
 
-@query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 20")
+@query("SELECT o_orderkey AS doc_id, o_orderdate AS updated_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
 def list_recent(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), F.desc("doc_id")).limit(20)
+    return kb.recent(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_orderdate AS updated_at"))
 
 
-@query("WITH h AS (SELECT p_partkey AS doc_id, p_name AS title FROM part WHERE contains(lower(p_name), '19') ORDER BY p_partkey LIMIT 11) SELECT doc_id, title, count(*) OVER () AS n FROM h")
+@query("WITH h AS (SELECT p_partkey AS doc_id, p_name AS title FROM part WHERE contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 11) SELECT doc_id, title, count(*) OVER () AS n FROM h")
 def title_lookup_guard(spark, sf_dir):
-    return kb.title_lookup(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title")), "19")
+    return kb.title_lookup(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title")), "red")
 
 
 PATTERNS = ["1*", "!1[0-4]*", "*7", "!p/27"]
@@ -507,3 +507,86 @@ def grid_daily_diff(spark, sf_dir):
     before = side("n_nationkey % 7 <> 0", "n_name")
     now = side("n_nationkey % 4 <> 0", "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, '*') ELSE n_name END")
     return commands.daily_diff(now, before)[2].select("sheet_id", "rows_prev", "rows_now", "added", "removed", "changed")
+
+
+def _sql(name: str) -> str:
+    return SQL[name]
+
+
+@query(f"SELECT CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(changed) AS BIGINT) AS changed, count(*) FILTER (changed > 100) AS header_changed, count(DISTINCT priority) AS sheets FROM ({_sql('diff_counts_by_priority')})")
+def diff_totals(spark, sf_dir):
+    counts = diff_counts_by_priority(spark, sf_dir)
+    return diff.totals(counts.withColumnRenamed("priority", "sheet_id").withColumn("header_changed", F.col("changed") > 100))
+
+
+_STATS = "SELECT {0} AS sheet_id, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {1} GROUP BY 1"
+
+
+@query(f"WITH {PREV_NOW}, t AS ({_STATS.format('o_orderpriority', 'now')}), b AS ({_STATS.format('o_orderpriority', 'prev')}), c AS (SELECT priority AS sheet_id, added, removed FROM ({_sql('diff_counts_by_priority')})) SELECT t.sheet_id, t.n, t.total, b.n AS prev_n, b.total AS prev_total, added, removed FROM t LEFT JOIN b USING (sheet_id) LEFT JOIN c USING (sheet_id)")
+def report_assembly(spark, sf_dir):
+    stats = lambda df: df.groupBy(F.col("o_orderpriority").alias("sheet_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    changes = diff_counts_by_priority(spark, sf_dir).select(F.col("priority").alias("sheet_id"), "added", "removed")
+    return diff.assembled(stats(now_orders(spark, sf_dir)), stats(prev_orders(spark, sf_dir)), changes)
+
+
+@query(FINDINGS + "SELECT sheet, count(*) AS critical FROM f WHERE level = 'critical' GROUP BY sheet")
+def critical_per_sheet(spark, sf_dir):
+    return audit.critical_counts(found(spark, sf_dir))
+
+
+@query(FINDINGS + "SELECT o_orderkey, \"key\", level FROM f ORDER BY level <> 'critical', o_orderkey, \"key\", detail LIMIT 500")
+def findings_in_order(spark, sf_dir):
+    return audit.by_level(found(spark, sf_dir), "o_orderkey", "key", "detail").select("o_orderkey", "key", "level").limit(500)
+
+
+@query(f"SELECT owner, unpaid_sum, row_number() OVER (ORDER BY unpaid_sum DESC, owner NULLS LAST) AS place FROM ({_sql('owner_rollup')})")
+def owners_in_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    kept = receivables.owners_by_outstanding(owner_rollup(spark, sf_dir)).select("owner", "unpaid_sum")
+    # an owner a nation: a small table
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("unpaid_sum"), F.asc_nulls_last("owner"))))
+
+
+@query(f"SELECT DISTINCT owner FROM ({RECEIVABLE}) WHERE owner IS NOT NULL AND {_OPEN} AND (due IS NULL OR due < DATE '1998-01-01')")
+def owners_with_items(spark, sf_dir):
+    rows = receivable_rows(spark, sf_dir).where(receivables.unpaid(F.col("status"), F.col("outstanding")))
+    return receivables.owners_with_items(rows.where("due < DATE '1998-01-01'"), rows.where("due IS NULL"))
+
+
+@query("WITH d AS (SELECT DISTINCT event_type AS job, CAST(ts AS DATE) AS day FROM events WHERE user_id % 5 <> 0), j AS (SELECT DISTINCT event_type AS job FROM events) SELECT job FROM j WHERE job = 'click' OR job NOT IN (SELECT job FROM d WHERE day = DATE '2024-01-15' AND job <> 'purchase')")
+def jobs_due(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    runs = events.where("user_id % 5 <> 0 AND event_type <> 'purchase'").select(F.col("event_type").alias("job"), F.to_date("ts").alias("day"))
+    return jobs.due_jobs(events.select(F.col("event_type").alias("job")).distinct(), runs, F.lit("2024-01-15").cast("date"), F.col("job") == "click")
+
+
+_RUNS = "SELECT CAST(o_custkey AS VARCHAR) AS job, o_orderkey AS day, strftime(o_orderdate, '%Y-%m') AS tab FROM orders"
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT job, day, tab, coalesce(lag(tab) OVER (PARTITION BY job ORDER BY day) <> tab, false) AS new_month FROM r")
+def month_changes(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("job"), F.col("o_orderkey").alias("day"), F.date_format("o_orderdate", "yyyy-MM").alias("tab"))
+    return jobs.new_months(runs)
+
+
+@query("SELECT user_id AS key, max(ts) AS stored_at FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY user_id")
+def cache_entries(spark, sf_dir):
+    cache = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("stored_at"))
+    return jobs.fresh_entries(cache, F.lit("2024-01-30 12:00:00").cast(cache.schema["stored_at"].dataType), 864000)
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(source), 'src0'), regexp_extract(origin, '([^/]+)[.]md$', 1)) AS title, 'uz' AS lang FROM (SELECT doc_id, source, concat('a/b/doc_', CAST(doc_id AS VARCHAR), '.md') AS origin FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(^|\\n)#'))".replace("regexp_extract(origin, '([^/]+)[.]md$', 1)", "replace(regexp_extract(origin, '([^/]+)[.]md$', 1), '_', ' ')"))
+def document_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").where(~F.col("text").rlike(r"(^|\n)#"))
+    path = F.concat(F.lit("a/b/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    meta = text.light_metadata(F.col("text"), F.nullif(F.trim("source"), F.lit("src0")), path)
+    return docs.select("doc_id", meta.alias("m")).select("doc_id", "m.title", "m.lang")
+
+
+@query("WITH t AS (SELECT o_orderkey, concat('Team ', CAST(o_custkey % 9 AS VARCHAR), CASE WHEN o_orderkey % 3 = 0 THEN ' avgust(2026)' WHEN o_orderkey % 3 = 1 THEN ' Mart x' ELSE ' other' END) AS tab FROM orders) SELECT o_orderkey, trim(regexp_extract(tab, '^(.*?)(avgust|Mart)', 1)) AS prefix, regexp_extract(tab, '(avgust.*|Mart.*)$', 1) AS rest FROM t WHERE o_orderkey % 3 <> 2")
+def tab_months(spark, sf_dir):
+    tail = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN ' avgust(2026)' WHEN o_orderkey % 3 = 1 THEN ' Mart x' ELSE ' other' END")
+    tab = F.concat(F.lit("Team "), F.expr("o_custkey % 9").cast("string"), tail)
+    found = table(spark, sf_dir, "orders").select("o_orderkey", text.month_word(tab, ["avgust", "mart", "may"]).alias("m"))
+    return found.where("m IS NOT NULL").select("o_orderkey", "m.prefix", "m.rest")

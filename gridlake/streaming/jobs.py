@@ -6,14 +6,18 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def work_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "gridlake-shared")
+    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "gridlake-shared")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -65,3 +69,23 @@ def once_per_day(notices: DataFrame) -> DataFrame:
 def backlog_skipped(updates: DataFrame, offset: int | None) -> DataFrame:
     """Updates past the committed offset; without one nothing old is processed."""
     return updates.where(F.col("update_id") > offset) if offset is not None else updates.where("false")
+
+
+def due_jobs(jobs: DataFrame, runs: DataFrame, today: Column, forced: Column | None = None) -> DataFrame:
+    """Jobs (job) that no run (job, day) of today is known of; forced ones always."""
+    done = runs.where(F.col("day") == today).select("job").distinct().withColumn("__done", F.lit(True))
+    again = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
+    return jobs.join(done, "job", "left").where(F.col("__done").isNull() | again).drop("__done")
+
+
+def new_months(runs: DataFrame) -> DataFrame:
+    """Runs (job, day, tab) with new_month: whether the job's run before had another tab; a first run has none before."""
+    before = F.lag("tab").over(Window.partitionBy("job").orderBy("day"))
+    return runs.withColumn("new_month", F.coalesce(before != F.col("tab"), F.lit(False)))
+
+
+def fresh_entries(cache: DataFrame, now: Column, seconds: int = 600) -> DataFrame:
+    """Cache entries (key, stored_at, value) no older than their time to live; of a key the last one."""
+    kept = cache.where(F.col("stored_at") >= now - F.make_dt_interval(secs=F.lit(seconds)))
+    others = [c for c in cache.columns if c != "key"]
+    return kept.groupBy("key").agg(F.max_by(F.struct(*others), "stored_at").alias("x")).select("key", "x.*")

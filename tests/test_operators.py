@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import sqlite3
 
 import pytest
@@ -139,9 +140,10 @@ def test_chunks():
     assert kb.chunk_text(f"intro\n# A\n{body}\n## B\nshort\n# C\n{body}") == [("A", f"intro\n\n# A\n{body}"), ("A > B", f"## B\nshort\n\n# C\n{body}")]
     long = "\n\n".join(["p" * 1400] * 5)
     pieces = kb.split_large(long)
-    assert len(pieces) == 3 and all(len(p) <= 3302 for p in pieces) and pieces[1].startswith("p" * 300)
+    assert len(pieces) == 4 and all(len(p) <= 3302 for p in pieces) and pieces[1].startswith("p" * 300)
+    assert kb.sections("x\n# A #\ny\n### B\n## C ##\n# D\n#no") == [("", "x"), ("A", "# A #\ny"), ("A > B", "### B"), ("A > C", "## C ##"), ("D", "# D\n#no")]
     assert kb.split_large("y" * 7000)[0] == "y" * 3000
-    assert kb.chunk_text("") == [] and len(kb.chunk_text("\n".join(f"# h{i}\n{body}" for i in range(2100)))) == 2000
+    assert kb.chunk_text("") == [] and len(kb.chunk_text("\n".join(f"# h{i}\n{body}" for i in range(2100)))) == 2100
 
 
 def test_bm25_equals_sqlite(spark):
@@ -162,6 +164,12 @@ def test_bm25_equals_sqlite(spark):
 def test_context(spark):
     ranked = spark.createDataFrame([(1, 500, "vault"), (2, 400, "vault"), (3, 200, "vault"), (4, 50, "chat"), (5, 10, "chat"), (6, 10, "chat")], "rank int, n_chars int, source string")
     assert sorted(r["rank"] for r in kb.pack_two_tiers(ranked, 1000, 20).collect()) == [1, 2, 4, 5]
+    framed = kb.pack_two_tiers(ranked, 300, 20, start=10, frame=5).collect()
+    assert [(r["rank"], r["take"], r["used"]) for r in framed] == [(1, 284, 10), (4, 50, 85), (5, 10, 100)]
+    assert [r["rank"] for r in kb.top(ranked, 2).orderBy("rank").collect()] == [1, 2]
+    named = ranked.withColumn("was", F.col("rank"))
+    assert [r.was for r in kb.reranked(named, [5, 3, 5, 99, 0], 3).orderBy("rank").collect()] == [5, 3, 1]
+    assert [r.was for r in kb.reranked(named, [5], 6).orderBy("rank").collect()] == [1, 2, 3, 4, 5, 6]
     big = kb.pack_context(ranked, 300).collect()
     assert [(r["rank"], r["take"]) for r in big] == [(1, 300)]
 
@@ -233,6 +241,14 @@ def test_sinks(spark, tmp_path):
     sinks.write_days(days.where("v = 2").withColumn("v", F.lit(5)), f"{tmp_path}/d")
     assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/d").collect()) == [1, 5]
     assert sinks.keep_days(spark, f"{tmp_path}/d", "2026-07-02") == ["2026-07-01"]
+    sinks.append_once(rows(("a\u00a0", 5), ("\u00a0d", 1), ("d ", 2)), path, ["k"], [F.col("v")])
+    assert sorted(r.k.strip() for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "d"]
+    os.makedirs(path + "-broken")
+    with open(path + "-broken/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        sinks.append_once(rows(("a", 1)), path + "-broken", ["k"], [F.col("v")])
+    assert os.path.exists(path + "-broken/part-0.parquet")
     assert sinks.pack_lines("a\n" + "b" * 9 + "\nc", 4) == ["a", "bbbb", "bbbb", "b\nc"]
     files = spark.createDataFrame([("x", "1"), ("y", "2")], "path string, body string")
     assert [r.path for r in sinks.changed_files(files, files.where("path = 'x'")).collect()] == ["y"]
@@ -283,3 +299,55 @@ def test_history_and_stream_state(spark, tmp_path):
     mine, others = jobs.owned(updates, 7)
     assert mine.count() == 1 and others.count() == 2
     assert jobs.backlog_skipped(updates, None).count() == 0 and jobs.backlog_skipped(updates, 1).count() == 2
+
+
+def test_runs_of_blanks_take_linear_time(spark):
+    import time
+
+    from gridlake.functions.text import normalise_document, strip
+
+    wide = " " * 400_000
+    df = spark.createDataFrame([(f"{wide}a{wide}b{wide}\n{wide}c\u2028 ",)], "t string")
+    began = time.perf_counter()
+    row = df.select(strip(F.col("t")).alias("s"), normalise_document(F.col("t")).alias("n")).first()
+    assert row.s == f"a{wide}b{wide}\n{wide}c" and row.n == f"a{wide}b\n{wide}c" and time.perf_counter() - began < 20
+
+
+def test_speech_and_rtf(spark):
+    from gridlake.functions.text import rtf_text, speech_summary
+
+    talk = "One 3.5 percent rise. " + "word " * 30 + "```\ncode. here\n``` end"
+    row = spark.createDataFrame([(talk, "{\\rtf1 first\\par second\\line third}")], "t string, r string").select(speech_summary(F.col("t"), 30).alias("s"), speech_summary(F.col("t")).alias("w"), rtf_text(F.col("r")).alias("r")).first()
+    assert row.s == "One 3.5 percent rise." and "code" not in row.w and row.r == "first\nsecond\nthird"
+
+
+def test_chunks_of_whole_documents(spark, small):
+    """Every chunk lies in its text, but for joints; paths name headings of the text; none is over the limit."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    by_id = {}
+    for r in kb.chunks(docs).orderBy("doc_id", "ord").collect():
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert by_id.keys() == {i for i, t in texts.items() if t.strip()}
+    for i, found in by_id.items():
+        assert [r.ord for r in found] == list(range(len(found))) and all(r.n_chars == len(r.text) <= 3302 for r in found)
+        # without overlaps, the chunks hold all words of the text in order
+        words, at = texts[i].split(), 0
+        joined = found[0].text
+        for r in found[1:]:
+            # the tail of the chunk before is repeated where one section was split
+            k = min(300, len(joined))
+            joined += "\n\n" + (r.text[k + 2 :] if r.text.startswith(joined[-k:] + "\n\n") else r.text)
+        assert "".join(joined.split()) == "".join(words) and at == 0
+
+
+def test_text_of_pages_equals_a_plain_reading(spark, small):
+    import re
+    from html import unescape
+
+    from gridlake.functions.text import html_text
+
+    for r in spark.read.parquet(f"{small}/pages.parquet").limit(250).select("html", html_text("html").alias("t")).collect():
+        bare = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>", "", r.html)
+        want = [unescape(x).strip() for x in re.split(r"(?s)<[!/?]?[a-zA-Z][^>]*>", bare)]
+        assert "".join(r.t.split()) == "".join("".join(w.split()) for w in want)
