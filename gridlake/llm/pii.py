@@ -44,7 +44,7 @@ FEATURES = ("digits", "letters", "capitals", "dots", "groups", "longest", "paren
 #: Candidates of a group that its trees are fitted on at most, how many of them one text may give, and of how many texts (about).
 SAMPLE = 20_000
 PER_TEXT = 8
-TEXTS = 400_000
+TEXTS = 40_000
 CUE = r"(?i)(?:tel|phone|fon|call|mobile|fax|mail|contact|card|visa|iban|konto|account|ip|host|server)[^A-Za-z]{0,3}$"
 #: Names that make a following run a secret; labels only, the features of a secret don't show them.
 NAMED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]{0,2}\s{0,2}[\"']?$"
@@ -132,7 +132,7 @@ def with_candidates(df: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col)
     df = with_located(df, text, LOOSE["email"], text.contains("@") | text.rlike(r"[(\[]at[)\]]"), "__found_email")
     df = with_located(df, text, LOOSE["number"], F.col("__number"), "__found_number")
-    df = with_located(df, text, LOOSE["secret"], F.lit(True), "__found_secret")
+    df = with_located(df, text, LOOSE["secret"], text.rlike("[A-Za-z0-9_+/-]{16}"), "__found_secret")
     df = df.withColumn("__found_number", F.filter("__found_number", lambda x: F.length(_digits(x["t"])).between(7, 19)))
     for group in LOOSE:
         df = df.withColumn(f"__loose_{group}", F.transform(F.transform(f"__found_{group}", _shower(group)), _featurer(group))).drop(f"__found_{group}")
