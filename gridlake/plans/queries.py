@@ -364,6 +364,15 @@ def bm25_search(spark, sf_dir):
     return kb.search(scored, "doc_id").withColumn("score", F.bround("score", 6))
 
 
+@query(SQL["bm25_search"])
+def postings_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lengths = docs.select("doc_id", kb.n_tokens().alias("n_tokens"))
+    scored = kb.bm25_of_postings(kb.postings(docs, ["doc_id"]), lengths, TERMS, ["doc_id"])
+    weighed = scored.join(docs.select("doc_id", "source"), "doc_id").withColumn("score", F.col("score") * F.when(F.col("source") == "src0", 0.6).otherwise(1.0))
+    return kb.search(weighed, "doc_id").select("doc_id", F.bround("score", 6).alias("score"))
+
+
 _RANKED = "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS \"rank\" FROM documents ORDER BY n_chars, doc_id"
 
 

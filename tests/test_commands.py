@@ -159,3 +159,32 @@ def test_store_survives_a_lost_driver(spark, tmp_path):
     assert store.docs().count() == 1
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         store.docs().write.parquet(f"{store.path}/{store.version()}/docs")
+
+
+def test_store_writes_only_touched_buckets(spark, tmp_path):
+    store = commands.Store(spark, f"file://{tmp_path}/kb", buckets=4)
+    doc = lambda ids, t: spark.createDataFrame([("v", str(i), f"T{i}", f"{t} so{i}z", i) for i in ids], "source string, origin string, title string, text string, seq int")
+    store.ingest(doc(range(12), "birinchi"))
+    first = store.manifest()
+    store.ingest(doc([3], "ikkinchi"))
+    now = store.manifest()
+    for name in ("docs", "chunks", "postings"):
+        assert first[name].keys() == now[name].keys() and sum(first[name][b] != now[name][b] for b in now[name]) == 1
+    assert [r.title for r in store.search("ikkinchi").collect()] == ["T3"] and store.search("birinchi").count() == 11
+    assert store.docs().count() == 12 and store.chunks().count() == 12
+    store.forget("T3")
+    assert store.manifest()["postings"] == now["postings"] and store.search("ikkinchi").count() == 0
+    store.ingest(doc(range(12), "uchinchi"))
+    assert first["version"] in store.vacuum() and store.search("uchinchi").count() == 12 and store.vacuum() == []
+    assert store.search("birinchi").count() == 0
+
+
+def test_store_search_equals_a_scan(spark, tmp_path):
+    store = commands.Store(spark, f"file://{tmp_path}/kb")
+    rows = [("chat" if i % 3 else "vault", str(i), f"T{i}", f"# sarlavha{i % 4} muddat\n\n" + "muddat hisob " * (i % 5 + 1) + "tolov", i) for i in range(40)]
+    store.ingest(spark.createDataFrame(rows, "source string, origin string, title string, text string, seq int"))
+    ids = ["uid", "ord"]
+    scan = kb.bm25(store.chunks().withColumn("id", commands.F.struct(*ids)), ["muddat", "sarlavha1"], "id", heading_col="heading").select("id.*", "score")
+    index = kb.bm25_of_postings(store._table("postings"), store._table("chunks").select(*ids, "n_tokens"), ["muddat", "sarlavha1"], ids)
+    want, have = ({(r.uid, r.ord): r.score for r in df.collect()} for df in (scan, index))
+    assert len(want) == 40 and want.keys() == have.keys() and all(abs(want[k] - have[k]) < 1e-12 for k in want)
