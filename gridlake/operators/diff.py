@@ -35,6 +35,12 @@ def cell_changes(diff: DataFrame, keys: list[str], values: list[str]) -> DataFra
     return diff.where("kind = 'changed'").select(*keys, F.explode(moved).alias("c")).select(*keys, "c.*")
 
 
+def change_label(columns: Column) -> Column:
+    """The first changed column, and how many more there are: "score (+2)"."""
+    more = F.size(columns) - 1
+    return F.when(more > 0, F.concat(F.get(columns, F.lit(0)), F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(F.get(columns, F.lit(0)))
+
+
 def counts(diff: DataFrame, by: list[Column | str]) -> DataFrame:
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
     return diff.groupBy(*by).agg(*(n(k) for k in ("added", "removed", "changed", "unchanged")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.functions.dates import MONTHS, due_date
+from gridlake.functions.dates import ALIASES, due_date
 from gridlake.functions.text import money, norm, number, status, strip
 from gridlake.operators import audit, scorecard
 from gridlake.operators.grid import header_row, marker_row
@@ -97,12 +97,12 @@ def score_table_ends(row: Column) -> Column:
     return F.forall(row, lambda c: c == "") | marker_row(row)
 
 
-def month_scorecards(grids: DataFrame, last: bool = True) -> DataFrame:
+def month_scorecards(grids: DataFrame, last: bool = False) -> DataFrame:
     """grids: day, sheet_id, range, ordinal, grid. A scorecard a day and sheet from its month tabs.
 
-    Of several month ranges the last counts (last=False: the first), by ordinal.
+    A tab is a month by any spelling. Of several month ranges the first counts (last: the last), by ordinal.
     """
-    df = grids.withColumn("__tab", norm(tab_of_range(F.col("range")))).where(F.col("__tab").isin(*MONTHS))
+    df = grids.withColumn("__tab", norm(tab_of_range(F.col("range")))).where(F.col("__tab").isin(*ALIASES))
     w = Window.partitionBy("day", "sheet_id").orderBy(F.desc("ordinal") if last else F.asc("ordinal"))
     df = df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "__tab")
     rows = table_rows(df, _any_of(CARD_COLUMNS), score_table_ends)

@@ -78,6 +78,14 @@ def diff_cells(spark, sf_dir):
     return diff.cell_changes(d, ["o_orderkey"], VALUES)
 
 
+@query(f"""WITH {PREV_NOW}, c AS (SELECT n.o_orderkey, list_filter([CASE WHEN p.o_orderstatus IS DISTINCT FROM n.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN p.o_totalprice IS DISTINCT FROM n.o_totalprice THEN 'o_totalprice' END], lambda x: x IS NOT NULL) AS k FROM prev p JOIN now n ON p.o_orderkey = n.o_orderkey)
+SELECT o_orderkey, CASE WHEN len(k) > 1 THEN concat(k[1], ' (+', CAST(len(k) - 1 AS VARCHAR), ')') ELSE k[1] END AS label FROM c WHERE len(k) > 0""")
+def change_labels(spark, sf_dir):
+    d = orders_diff(spark, sf_dir).where("kind = 'changed'")
+    moved = F.array_compact(F.array(*(F.when(~F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}")), v) for v in VALUES)))
+    return d.select("o_orderkey", diff.change_label(moved).alias("label"))
+
+
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -328,10 +336,24 @@ def doc_exact_dupes(spark, sf_dir):
     return kb.identified(docs).groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query("SELECT source, count(*) FILTER (doc_id % 6 <> 0) AS active, count(*) FILTER (doc_id % 6 = 0) AS archived, CAST(sum(n_chars) AS BIGINT) AS chunks FROM documents GROUP BY source")
+def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose chunks are their turns."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return c.selectExpr("conv_id", "concat('s', conv_id % 5) AS source", "conv_id % 6 = 0 AS archived", "n_chunks")
+
+
+CONVERSATION_DOCS = "SELECT conv_id, concat('s', CAST(conv_id % 5 AS VARCHAR)) AS source, conv_id % 6 = 0 AS archived, count(*) AS n_chunks FROM conversations GROUP BY conv_id"
+
+
+@query(f"SELECT source, count(*) FILTER (NOT archived) AS active, count(*) FILTER (archived) AS archived, CAST(sum(n_chunks) AS BIGINT) AS chunks FROM ({CONVERSATION_DOCS}) GROUP BY source")
 def kb_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr("source", "doc_id % 6 = 0 AS archived", "n_chars AS n_chunks")
-    return kb.source_stats(docs)
+    return kb.source_stats(conversation_docs(spark, sf_dir))
+
+
+@query(f"SELECT count(*) FILTER (NOT archived) AS active, count(*) FILTER (archived) AS archived, CAST(sum(n_chunks) AS BIGINT) AS chunks, (SELECT max(event_id) FROM events) AS last_seq, (SELECT arg_max(event_type, event_id) FROM events) AS last_ingest FROM ({CONVERSATION_DOCS})")
+def kb_stats(spark, sf_dir):
+    log = table(spark, sf_dir, "events").selectExpr("event_id AS seq", "event_type AS ingest")
+    return kb.stats(conversation_docs(spark, sf_dir), log).selectExpr("active", "archived", "chunks", "last.seq AS last_seq", "last.ingest AS last_ingest")
 
 
 @query()
@@ -419,11 +441,16 @@ def reconcile_archive(spark, sf_dir):
     return sync.counters(sync.reconcile(tree, docs.where("origin % 9 <> 0")))
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'thing') THEN 'max' WHEN length(lower(text)) > 140 OR contains(lower(text), 'tion') OR contains(lower(text), 'ung') THEN 'deep' ELSE 'fast' END AS mode FROM conversations WHERE role = 'user'")
+_SPELLINGS = [(r"(^|[^\\p{L}\\p{N}_])may" if i == 5 else "|".join(a for a, k in dates.ALIASES.items() if k == i)) for i in range(1, 13)]
+_NAMED = " + ".join(f"CAST(regexp_matches(q, '{s}') AS INT)" for s in _SPELLINGS)
+_ASKED = "SELECT conv_id, turn, concat(lower(text), ' iyun ', CASE conv_id % 3 WHEN 0 THEN 'sentabr' WHEN 1 THEN 'iyun' ELSE '' END) AS q FROM conversations WHERE role = 'user'"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN contains(q, 'thing') THEN 'max' WHEN length(q) > 140 OR contains(q, 'tion') OR contains(q, 'ung') OR {_NAMED} >= 2 THEN 'deep' ELSE 'fast' END AS mode FROM ({_ASKED})")
 def question_class(spark, sf_dir):
-    q = F.lower("text")
-    users = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return users.select("conv_id", "turn", routing.question_class(q, F.expr("cast(array() as array<int>)"), {"max": ["thing"], "deep": ["tion", "ung"]}).alias("mode"))
+    asked = F.expr("concat(lower(text), ' iyun ', CASE conv_id % 3 WHEN 0 THEN 'sentabr' WHEN 1 THEN 'iyun' ELSE '' END)")
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", asked.alias("q"))
+    return users.select("conv_id", "turn", routing.question_class(F.col("q"), dates.months_in(F.col("q")), {"max": ["thing"], "deep": ["tion", "ung"]}).alias("mode"))
 
 
 @query("""WITH s AS (SELECT n_name AS sheet, lower(substr(n_name, length(n_name) - 2, 3)) AS token, n_regionkey = 0 AS card FROM nation), q AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'),

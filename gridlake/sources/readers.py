@@ -79,15 +79,25 @@ def _docx(data: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
+def _parts(z: zipfile.ZipFile) -> dict[str, str]:
+    """The workbook's relations: id to the part's name in the archive; sheets may stand in any order there."""
+    at = "xl/_rels/workbook.xml.rels"
+    if at not in z.namelist():
+        return {}
+    rows = [(r.get("Id"), r.get("Target") or "") for r in ElementTree.fromstring(z.read(at))]
+    return {k: t[1:] if t.startswith("/") else f"xl/{t}" for k, t in rows}
+
+
 def _xlsx(data: bytes) -> str:
     m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{m}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{m}si")]
-    titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{m}sheet")]
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    parts = _parts(z)
     out = []
-    for i, title in enumerate(titles, 1):
-        out.append(f"## {title}")
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{m}row"):
+    for i, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{m}sheet"), 1):
+        out.append(f"## {sheet.get('name')}")
+        for row in ElementTree.fromstring(z.read(parts.get(sheet.get(link), f"xl/worksheets/sheet{i}.xml"))).iter(f"{m}row"):
             cells = []
             for c in row.findall(f"{m}c"):
                 v = c.find(f"{m}v")
@@ -176,6 +186,19 @@ def run_errors(status: DataFrame) -> DataFrame:
     return per.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), ((F.count(F.lit(1)) > 0) & (F.count_if("ok") == 0)).alias("failed"))
 
 
+def workbooks(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (), most_rows: int = 1000, most_columns: int = 78) -> DataFrame:
+    """workbook, tab, grid, excluded, ok, error of the JSON workbooks in a folder that Spark's readers can open.
+
+    Excluded tabs keep their name but no cells. A file without tabs is one row with ok = false; others go on.
+    """
+    text = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("workbook"), "value")
+    tabs = F.from_json("value", "tabs map<string,array<array<string>>>")["tabs"]
+    listed = text.select("workbook", tabs.alias("tabs")).select("workbook", F.col("tabs").isNotNull().alias("ok"), F.explode_outer("tabs").alias("tab", "cells"))
+    out = F.col("tab").isin(*excluded) if excluded else F.lit(False)
+    grid = F.when(~out, F.transform(F.slice("cells", 1, most_rows), lambda r: F.slice(r, 1, most_columns)))
+    return listed.select("workbook", "tab", grid.alias("grid"), F.coalesce(out, F.lit(False)).alias("excluded"), "ok", F.when(~F.col("ok"), "no tabs").alias("error"))
+
+
 class _Workbook(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

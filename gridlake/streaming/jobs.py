@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,23 @@ def work_folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def single_run(spark: SparkSession, path: str) -> Iterator[bool]:
+    """Whether this run holds the job's lock, a file that only one creates; a second run is told that it is busy.
+
+    A run whose driver was lost leaves the file; its owner removes it.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.createNewFile(at)
+    try:
+        yield held
+    finally:
+        if held:
+            fs.delete(at, False)
+
+
 def daily_rollup(events: DataFrame, time: str = "ts", late: str = "1 day") -> DataFrame:
     """Tumbling days by event type, for streams and tables alike."""
     events = events.withColumn(time, F.col(time).cast("timestamp"))

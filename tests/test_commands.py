@@ -95,9 +95,11 @@ def test_audit_and_cards(spark):
         ("t", None, "main_tab_missing", c), ("t", None, "month_tab_missing", c), ("s", 2, "total_zero", c), ("s", 3, "rating_not_numeric", c), ("s", 3, "owner_missing", c), ("s", 3, "contract_missing", w),
         ("s", 3, "date_without_year", w), ("s", 4, "name_missing", c), ("s", 3, "score_not_numeric", c), ("s", None, "month_not_in_main", c), ("s", None, "main_not_in_month", w),
     }
-    card = tables.month_scorecards(g.withColumn("day", today())).first()
+    card = tables.month_scorecards(g.withColumn("day", today()), last=True).first()
     assert (card.active, card.plan, card.actual, card.delay_days, card.pct, card.delay_pct) == (3, 159, 80, 2, 50.3, 2.22)
-    assert tables.month_scorecards(g.withColumn("day", today()), last=False).first().active == 0
+    assert tables.month_scorecards(g.withColumn("day", today())).first().active == 0
+    old = grids(spark, ("'Sentabr'!A1:BZ1000", IYUL))  # the other spelling
+    assert tables.month_scorecards(old.withColumn("day", today())).first().active == 3
 
 
 def test_tabs(spark):

@@ -1,12 +1,15 @@
 """Registry, retries, daily logs, pruning and indexes."""
 
+import io
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridlake.operators import routing
 from gridlake.sources import readers, sinks
+from gridlake.streaming import jobs
 
 
 class Answer(Exception):
@@ -72,3 +75,35 @@ def test_freshness(spark):
     rows = spark.createDataFrame([("2026-07-20", "2026-07-20 06:00:00"), ("2026-07-20", "2026-07-20 05:59:59"), ("2026-07-19", "2026-07-20 11:00:00"), (None, None)], "day string, m string")
     got = rows.select(routing.fresh(F.col("day").cast("date"), F.col("m"), now).alias("x"), routing.needs_live(F.lit("hozir qanday"), ["hozir"]).alias("y")).collect()
     assert [r.x for r in got] == [True, False, False, False] and got[0].y
+
+
+def test_workbooks(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"tabs": {"T": [["x", 1, null], ["y"]], "Off": [["z"]]}}')
+    (tmp_path / "b.json").write_text("{nothing")
+    (tmp_path / "c.txt").write_text("no workbook")
+    got = {(r.workbook, r.tab): (r.grid, r.excluded, r.ok, r.error) for r in readers.workbooks(spark, f"file://{tmp_path}", ("Off",)).collect()}
+    assert got == {("a.json", "T"): ([["x", "1", None], ["y"]], False, True, None), ("a.json", "Off"): (None, True, True, None), ("b.json", None): (None, False, False, "no tabs")}
+    cut = readers.workbooks(spark, f"file://{tmp_path}", most_rows=1, most_columns=2).where("tab = 'T'").first()
+    assert cut.grid == [["x", "1"]]
+
+
+def test_single_run(spark, tmp_path):
+    lock = f"file://{tmp_path}/job.lock"
+    with jobs.single_run(spark, lock) as first, jobs.single_run(spark, lock) as second:
+        assert first and not second
+        with jobs.single_run(spark, lock) as third:
+            assert not third
+    with jobs.single_run(spark, lock) as again:
+        assert again
+
+
+def test_sheets_by_relation():
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda t: f'<worksheet xmlns="{main}"><sheetData><row><c t="inlineStr"><is><t>{t}</t></is></c></row></sheetData></worksheet>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="A" r:id="rId2"/><sheet name="B" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("of b"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet("of a"))
+    assert readers.extract_bytes("x.xlsx", data.getvalue()).split("\n") == ["## A", "of a", "## B", "of b"]
