@@ -461,6 +461,70 @@ def question_route(spark, sf_dir):
     return routing.match_sheets(users, sheets, "t", "token").select("conv_id", "turn", "named", "sheet")
 
 
+_MONTH_LIST = ", ".join(f"'{m}'" for m in dates.MONTHS)
+_ALIAS_MAP = "MAP {" + ", ".join(f"'{a}': {i}" for a, i in dates.ALIASES.items()) + "}"
+#: Workbooks of 40 tabs out of documents: month groups named by three letters, plain months, tabs about managers, words.
+_TITLE = f"""CASE doc_id % 8 WHEN 0 THEN concat(substr(w, 1, 3), ' ', m) WHEN 1 THEN concat(substr(w, 1, 3), ' ', m, '(Ball)') WHEN 2 THEN concat(substr(w, 1, 3), ' test ', m) WHEN 3 THEN concat(m, ' ')
+ WHEN 4 THEN concat('Managerlar ', m) WHEN 5 THEN concat(w, ' x') WHEN 6 THEN CASE WHEN doc_id % 5 = 1 THEN 'Main' ELSE concat(w, ' ', m) END ELSE concat(w, ' sentabr') END"""
+_TABS_SQL = f"""w AS (SELECT doc_id, regexp_extract(lower(text), '[a-z]{{4,}}') AS w, [{_MONTH_LIST}][CAST(floor(doc_id / 3) AS BIGINT) % 12 + 1] AS m FROM documents WHERE regexp_matches(lower(text), '[a-z]{{4,}}')),
+t0 AS (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS workbook, doc_id % 40 AS ord, {_TITLE} AS title FROM w),
+t1 AS (SELECT *, trim(lower(title)) AS name FROM t0),
+t2 AS (SELECT *, list_position([map_contains({_ALIAS_MAP}, regexp_extract(x, '^([^(]*)', 1)) for x in string_split(name, ' ')], true) AS spot FROM t1),
+t AS (SELECT workbook, ord, title, name, {_ALIAS_MAP}[regexp_extract(string_split(name, ' ')[spot], '^([^(]*)', 1)] AS mon, CASE WHEN spot > 0 THEN array_to_string(string_split(name, ' ')[1:spot - 1], ' ') END AS prefix FROM t2),
+k AS (SELECT conv_id * 1000 + turn AS id, conv_id % 25 AS workbook, concat(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g'), CASE conv_id % 5 WHEN 0 THEN ' iyun' WHEN 1 THEN ' mart test' WHEN 2 THEN ' managerlar avgust' WHEN 3 THEN ' dekabr fevral' ELSE '' END) AS q,
+ CASE conv_id % 5 WHEN 0 THEN [6] WHEN 1 THEN [3] WHEN 2 THEN [8] WHEN 3 THEN [12, 1, 2] ELSE [] END AS months FROM conversations WHERE role = 'user' AND regexp_matches(text, '[a-zA-Z]')),
+gw AS (SELECT DISTINCT workbook, prefix, unnest(string_split(prefix, ' ')) AS word FROM t WHERE mon IS NOT NULL AND prefix <> ''),
+n AS (SELECT DISTINCT id, workbook, prefix FROM k JOIN gw USING (workbook) WHERE length(word) >= 3 AND contains(q, word)),
+a AS (SELECT workbook, prefix, mon, min(ord) AS o FROM t WHERE mon IS NOT NULL AND prefix <> '' GROUP BY ALL),
+av AS (SELECT workbook, prefix, list(mon ORDER BY o) AS available FROM a GROUP BY ALL),
+g AS (SELECT id, workbook, prefix, q, months, available, CASE WHEN len(months) > 0 THEN [x for x in months if list_contains(available, x)] ELSE [CASE WHEN list_contains(available, 7) THEN 7 ELSE available[-1] END] END AS wanted FROM n JOIN av USING (workbook, prefix) JOIN k USING (id, workbook)),
+gt AS (SELECT id, g.workbook, g.prefix, title, ord, row_number() OVER (PARTITION BY id, g.workbook, g.prefix ORDER BY ord DESC) AS r, count(*) OVER (PARTITION BY id, g.workbook, g.prefix) AS loaded FROM g JOIN t ON t.workbook = g.workbook AND t.prefix = g.prefix AND list_contains(wanted, mon) WHERE contains(q, 'test') OR NOT contains(name, 'test'))"""
+_TABS = f"""WITH {_TABS_SQL},
+f AS (SELECT workbook, prefix, min(ord) AS fo FROM t WHERE mon IS NOT NULL AND prefix <> '' GROUP BY ALL),
+ms AS (SELECT unnest([{_MONTH_LIST}]) AS word, unnest(range(1, 13)) AS i),
+l AS (SELECT workbook, i, max_by(title, ord) FILTER (name = word) AS plain, max_by(title, ord) FILTER (contains(name, 'managerlar')) AS about, max_by(title, ord) FILTER (name <> word AND NOT contains(name, 'managerlar')) AS other FROM t JOIN ms ON contains(name, word) GROUP BY ALL),
+km AS (SELECT id, workbook, unnest(months) AS i, generate_subscripts(months, 1) AS nth, EXISTS (SELECT 1 FROM n WHERE n.id = k.id AND n.workbook = k.workbook) AS by_group FROM k),
+e AS (SELECT id, workbook, title, 0 AS stage, 0 AS a, 0 AS b FROM k JOIN (SELECT workbook, coalesce(min_by(title, ord) FILTER (name = 'main'), min_by(title, ord) FILTER (contains(name, 'ishlash muddati'))) AS title FROM t GROUP BY 1) USING (workbook) WHERE title IS NOT NULL
+ UNION ALL SELECT id, workbook, plain, 0, 1, 0 FROM k JOIN l USING (workbook) WHERE i = 7 AND plain IS NOT NULL
+ UNION ALL SELECT id, workbook, title, 1, fo, ord FROM gt JOIN f USING (workbook, prefix) WHERE r <= 10
+ UNION ALL SELECT id, workbook, plain, 2, nth, 0 FROM km JOIN l USING (workbook, i) WHERE plain IS NOT NULL
+ UNION ALL SELECT id, workbook, about, 2, nth, 1 FROM km JOIN l USING (workbook, i) WHERE about IS NOT NULL
+ UNION ALL SELECT id, workbook, other, 2, nth, 2 FROM km JOIN l USING (workbook, i) WHERE other IS NOT NULL AND NOT by_group
+ UNION ALL SELECT id, k.workbook, title, 3, ord, 0 FROM k JOIN t ON t.workbook = k.workbook AND len([x for x in string_split(name, ' ') if length(x) >= 5 AND NOT list_contains([{_MONTH_LIST}], x) AND contains(q, x)]) > 0
+  WHERE mon IS NULL OR (NOT EXISTS (SELECT 1 FROM n WHERE n.id = k.id AND n.workbook = k.workbook) AND CASE WHEN len(months) > 0 THEN list_contains(months, mon) ELSE mon = 7 END)
+ UNION ALL SELECT id, k.workbook, title, 4, 0, 0 FROM k JOIN (SELECT DISTINCT workbook, title FROM t) t ON t.workbook = k.workbook AND title = 'Main'),
+o AS (SELECT id, workbook, title, min((stage, a, b)) AS s FROM e GROUP BY ALL),
+p AS (SELECT id, workbook, title, row_number() OVER (PARTITION BY id, workbook ORDER BY s, title) AS place FROM o)
+SELECT id, workbook, title, place FROM p WHERE place <= 14"""
+_NOTES = f"""WITH {_TABS_SQL},
+c AS (SELECT id, workbook, prefix, max(loaded) AS found, least(max(loaded), 10) AS loaded FROM gt GROUP BY ALL),
+d AS (SELECT g.*, coalesce(found, 0) AS found, coalesce(loaded, 0) AS loaded, [x for x in months if NOT list_contains(available, x)] AS missing FROM g LEFT JOIN c USING (id, workbook, prefix)),
+x AS (SELECT *, 'latest' AS kind, wanted AS named FROM d WHERE len(months) = 0 AND NOT list_contains(available, 7) UNION ALL SELECT *, 'capped', wanted FROM d WHERE found > 10 UNION ALL SELECT *, 'missing', missing FROM d WHERE len(missing) > 0)
+SELECT id, workbook, prefix, kind, array_to_string(named, ',') AS months, array_to_string(available, ',') AS available, loaded FROM x"""
+
+
+def question_and_tabs(spark, sf_dir):
+    lower = F.lower("text")
+    months = F.array(*map(F.lit, dates.MONTHS))
+    docs = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract(lower, "[a-z]{4,}", 0)).where("w <> ''").withColumn("m", F.get(months, (F.floor(F.col("doc_id") / 3) % 12).cast("int")))
+    tabs = routing.tab_index(docs.select(F.floor(F.col("doc_id") / 40).alias("workbook"), (F.col("doc_id") % 40).alias("ord"), F.expr(_TITLE).alias("title")), text.norm_ascii)
+    more = F.expr("CASE conv_id % 5 WHEN 0 THEN ' iyun' WHEN 1 THEN ' mart test' WHEN 2 THEN ' managerlar avgust' WHEN 3 THEN ' dekabr fevral' ELSE '' END")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text RLIKE '[a-zA-Z]'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 25).alias("workbook"), F.concat(text.norm_ascii(F.col("text")), more).alias("q"), dates.months_in(more).alias("months"))
+    return asked.withColumn("current", F.lit(7)).withColumn("carried", F.array(F.lit("Main"))), tabs
+
+
+@query(_TABS)
+def question_tabs(spark, sf_dir):
+    return routing.match_tabs(*question_and_tabs(spark, sf_dir))[0].drop("stage")
+
+
+@query(_NOTES)
+def question_tab_notes(spark, sf_dir):
+    notes = routing.match_tabs(*question_and_tabs(spark, sf_dir))[1]
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return notes.select("id", "workbook", "prefix", "kind", listed("months"), listed("available"), "loaded")
+
+
 @query("SELECT arg_min(\"day\", {'a': abs(\"day\" - DATE '2024-02-03'), 'b': \"day\"}) AS \"day\" FROM (SELECT DISTINCT CAST(ts AS DATE) AS \"day\" FROM events)")
 def nearest_day(spark, sf_dir):
     return routing.nearest_day(table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day")), F.lit("2024-02-03").cast("date"))

@@ -207,16 +207,6 @@ def test_tree(spark):
     assert column(spark, ["chat/2026-07-01.md", "chat/2026-01-01.md", "chat/notes.md"], lambda c: sync.young(c, today)) == [True, False, True]
 
 
-def test_tabs(spark):
-    tabs = [("kpi iyun", "kpi", 6, 1), ("kpi iyul", "kpi", 7, 2), ("main", None, None, 0), ("mijozlar bazasi", None, None, 3), ("other", None, None, 4)]
-    df = spark.createDataFrame(tabs, "title string, prefix string, month int, ord int")
-    got = [r.title for r in routing.match_tabs(df, "kpi iyun bazasi", [6], 7, ["main"]).collect()]
-    assert got == ["main", "kpi iyun", "mijozlar bazasi"]
-    assert [r.title for r in routing.match_tabs(df, "kpi qanday", [], 7, ["main"]).collect()] == ["main", "kpi iyul"]
-    groups = routing.month_groups(df.where("month IS NOT NULL"), F.col("month")).first()
-    assert (groups.prefix, groups.last_month, len(groups.tabs)) == ("kpi", 7, 2)
-
-
 def test_present(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 2.0, None, 3.0, None, 4.0, 5.0])], "k string, i int, v double")
     assert sorted((r["first"], r["last"], r.points) for r in present.segments(df, ["k"], "i", "v").collect()) == [(0, 1, 2), (5, 6, 2)]
