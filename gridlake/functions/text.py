@@ -153,7 +153,8 @@ def file_title(path: Column) -> Column:
 
 
 def first_heading(c: Column) -> Column:
-    return F.nullif(strip(F.regexp_extract(c, r"(?m)^#{1,6}\s+(.+?)\s*$", 1)), F.lit(""))
+    """The title of the first heading line that has one."""
+    return F.nullif(strip(F.regexp_extract(c, r"(?m)^#{1,6}\s++(\S.*)$", 1)), F.lit(""))
 
 
 def outer_json(c: Column, brackets: str = "{}") -> Column:

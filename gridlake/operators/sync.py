@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ignored(path: Column, patterns: list[str], always: tuple[str, ...] = (".git", ".obsidian")) -> Column:
+#: Names that are never read, whatever the patterns say.
+ALWAYS = (".git", ".obsidian", ".trash", ".DS_Store")
+
+
+def ignored(path: Column, patterns: list[str], always: tuple[str, ...] = ALWAYS) -> Column:
     """Whether the last matching pattern excludes a path; ! includes again, a/b is anchored, a bare name is any segment.
 
     * matches / too. Patterns become regular expressions on the driver.

@@ -1,4 +1,4 @@
-"""Sources: snapshot days, logs with resets, trees of files, extractors, and a directory of grids."""
+"""Sources: snapshot days, logs with resets, trees of files, extractors, and workbook files."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridlake.functions.text import rtf_text, text_of_html
 
@@ -40,6 +39,15 @@ def grids(docs: DataFrame) -> DataFrame:
     return rows.where(watched).select("day", "sheet_id", "range", F.col("r.values").alias("grid"))
 
 
+def snapshot_days(spark: SparkSession, folder: str) -> DataFrame:
+    """day of each subfolder named YYYY-MM-DD: one listing, no file is opened; none where the folder isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+    listed = spark.createDataFrame([(n,) for n in names], "name string").where(F.col("name").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    return listed.select(F.try_to_timestamp("name", F.lit("yyyy-MM-dd")).cast("date").alias("day")).where("day IS NOT NULL")
+
+
 def available_days(snapshot_days: DataFrame) -> DataFrame:
     return snapshot_days.select("day").distinct()
 
@@ -122,24 +130,38 @@ def _pdf(data: bytes) -> str:
     return "\n\n".join(pages)
 
 
-def extract_bytes(name: str, data: bytes) -> str:
-    """By the lower-case suffix; anything unknown is text."""
+def extract_bytes(name: str, data: bytes, most: int = MOST_CHARS) -> str:
+    """By the lower-case suffix; anything unknown is text. The first MOST_CHARS characters."""
     kind = os.path.splitext(name)[1].lower()
     plain = lambda: data.decode("utf-8", "replace")
     out = {".docx": lambda: _docx(data), ".xlsx": lambda: _xlsx(data), ".pdf": lambda: _pdf(data), ".html": lambda: text_of_html(plain()), ".htm": lambda: text_of_html(plain())}.get(kind, plain)()
-    return out[:MOST_CHARS]
+    return out[:most]
 
 
-@F.pandas_udf(T.StringType())
-def _extract(names: pd.Series, data: pd.Series) -> pd.Series:
-    return pd.Series([extract_bytes(n, bytes(d)) for n, d in zip(names, data, strict=True)])
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType()), T.StructField("cut", T.BooleanType())]))
+def _extract(names: pd.Series, data: pd.Series) -> pd.DataFrame:
+    def one(name: str, content: bytes) -> tuple:
+        try:
+            text = extract_bytes(name, bytes(content), MOST_CHARS + 1)
+            return text[:MOST_CHARS], None, len(text) > MOST_CHARS
+        except Exception as e:  # noqa: BLE001  a broken file is told in its row
+            return None, f"{type(e).__name__}: {e}", False
+
+    return pd.DataFrame([one(n, d) for n, d in zip(names, data, strict=True)], columns=["text", "error", "cut"])
 
 
 def extracted(spark: SparkSession, folder: str) -> DataFrame:
-    """origin and text of files of all supported kinds."""
+    """origin, text, error, cut of files of all supported kinds.
+
+    A file that can't be read has an error and no text; the others go on. cut: it has more than MOST_CHARS
+    characters, which is what text holds of it.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    text = _extract(F.col("path"), F.col("content"))
-    return raw.select(F.col("path").alias("origin"), F.when(F.lower("path").endswith(".rtf"), rtf_text(F.decode("content", "UTF-8"))).otherwise(text).alias("text"))
+    found = raw.select(F.col("path").alias("origin"), "content", _extract(F.col("path"), F.col("content")).alias("x"))
+    rtf = F.lower("origin").endswith(".rtf")
+    whole = rtf_text(F.decode("content", "UTF-8"))
+    text = F.when(rtf, F.substring(whole, 1, MOST_CHARS)).otherwise(F.col("x.text"))
+    return found.select("origin", text.alias("text"), "x.error", F.when(rtf, F.char_length(whole) > MOST_CHARS).otherwise(F.col("x.cut")).alias("cut"))
 
 
 #: Answers of a remote source after which one more try makes sense.
@@ -197,46 +219,3 @@ def workbooks(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (),
     out = F.col("tab").isin(*excluded) if excluded else F.lit(False)
     grid = F.when(~out, F.transform(F.slice("cells", 1, most_rows), lambda r: F.slice(r, 1, most_columns)))
     return listed.select("workbook", "tab", grid.alias("grid"), F.coalesce(out, F.lit(False)).alias("excluded"), "ok", F.when(~F.col("ok"), "no tabs").alias("error"))
-
-
-class _Workbook(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _GridReader(DataSourceReader):
-    def __init__(self, options):
-        self.folder, self.excluded = options["path"], set(filter(None, options.get("excludedTabs", "").split(",")))
-
-    def partitions(self):
-        names = sorted(n for n in os.listdir(self.folder) if n.endswith(".json"))
-        return [_Workbook(os.path.join(self.folder, n)) for n in names]
-
-    def read(self, partition):
-        book = os.path.basename(partition.path)
-        try:
-            with open(partition.path, encoding="utf-8") as f:
-                doc = json.load(f)
-            for tab, rows in doc["tabs"].items():
-                if tab not in self.excluded:
-                    yield (book, tab, [[None if c is None else str(c) for c in row[:78]] for row in rows[:1000]], True, None)
-        except (OSError, ValueError, KeyError, AttributeError) as e:
-            yield (book, None, None, False, f"{type(e).__name__}: {e}")
-
-
-class GridDirectory(DataSource):
-    """spark.read.format("grid_directory").option("path", folder): a partition a workbook file.
-
-    A workbook that can't be read is a row with ok = false; the others go on. Excluded tabs aren't read.
-    """
-
-    @classmethod
-    def name(cls):
-        return "grid_directory"
-
-    def schema(self):
-        return "workbook string, tab string, grid array<array<string>>, ok boolean, error string"
-
-    def reader(self, schema):
-        return _GridReader(self.options)

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import time
-import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -42,12 +41,8 @@ class HttpFeed:
 
     def _get(self, offset: int) -> list[dict]:
         mark = "&" if "?" in self.address else "?"
-        try:
-            with urllib.request.urlopen(f"{self.address}{mark}offset={offset}&limit={self.page}", timeout=self.timeout) as answer:
-                return json.load(answer).get("result") or []
-        except urllib.error.HTTPError as e:
-            e.status = e.code
-            raise
+        with urllib.request.urlopen(f"{self.address}{mark}offset={offset}&limit={self.page}", timeout=self.timeout) as answer:  # an error has the status
+            return json.load(answer).get("result") or []
 
     def last(self) -> int | None:
         found = self._get(-1)

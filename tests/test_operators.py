@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import dates, text
 from gridlake.operators import audit, diff, grid, kb, present, receivables, routing, scorecard, sync
-from gridlake.sources import readers, sinks
+from gridlake.sources import readers, sinks, workbooks
 from gridlake.streaming import jobs
 
 D = datetime.date
@@ -258,7 +258,7 @@ def test_snapshots_and_directory(spark, tmp_path):
     books.mkdir()
     (books / "one.json").write_text(json.dumps({"tabs": {"t": [["a", 1, None]], "hidden": [["x"]]}}))
     (books / "two.json").write_text("nope")
-    spark.dataSource.register(readers.GridDirectory)
+    spark.dataSource.register(workbooks.GridDirectory)
     got = spark.read.format("grid_directory").option("path", str(books)).option("excludedTabs", "hidden").load().orderBy("workbook").collect()
     assert [(r.workbook, r.tab, r.ok) for r in got] == [("one.json", "t", True), ("two.json", None, False)] and got[0].grid == [["a", "1", None]]
 
