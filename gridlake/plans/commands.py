@@ -1,19 +1,18 @@
-"""The engine's commands end to end: daily diff, push of receivables, ingest, search and tree sync.
+"""The engine's commands end to end: daily diff and push of receivables; the store is in store.py.
 
-Each takes and returns DataFrames (ingest also writes); the day is always a parameter.
+Each takes and returns DataFrames; the day is always a parameter.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.text import fts_tokens, query_terms, search_prefixes, without_diacritics
-from gridlake.operators import diff, grid, kb, receivables, sync
+from gridlake.operators import diff, grid, receivables
 from gridlake.operators.tables import key_place
+from gridlake.plans.store import Store
+
+__all__ = ["Store", "by_urgency", "daily_diff", "push"]
 
 AT = ["sheet_id", "range"]
 
@@ -86,182 +85,3 @@ def by_urgency(rows: DataFrame, today: Column) -> DataFrame:
     """Receivables in the dashboard's order, with label: overdue, pending, prepaid, paused, churned, paid; then due."""
     rank = F.array_position(F.array(*map(F.lit, receivables.LABELS)), F.col("label"))
     return rows.withColumn("label", receivables.urgency(today)).orderBy(rank, F.coalesce(F.col("due"), today), "row_no")
-
-
-class Store:
-    """Documents, chunks, postings and an ingest log below a folder.
-
-    Documents are dealt by a hash of uid into buckets; each bucket's chunks and postings lie beside it. A change
-    writes only the buckets that it touches, into a folder of its own, and is made current by one rename of a
-    small file that names the folder of each bucket. So a lost job or executor leaves the state before in place.
-    Postings are sorted by term: a search reads the ranges of its prefixes. buckets is fixed by the first write.
-    """
-
-    DOCS = "uid string, source string, origin string, title string, text string, content_hash string, n_chunks int, archived boolean"
-    CHUNKS = "uid string, ord int, heading string, text string, n_chars int, n_tokens int"
-    POSTINGS = "term string, uid string, ord int, weight double"
-    TABLES = {"docs": (DOCS, ["uid"]), "chunks": (CHUNKS, ["uid", "ord"]), "postings": (POSTINGS, ["term", "uid", "ord"])}
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        return at, at(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict | None:
-        """buckets, and for each table the folder of each bucket that has rows."""
-        at, fs = self._files()
-        for name in ("CURRENT", "NEXT"):  # NEXT alone: the driver was lost between the two steps of publishing
-            if fs.exists(at(f"{self.path}/{name}")):
-                return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
-        return None
-
-    def version(self) -> str | None:
-        """The folder of the last change."""
-        return (self.manifest() or {}).get("version")
-
-    def _table(self, name: str, only: list[int] | None = None) -> DataFrame:
-        """A table, or what some buckets hold of it; empty where nothing is stored."""
-        at = (self.manifest() or {}).get(name, {})
-        paths = [f"{self.path}/{v}/{name}/bucket={b}" for b, v in sorted(at.items()) if only is None or int(b) in only]
-        return self.spark.read.schema(self.TABLES[name][0]).parquet(*paths) if paths else self.spark.createDataFrame([], self.TABLES[name][0])
-
-    def docs(self) -> DataFrame | None:
-        return self._table("docs") if self.manifest() else None
-
-    def chunks(self) -> DataFrame | None:
-        return self._table("chunks").drop("n_tokens") if self.manifest() else None
-
-    def _publish(self, manifest: dict) -> None:
-        at, fs = self._files()
-        out = fs.create(at(f"{self.path}/NEXT"), True)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True), "utf-8"))
-        out.close()
-        current = at(f"{self.path}/CURRENT")
-        if fs.exists(current):
-            fs.delete(current, False)
-        if not fs.rename(at(f"{self.path}/NEXT"), current):
-            raise OSError(f"{self.path}/NEXT wasn't renamed")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("uid"), F.lit((self.manifest() or {}).get("buckets", self.buckets))).cast("int")
-
-    def _touched(self, uids: DataFrame) -> list[int]:
-        """The buckets of some rows: at most as many numbers as there are buckets."""
-        return [r[0] for r in uids.select(self._bucket()).distinct().collect()]
-
-    def _put(self, version: str, name: str, df: DataFrame) -> DataFrame:
-        """Write buckets of a table, dealt by ranges (no bucket is one task), sorted within files; read back."""
-        kind, order = self.TABLES[name]
-        out = f"{self.path}/{version}/{name}"
-        columns = [c.split()[0] for c in kind.split(", ")]
-        df.select(*columns, self._bucket().alias("bucket")).repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(out)
-        return self.spark.read.schema(kind).parquet(out)
-
-    def _swap(self, version: str, names: list[str], touched: list[int]) -> None:
-        """Name a version as the folder of the touched buckets."""
-        at, fs = self._files()
-        now = (self.manifest() or {"buckets": self.buckets}) | {"version": version}
-        for name in names:
-            kept = {b: v for b, v in now.get(name, {}).items() if int(b) not in touched}
-            there = (b for b in touched if fs.exists(at(f"{self.path}/{version}/{name}/bucket={b}")))
-            now[name] = kept | {str(b): version for b in there}
-        self._publish(now)
-
-    def vacuum(self) -> list[str]:
-        """Delete the folders that no bucket names any more; for times without readers of an older state."""
-        at, fs = self._files()
-        used = {v for name in self.TABLES for v in (self.manifest() or {}).get(name, {}).values()}
-        old = [p.getPath().getName() for p in fs.listStatus(at(self.path)) if p.getPath().getName().startswith("v-")]
-        gone = sorted(v for v in old if v not in used)
-        for v in gone:
-            fs.delete(at(f"{self.path}/{v}"), True)
-        return gone
-
-    def ingest(self, incoming: DataFrame, by_content: bool = False, most_chunks: int = kb.MOST_CHUNKS) -> DataFrame:
-        """Upsert source, origin, text, title, seq; the status of each as logged. Only new and updated ones are cut.
-
-        The first most_chunks chunks of a document are stored; beside the status stand n_found, the chunks
-        that its text has, and n_stored, both null where it is unchanged.
-        """
-        log = f"{self.path}/log/{uuid.uuid4().hex}"
-        kb.classify_ingest(kb.identified(incoming, by_content), self._table("docs")).write.parquet(log)  # each attempt; what follows reads it
-        done = self.spark.read.parquet(log)
-        fresh = done.where("ingest <> 'unchanged'")
-        touched, version = self._touched(fresh), f"v-{uuid.uuid4().hex}"
-        cut = kb.chunks(fresh.select("uid", "text"), "uid")
-        if touched:
-            uids = fresh.select("uid")
-            new = cut.where(F.col("ord") < most_chunks).withColumn("n_tokens", kb.n_tokens("text", "heading", fts_tokens))
-            have = self._put(version, "chunks", self._table("chunks", touched).join(uids, "uid", "left_anti").unionByName(new)).join(uids, "uid", "left_semi")
-            index = kb.postings(have, ["uid", "ord"], "text", "heading", fts_tokens)
-            self._put(version, "postings", self._table("postings", touched).join(uids, "uid", "left_anti").unionByName(index))
-            counts = have.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
-            ready = fresh.join(counts, "uid", "left").na.fill(0, ["n_chunks"])
-            self._put(version, "docs", kb.merged(ready, self._table("docs", touched)))
-        if touched or self.manifest() is None:
-            self._swap(version, list(self.TABLES), touched)
-        every = cut.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("__n"))
-        n_found = F.when(F.col("ingest") != "unchanged", F.coalesce("__n", F.lit(0)))
-        return done.join(every, "uid", "left").select("seq", "uid", "source", "origin", "ingest", n_found.alias("n_found"), F.least(n_found, F.lit(most_chunks)).alias("n_stored"))
-
-    def log(self) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/log").select("seq", "source", "origin", "ingest")
-
-    def _archive(self, gone: DataFrame) -> None:
-        """Mark the documents of some uids; only their buckets are written, chunks and postings stay."""
-        touched, version = self._touched(gone), f"v-{uuid.uuid4().hex}"
-        if touched:
-            hit = gone.select("uid", F.lit(True).alias("__gone"))
-            marked = F.col("archived") | F.coalesce("__gone", F.lit(False))
-            self._put(version, "docs", self._table("docs", touched).join(hit, "uid", "left").withColumn("archived", marked))
-            self._swap(version, ["docs"], touched)
-
-    def forget(self, key: str) -> tuple[str, list[tuple[str, str]]]:
-        """(ok, not_found or ambiguous, candidates): by uid, else by the one active title that contains key; never many."""
-        docs, key = self.docs(), key.strip()
-        if docs is None or not key:
-            return "not_found", []
-        active = docs.where("NOT archived")
-        hits = active.where(F.col("uid") == key).select("uid", "title").limit(1).collect()
-        hits = hits or active.where(F.contains(F.lower("title"), F.lit(key.lower()))).select("uid", "title").orderBy("uid").limit(11).collect()
-        if len(hits) != 1:
-            return ("ambiguous", [tuple(h) for h in hits[:10]]) if hits else ("not_found", [])
-        self._archive(active.where(F.col("uid") == hits[0].uid))
-        return "ok", [tuple(hits[0])]
-
-    def search(self, question: str, most: int = 30, terms: list[str] | None = None) -> DataFrame:
-        """Ranked chunks of active documents: uid, ord, heading, text, n_chars, title, source, score, rank.
-
-        Reads the postings of the words' prefixes, then the texts of what is found. Statistics are over all chunks,
-        archived ones too. terms replaces the words of the question. Words and texts are compared without
-        diacritics, and a word is split at any apostrophe, as stored texts are.
-        """
-        words = self.spark.range(1).select(_prefixes(question, terms)).first()[0]
-        ids = ["uid", "ord"]
-        texts = self._table("chunks")
-        tagged = self._table("docs").where("NOT archived").select("uid", "source", "title")
-        if not words:
-            return texts.drop("n_tokens").join(tagged, "uid").where("false").withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
-        scored = kb.bm25_of_postings(self._table("postings"), texts.select(*ids, "n_tokens"), words, ids).join(tagged, "uid")
-        scored = scored.withColumn("score", F.col("score") * F.when(F.col("source") == "chat", 0.6).otherwise(1.0))
-        best = kb.search(scored, ids, most).withColumn("rank", F.row_number().over(Window.orderBy("score", *ids)))
-        return texts.drop("n_tokens").join(F.broadcast(best), ids).select(*ids, "heading", "text", "n_chars", "title", "source", "score", "rank")  # most rows
-
-    def sync(self, tree: DataFrame, patterns: list[str] | None, today: Column) -> tuple[str, DataFrame | None]:
-        """Make the store follow a tree (origin, text): (ok or no_ignore_file, actions). Vanished origins are archived."""
-        if patterns is None:
-            return "no_ignore_file", None
-        seen = tree.where(~sync.ignored(F.col("origin"), patterns) & sync.young(F.col("origin"), today)).withColumn("source", sync.source_of(F.col("origin")))
-        self.ingest(seen.withColumn("title", F.col("origin")).withColumn("seq", F.lit(0)), by_content=True)
-        live = self.docs().where("NOT archived AND source IN ('vault', 'chat')").select("uid", "source", "origin")
-        gone = diff.only_in(live, seen, ["source", "origin"])
-        self._archive(live.join(gone, ["source", "origin"], "left_semi"))
-        return "ok", gone.withColumn("action", F.lit("archive"))
-
-
-def _prefixes(question: str, terms: list[str] | None = None) -> Column:
-    words = F.lit(" ".join(terms)) if terms else F.array_join(query_terms(without_diacritics(F.lit(question))), " ")
-    return search_prefixes(without_diacritics(words))

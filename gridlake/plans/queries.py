@@ -399,7 +399,10 @@ def postings_search(spark, sf_dir):
 def block_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", kb.n_tokens().alias("n_tokens"))
-    index = kb.postings(docs, ["doc_id"]).join(sizes, "doc_id").withColumn("block", kb.block_of(F.col("n_tokens"), F.col("doc_id")))
+    built = kb.postings(docs, ["doc_id"]).join(sizes, "doc_id").withColumn("block", kb.block_of(F.col("n_tokens"), F.col("doc_id")))
+    at = jobs.work_folder(spark, "index")
+    built.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(at)
+    index = spark.read.schema(built.schema).parquet(at)
     n, average = sizes.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
     counted = kb.prefix_counts(index, ["doc_id"]).where(F.col("prefix").isin(TERMS))
     hits = {r.prefix: r.n_chunks for r in counted.collect()}  # a row a word of the question

@@ -127,8 +127,9 @@ def test_store(spark, tmp_path):
     assert [r.title for r in store.search("muddat").collect()] == ["Gamma"] and store.log().count() == 5
     tree = spark.createDataFrame([("x.md", "yangi matn"), ("skip/y.md", "z")], "origin string, text string")
     assert store.sync(tree, None, today())[0] == "no_ignore_file"
-    state, gone = store.sync(tree, ["skip/"], today())
-    assert state == "ok" and {r.origin for r in gone.collect()} == {"b", "c"}
+    assert store.sync(tree, ["skip/", "__UNCONFIGURED__"], today())[0] == "unconfigured"
+    state, told = store.sync(tree, ["skip/"], today())
+    assert state == "ok" and told == {"files": 2, "ingested": 1, "unchanged": 0, "errors": 0, "aged": 0, "archived": 2, "skipped": ["skip"]}
     assert {r.origin: r.archived for r in store.docs().collect()} == {"a": True, "b": True, "c": True, "x.md": False}
 
 
@@ -156,11 +157,93 @@ def test_all_chunks_and_the_cap_of_the_store(spark, tmp_path):
 
 def test_store_survives_a_lost_driver(spark, tmp_path):
     store = commands.Store(spark, f"file://{tmp_path}/kb")
-    store.ingest(spark.createDataFrame([("v", "a", "A", "t", 0)], "source string, origin string, title string, text string, seq int"))
-    (tmp_path / "kb" / "CURRENT").rename(tmp_path / "kb" / "NEXT")
-    assert store.docs().count() == 1
+    doc = lambda i, t: spark.createDataFrame([("v", i, i, t, 0)], "source string, origin string, title string, text string, seq int")
+    store.ingest(doc("a", "t"))
+    (tmp_path / "kb" / "manifests" / "next-lost").write_text('{"number": 9')  # written aside, never renamed
+    assert store.docs().count() == 1 and store.manifest()["number"] == 1
+    store.ingest(doc("b", "u"))
+    assert store.docs().count() == 2 and store.manifest()["number"] == 2
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         store.docs().write.parquet(f"{store.path}/{store.version()}/docs")
+    assert not store._publish({"number": 2}) and store.manifest()["number"] == 2
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_changes_at_once_lose_nothing(spark, tmp_path, monkeypatch, buckets):
+    doc = lambda *ids: spark.createDataFrame([("v", i, i, f"matn {i}", 0) for i in ids], "source string, origin string, title string, text string, seq int")
+    store, other = (commands.Store(spark, f"file://{tmp_path}/kb", buckets) for _ in range(2))
+    store.ingest(doc("a"))
+    commit, made = commands.Store._commit, []
+
+    def meanwhile(self, base, version, touched):
+        if self is store and len(made) < 2:
+            made.append(version)
+            other.ingest(doc("a", f"other{len(made)}", "b" if len(made) == 1 else "c"))
+        return commit(self, base, version, touched)
+
+    monkeypatch.setattr(commands.Store, "_commit", meanwhile)
+    told = store.ingest(doc("mine", "b"))
+    assert {r.origin: r.ingest for r in told.collect()} == {"mine": "new", "b": "unchanged"}
+    assert {r.origin for r in store.docs().collect()} == {"a", "mine", "b", "c", "other1", "other2"}
+    assert store.chunks().count() == 6 and store.docs().count() == 6
+    for word in ("mine", "other1", "other2", "b"):
+        assert [r.title for r in store.search(f"matn {word}", terms=[word]).collect()][:1] == [word] or word == "b"
+    assert store.log().where("origin = 'mine'").count() == 1  # of the change that was made
+
+
+def test_failed_documents_are_logged(spark, tmp_path):
+    store = commands.Store(spark, f"file://{tmp_path}/kb")
+    rows = [("v", "good.txt", "G", "matn", 0, None), ("v", "bad.docx", "B", None, 1, "BadZipFile: no zip")]
+    told = store.ingest(spark.createDataFrame(rows, "source string, origin string, title string, text string, seq int, error string"))
+    assert {r.origin: (r.ingest, r.n_found, r.error) for r in told.collect()} == {"good.txt": ("new", 1, None), "bad.docx": ("error", None, "BadZipFile: no zip")}
+    assert {r.origin for r in store.docs().collect()} == {"good.txt"}
+    assert {(r.origin, r.ingest, r.error) for r in store.log().collect()} == {("good.txt", "new", None), ("bad.docx", "error", "BadZipFile: no zip")}
+    store.ingest(spark.createDataFrame(rows[1:], "source string, origin string, title string, text string, seq int, error string"))
+    assert store.docs().count() == 1 and store.log().count() == 3
+
+
+def test_sync_counts_and_locks(spark, tmp_path):
+    store = commands.Store(spark, f"file://{tmp_path}/kb")
+    files = [("a.md", "bir", None), ("x/b.md", "ikki", None), (".trash/c.md", "uch", None), ("x/.DS_Store", "z", None), ("chat/2026-01-01.md", "eski", None), ("chat/2026-07-19.md", "yangi", None), ("bad.md", None, "cannot be read"), ("empty.md", " ", None)]
+    tree = lambda rows: spark.createDataFrame(rows, "origin string, text string, error string")
+    state, told = store.sync(tree(files), ["x/"], today())
+    assert state == "ok" and told == {"files": 8, "ingested": 2, "unchanged": 0, "errors": 2, "aged": 1, "archived": 0, "skipped": [".trash", "x"]}
+    number = store.manifest()["number"]
+    state, told = store.sync(tree(files[1:]), [], today())
+    assert told == {"files": 7, "ingested": 1, "unchanged": 1, "errors": 2, "aged": 1, "archived": 1, "skipped": [".trash", "x"]}
+    assert store.manifest()["number"] == number + 1  # new and archived in one commit
+    assert {r.origin: r.archived for r in store.docs().collect()} == {"a.md": True, "x/b.md": False, "chat/2026-07-19.md": False}
+    with commands.Store.sync.__globals__["single_run"](spark, f"{store.path}/sync.lock") as held:
+        assert held and store.sync(tree(files), [], today()) == ("busy", None)
+    assert store.sync(tree(files), [], today())[0] == "ok"
+
+
+def test_search_of_an_empty_store_ends_at_once(spark, tmp_path):
+    store = commands.Store(spark, f"file://{tmp_path}/kb")
+    found = store.search("nima bor")
+    assert found.count() == 0 and found.columns[:2] == ["uid", "ord"] and "Join" not in found._jdf.queryExecution().toString()
+    assert store.log().count() == 0
+
+
+def test_few_blocks_are_read_for_the_same_places(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    store = commands.Store(spark, f"file://{tmp_path}/kb", buckets=2)
+    words = [f"soz{i}" for i in range(300)]
+    rows = [("chat" if i % 4 == 0 else "vault", str(i), f"T{i}", " ".join(["muddat"] * rng.randint(0, 3) + rng.choices(words, k=rng.randint(5, 400)) + ["hisobot"] * (rng.random() < 0.1) + ["x" * 30 + str(i)]), i) for i in range(1500)]
+    store.ingest(spark.createDataFrame(rows, "source string, origin string, title string, text string, seq int"))
+    store.forget("T77")
+    ids = ["uid", "ord"]
+    docs = store.docs().where("NOT archived").select("uid", "source")
+    for terms in (["muddat"], ["muddat", "hisob"], ["soz12", "soz299"], ["x" * 28], ["yoq"]):
+        index = kb.bm25_of_postings(store._table("postings").drop("n_tokens"), store._table("chunks").select(*ids, "n_tokens"), terms, ids)
+        scored = index.join(docs, "uid").select(*ids, (commands.F.col("score") * commands.F.when(commands.F.col("source") == "chat", 0.6).otherwise(1.0)).alias("score"))
+        want = [(r.uid, r.ord) for r in kb.search(scored, ids, 30).collect()]
+        have = sorted(store.search("?", terms=terms).collect(), key=lambda r: r["rank"])
+        assert [(r.uid, r.ord) for r in have] == want
+        if terms == ["muddat", "hisob"]:
+            assert len(want) == 30 and 0 < store.last_search["read"] < store.last_search["blocks"] // 2
 
 
 def test_store_writes_only_touched_buckets(spark, tmp_path):
@@ -187,6 +270,6 @@ def test_store_search_equals_a_scan(spark, tmp_path):
     store.ingest(spark.createDataFrame(rows, "source string, origin string, title string, text string, seq int"))
     ids = ["uid", "ord"]
     scan = kb.bm25(store.chunks().withColumn("id", commands.F.struct(*ids)), ["muddat", "sarlavha1"], "id", heading_col="heading").select("id.*", "score")
-    index = kb.bm25_of_postings(store._table("postings"), store._table("chunks").select(*ids, "n_tokens"), ["muddat", "sarlavha1"], ids)
+    index = kb.bm25_of_postings(store._table("postings").drop("n_tokens"), store._table("chunks").select(*ids, "n_tokens"), ["muddat", "sarlavha1"], ids)
     want, have = ({(r.uid, r.ord): r.score for r in df.collect()} for df in (scan, index))
     assert len(want) == 40 and want.keys() == have.keys() and all(abs(want[k] - have[k]) < 1e-12 for k in want)
