@@ -678,6 +678,23 @@ def jobs_due(spark, sf_dir):
     return jobs.due_jobs(events.select(F.col("event_type").alias("job")).distinct(), runs, F.lit("2024-01-15").cast("date"), F.col("job") == "click")
 
 
+_NOW = "TIMESTAMP '2001-08-02 01:30:00'"
+_JOBS = "SELECT c_custkey AS job, TIMESTAMP '2001-06-01 00:00:00' AS since, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 24 * 60 AS INT) END AS daily_at, 45 AS every, CASE WHEN c_custkey % 2 = 0 THEN 180 END AS grace FROM "
+_STARTS = "SELECT o_custkey AS job, CAST(o_orderdate AS TIMESTAMP) + {0} AS due_at, o_orderkey % 50 = 0 AS open FROM {1} WHERE o_orderdate >= DATE '2001-06-01'"
+
+
+@query(f"""WITH j AS ({_JOBS} customer), s AS ({_STARTS.format("CASE WHEN o_custkey % 2 = 0 THEN to_minutes(CAST(o_custkey % 24 * 60 AS INT)) ELSE to_minutes(0) END", "orders")}), l AS (SELECT job, max(due_at) AS last, bool_or(open) AS busy FROM s GROUP BY job),
+ t AS (SELECT job, grace, daily_at, since, last, coalesce(busy, false) AS busy, unnest(CASE WHEN daily_at IS NOT NULL THEN [since + to_minutes(daily_at) + to_days(CAST(d AS INT)) for d in range(80)] ELSE [since + to_minutes(CAST(45 * d AS INT)) for d in range(3000)] END) AS moment FROM j LEFT JOIN l USING (job)),
+ d AS (SELECT job, max(moment) AS due_at, count(*) - 1 AS folded, any_value(grace) AS grace, any_value(busy) AS busy FROM t WHERE moment <= {_NOW} AND (last IS NULL AND moment >= since OR moment > last) GROUP BY job)
+ SELECT job, strftime(due_at, '%Y-%m-%d %H:%M:%S') AS due_at, folded, CASE WHEN busy THEN 'busy' WHEN epoch({_NOW} - due_at) > grace * 60 THEN 'missed' ELSE 'run' END AS action FROM d""")
+def jobs_schedule(spark, sf_dir):
+    every = spark.sql(_JOBS + "{c}", c=table(spark, sf_dir, "customer"))
+    minutes = "CASE WHEN o_custkey % 2 = 0 THEN make_dt_interval(0, 0, CAST(o_custkey % 24 * 60 AS INT), 0) ELSE INTERVAL '0' MINUTE END"
+    starts = spark.sql(_STARTS.format(minutes, "{o}"), o=table(spark, sf_dir, "orders"))
+    runs = starts.select("job", "due_at", F.col("due_at").alias("started_at"), F.when(~F.col("open"), F.col("due_at")).alias("ended_at"))
+    return jobs.schedule(every, runs, F.expr(_NOW)).withColumn("due_at", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 _RUNS = "SELECT CAST(o_custkey AS VARCHAR) AS job, o_orderkey AS day, strftime(o_orderdate, '%Y-%m') AS tab FROM orders"
 
 

@@ -33,10 +33,10 @@ def snapshots(spark: SparkSession, folder: str, day: str) -> tuple[DataFrame, Da
 
 
 def grids(docs: DataFrame) -> DataFrame:
-    """A row a range: day, sheet_id, range, grid. Only watched ranges where the document names some."""
-    rows = docs.select("day", "sheet_id", "watch_ranges", F.explode("ranges").alias("range", "r"))
+    """A row a range: day, sheet_id, ordinal (the range's place in the document), range, grid. Only watched ranges where the document names some."""
+    rows = docs.select("day", "sheet_id", "watch_ranges", F.posexplode("ranges").alias("ordinal", "range", "r"))
     watched = F.col("watch_ranges").isNull() | F.array_contains("watch_ranges", F.col("range"))
-    return rows.where(watched).select("day", "sheet_id", "range", F.col("r.values").alias("grid"))
+    return rows.where(watched).select("day", "sheet_id", "ordinal", "range", F.col("r.values").alias("grid"))
 
 
 def snapshot_days(spark: SparkSession, folder: str) -> DataFrame:

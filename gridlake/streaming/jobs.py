@@ -97,6 +97,38 @@ def due_jobs(jobs: DataFrame, runs: DataFrame, today: Column, forced: Column | N
     return jobs.join(done, "job", "left").where(F.col("__done").isNull() | again).drop("__done")
 
 
+#: How late a daily job may still start, and how often the others run.
+GRACE_HOURS, INTERVAL_MINUTES = 3, 10
+
+
+def schedule(jobs: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """What to start now: job, due_at, action, folded.
+
+    jobs: job, since (from when it counts), daily_at (minutes after midnight) or else every (minutes), grace
+    (minutes it may start late; null: any). runs: job, due_at, started_at, ended_at, of which a lost run has no
+    end. Times are in the session's zone. Of all due times since the last run only the latest counts; folded
+    tells how many before it are left out. action: "run"; "missed" where the grace has passed, so the time is
+    left out, too; "busy" while a run of the job goes on. Jobs with nothing due have no row.
+    """
+    stamp = lambda c: F.unix_timestamp(c)
+    last = runs.groupBy("job").agg(F.max("due_at").alias("__last"), F.max(F.col("ended_at").isNull()).alias("__busy"))
+    known = jobs.join(last, "job", "left").withColumn("__from", F.coalesce("__last", "since"))
+    moment = F.date_trunc("day", now) + F.make_dt_interval(mins=F.col("daily_at"))
+    daily = F.when(moment <= now, moment).otherwise(moment - F.expr("INTERVAL 1 DAY"))
+    step = F.col("every") * 60
+    elapsed = F.floor((stamp(now) - stamp("since")) / step) * step
+    due = F.when(F.col("daily_at").isNotNull(), daily).otherwise(F.timestamp_seconds(stamp("since") + elapsed))
+    timed = known.withColumn("due_at", due).where((F.col("due_at") > F.col("__from")) | (F.col("__last").isNull() & (F.col("due_at") >= F.col("since"))))
+    clock = lambda c: F.date_format(c, "HH:mm:ss")
+    counted = (clock("__from") < clock("due_at")) | (F.col("__last").isNull() & (clock("__from") == clock("due_at")))  # a due time on the first day
+    days = F.date_diff("due_at", "__from") - F.when(counted, 0).otherwise(1)
+    steps = F.floor((stamp("due_at") - stamp("__from")) / step) - F.when(F.col("__last").isNull(), 0).otherwise(1)
+    folded = F.greatest(F.when(F.col("daily_at").isNotNull(), days).otherwise(steps), F.lit(0)).cast("long")
+    late = F.col("grace").isNotNull() & (stamp(now) - stamp("due_at") > F.col("grace") * 60)
+    action = F.when(F.coalesce("__busy", F.lit(False)), "busy").when(late, "missed").otherwise("run")
+    return timed.select("job", "due_at", action.alias("action"), folded.alias("folded"))
+
+
 def new_months(runs: DataFrame) -> DataFrame:
     """Runs (job, day, tab) with new_month: whether the job's run before had another tab; a first run has none before."""
     before = F.lag("tab").over(Window.partitionBy("job").orderBy("day"))
