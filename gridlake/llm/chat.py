@@ -38,13 +38,35 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """Paths of all fields; items of a list are at path[]. An empty list still shows its path."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+#: Levels of a record; one that is nested deeper is no chat. So deep a record is also safe to walk.
+MOST_LEVELS = 100
+#: Fingerprints that a task keeps at a time.
+MOST_KNOWN = 10_000
+#: A key of a prefix with its dot, and a whole prefix: keys of objects, no lists.
+_PART = re.compile(r"((?:\\.|[^.\\])+)\.", re.S)
+_PREFIX = re.compile(r"(?:(?:\\.|[^.\\\[\]])+\.)*", re.S)
+
+
+def _part(key: str) -> str:
+    """A key as part of a path: marks of its own are escaped, so unlike layouts have unlike paths."""
+    return re.sub(r"([.\[\]\\\n])", r"\\\1", key)
+
+
+def field_paths(value: object) -> set[str] | None:
+    """Paths of all fields; items of a list are at path[]. An empty list still shows its path. None beyond MOST_LEVELS."""
+    out: set[str] = set()
+    left = [(value, "", 0)]
+    while left:
+        item, at, level = left.pop()
+        if level > MOST_LEVELS:
+            return None
+        if isinstance(item, dict) and item:
+            left += [(v, f"{at}.{_part(k)}" if at else _part(k), level + 1) for k, v in item.items()]
+        elif isinstance(item, list) and item:
+            left += [(v, f"{at}[]", level + 1) for v in item]
+        else:
+            out.add(f"{at}[]" if isinstance(item, list) else at)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -97,22 +119,35 @@ def place_of(mapping: Mapping, paths: set[str]) -> str | None:
         first = min(mapping.needs)
         found = [p[: -len(first)] for p in heads if p.endswith(first)]
         found = [s for s in found if all(s + n in heads for n in mapping.needs)]
-    found = [s for s in found if (not s or s.endswith(".")) and "[]" not in s]
+    found = [s for s in found if _PREFIX.fullmatch(s)]
     return min(found, key=lambda s: (len(s), s), default=None)
 
 
+def _hollow(mapping: Mapping, prefix: str, paths: set[str]) -> bool:
+    """Whether the layout's list of turns is empty."""
+    return bool(mapping.turns) and f"{prefix}{mapping.turns}[].{mapping.role}" not in paths
+
+
 class Registry:
-    """Mapping and prefix of each fingerprint: looked up, or found once by the paths that a layout needs."""
+    """Mapping and prefix of each fingerprint: looked up, or found by the paths that a layout needs.
+
+    A layout with turns goes before one whose list is empty, then the one with the shorter prefix. Where keys
+    are data, fingerprints are many; so only so many are kept.
+    """
 
     def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
         self.mappings, self.known = mappings, {}
 
-    def select(self, record: object) -> tuple[str, tuple[Mapping, str] | None]:
+    def select(self, record: object) -> tuple[str | None, tuple[Mapping, str] | None]:
         paths = field_paths(record)
+        if paths is None:
+            return None, None
         key = fingerprint(paths)
         if key not in self.known:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
             places = [(m, place_of(m, paths)) for m in self.mappings]
-            self.known[key] = min(((m, p) for m, p in places if p is not None), key=lambda x: len(x[1]), default=None)
+            self.known[key] = min(((m, p) for m, p in places if p is not None), key=lambda x: (_hollow(*x, paths), len(x[1])), default=None)
         return key, self.known[key]
 
 
@@ -137,7 +172,8 @@ def plain_text(value: object) -> str:
 
 def canonical_turns(record: dict, mapping: Mapping, prefix: str = "") -> list[tuple[str, str]] | None:
     """(role, text) in order, None where a turn is no object. Roles and texts are as plain_text makes them."""
-    for key in prefix.split(".")[:-1]:
+    for key in _PART.findall(prefix):
+        key = re.sub(r"\\(.)", r"\1", key, flags=re.S)
         record = record.get(key) if isinstance(record, dict) else None  # a list of objects holds no one layout
     if not isinstance(record, dict):
         return None
@@ -177,8 +213,8 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """Format JSON records: id, fingerprint, layout, formatted, mask array<struct<from,to>>.
 
-    A layout may lie below other objects (data.messages). A record that is null, no JSON object, in no known
-    layout or with a turn that is no object has layout and formatted null and an empty mask. Repeated rows repeat; no rows give no rows; other columns are not read.
+    A layout may lie below other objects (data.messages). A record that is null, no JSON object, nested
+    deeper than MOST_LEVELS, in no known layout or with a turn that is no object has layout and formatted null and an empty mask. Repeated rows repeat; no rows give no rows; other columns are not read.
     """
     small_batches(records.sparkSession)
     schema = f"{id_col} {records.schema[id_col].dataType.simpleString()}, fingerprint string, layout string, formatted string, mask array<struct<from:int,to:int>>"

@@ -117,6 +117,11 @@ def _sets_of(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(tidy(run), f"{id_col} {kind}, n long, key long, more long, often array<bigint>, times array<bigint>")
 
 
+def range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, by its upper 32 bits; ranges is below 2**31."""
+    return ((grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 PACKED = "range long, chunk long, keys binary, sizes binary, counts binary, low binary, high binary"
 
 
@@ -137,23 +142,24 @@ def _packed(reps: DataFrame, n: int, ranges: int, hot: np.ndarray, bins: int) ->
                 key = np.stack(fingerprints([grams, second], at))
                 size = np.diff(at)
                 text = np.repeat(np.arange(b - a), size)
-                part = ((grams >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
+                part = range_of(grams, ranges)
                 if len(hot):
                     part[hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams] = ranges
                 order = np.argsort(part, kind="stable")  # by text within a range
                 grams, text, part = grams[order], text[order], part[order]
-                cut = np.searchsorted(part, np.arange(ranges + 2))
+                found = np.union1d(part, [0])  # the ranges that the slice meets, and the first
+                cut = np.append(np.searchsorted(part, found), len(part))
                 low, high = (grams & np.uint64(0xFFFFFFFF)).astype("<u4"), (grams >> np.uint64(32)).astype("<u4")
-                found = [r for r in range(ranges + 1) if cut[r + 1] > cut[r] or r == 0]
-                counts = [np.bincount(text[cut[r] : cut[r + 1]], minlength=b - a).astype("<u4").tobytes() for r in found]
+                found = found.tolist()
+                counts = [np.bincount(text[i:j], minlength=b - a).astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 arrays = [
                     pa.array([r if r < ranges else -1 - (31 * task + chunk) % bins for r in found], pa.int64()),
                     pa.array([task << 28 | chunk] * len(found), pa.int64()),
                     pa.array([key.tobytes() if r == 0 else b"" for r in found], pa.binary()),
                     pa.array([size.astype("<i8").tobytes() if r == 0 else b"" for r in found], pa.binary()),
                     pa.array(counts, pa.binary()),
-                    pa.array([low[cut[r] : cut[r + 1]].tobytes() for r in found], pa.binary()),
-                    pa.array([high[cut[r] : cut[r + 1]].tobytes() for r in found], pa.binary()),
+                    pa.array([low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                    pa.array([high[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "keys", "sizes", "counts", "low", "high"])
                 chunk += 1
@@ -394,10 +400,14 @@ def _linked(docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     often = rows.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
     often = often.groupBy(F.col("x.often").alias("token")).agg(F.sum("x.times").alias("times")).where(F.col("times") >= max(8, rows.count() // HOT_SHARE))
-    hot = np.sort(np.asarray(often.select("token").toArrow().column(0)).view(np.uint64))
+    told = often.toArrow()
+    hot = np.sort(np.asarray(told.column("token")).view(np.uint64))
     ranges = max(parts, -(-total // RANGE_TOKENS))
+    bins = max(parts, -(-sum(told.column("times").to_pylist()) // RANGE_TOKENS))
     one = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(classes.select("rep").distinct(), "rep", "left_semi")
-    shared = _packed(one, shingle, ranges, hot, parts).groupBy("range").applyInArrow(tidy_group(_count), "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
+    # chunks are numbered by the order of rows, so a task that runs again must see the same order
+    one = one.sortWithinPartitions("rep", F.xxhash64("text"))
+    shared = _packed(one, shingle, ranges, hot, bins).groupBy("range").applyInArrow(tidy_group(_count), "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
     active = written(shared.groupBy("chunk").applyInArrow(tidy_group(_prefixes(threshold)), ACTIVE), "active")
     linked = active.select("node", "key", "more", "n").join(_links(active, threshold, parts), "node", "left")
     labels = linked.groupBy("key", "more", "n").agg(F.min(F.coalesce("label", "node")).alias("label"))

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Ids that bounds of ranges are taken from, where ids aren't numbers.
 BOUND_IDS = 10_000
+#: Bytes from which a unit without white space is cut into characters, and characters of one hash.
+LONG_UNIT, GRAM = 96, 6
 PLACE = 24
 LOW = (1 << PLACE) - 1
 
@@ -51,6 +53,17 @@ def _earlier(name: str, x: Column, i: Column) -> Column:
     ).otherwise(F.lit(0))
 
 
+def _unit_hashes(units: Column) -> Column:
+    """A hash a unit; one of more than LONG_UNIT bytes gives one for each of its characters and the GRAM - 1 after it.
+
+    So a text without white space, as in Chinese or Thai, has as many units as characters.
+    """
+    grams = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + k) for k in range(1, GRAM))))
+    long = lambda u: F.octet_length(u) > LONG_UNIT
+    cut = F.flatten(F.transform(units, lambda u: F.when(long(u), grams(F.split(u, ""))).otherwise(F.array(F.xxhash64(u)))))
+    return F.when(F.exists(units, long), cut).otherwise(F.transform(units, lambda u: F.xxhash64(u)))
+
+
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Add out, array<bigint> of entries bucket * 65536 + signature, ascending by place in the sort.
 
@@ -59,7 +72,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     hashes, kmers, many, part = (f"__{out}_{x}" for x in ("hashes", "kmers", "many", "part"))
     keep = df.columns
     blank = F.replace(F.replace(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    df = df.withColumn(hashes, F.transform(F.split(blank, " "), lambda u: F.xxhash64(u)))
+    df = df.withColumn(hashes, _unit_hashes(F.split(blank, " ")))
     # get() past the end is null, which leaves the last unit's own hash
     packed = F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(F.col(hashes), i + 1)).bitwiseAND(F.lit(~LOW)).bitwiseOR(F.least(i, F.lit(LOW)).cast("long")))
     df = df.withColumn(kmers, F.sort_array(packed)).drop(hashes)

@@ -44,6 +44,8 @@ class Bins:
     rule: str = "norm"
 
     def limits(self) -> np.ndarray:
+        if not 0 < self.tokens < 1 << 31:
+            raise ValueError("a sequence holds from 1 to 2**31 - 1 tokens")
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
@@ -142,17 +144,20 @@ def place_pieces(pieces: DataFrame, bins: Bins, order: list[str]) -> DataFrame:
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
     runs = sorted(plan({r["length"]: r["n"] for r in counted}, bins), key=lambda r: (r.length, r.first_rank))
     table = np.array([(r.length, r.first_rank, r.sequence, r.each, r.offset) for r in runs], np.int64).reshape(-1, 5)
-    held = spark.sparkContext.broadcast(table)
+    lengths, first = np.unique(table[:, 0], return_index=True)
+    many = np.array([r.last_rank + 1 for r in runs], np.int64)[np.append(first[1:], len(runs)) - 1] if runs else np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(many)])  # pieces of shorter lengths: a piece's number among all is below their count
+    held = spark.sparkContext.broadcast((table, lengths, before))
     ranked = rank_within(pieces, ["length"], order, "__rank").select(*pieces.columns, "__rank")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = held.value
-        keys = (runs[:, 0] << 44) | runs[:, 1]
+        runs, lengths, before = held.value
+        keys = before[np.searchsorted(lengths, runs[:, 0])] + runs[:, 1]
         for batch in batches:
             size, rank = (np.asarray(batch.column(c), np.int64) for c in ("length", "__rank"))
-            found = runs[np.searchsorted(keys, (size << 44) | rank, "right") - 1]
+            found = runs[np.searchsorted(keys, before[np.searchsorted(lengths, size)] + rank, "right") - 1]
             past = rank - found[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found[:, 2] + past // found[:, 3]), pa.array(found[:, 4] + past % found[:, 3] * size)], names=schema.names)
 
