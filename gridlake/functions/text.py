@@ -141,15 +141,31 @@ def month_word(tab: Column, aliases: list[str]) -> Column:
 
 
 def light_metadata(text: Column, title: Column, path: Column, lang: str = "uz", most: int = 300) -> Column:
-    """struct<title, lang, summary> without a model: the title given, else the first heading, else the file's name."""
+    """struct<title, lang, tags, summary> without a model: the title given, else the first heading, else the file's name."""
     blank_free = lambda c: F.nullif(strip(c), F.lit(""))
-    name = F.coalesce(blank_free(title), first_heading(text), blank_free(file_title(path)))
-    return F.struct(F.substring(name, 1, 120).alias("title"), F.lit(lang).alias("lang"), F.substring(strip(text), 1, most).alias("summary"))
+    name = F.coalesce(blank_free(title), first_heading(text), file_title(path))
+    return _metadata(name, lang, F.array().cast("array<string>"), text, most)
+
+
+#: Title and tag of a day's chat, and the title of a document without any.
+CHAT_TITLE, CHAT_TAG, NO_TITLE = "Suhbat arxivi — ", "suhbat", "Hujjat"
+
+
+def chat_metadata(text: Column, path: Column, lang: str = "uz", most: int = 300) -> Column:
+    """The same of a day's chat, whose title stays the day in the file's name (or that name) while the text grows."""
+    file = F.regexp_extract(path, r"([^/]*)$", 1)
+    day = F.coalesce(F.nullif(F.regexp_extract(file, r"\d{4}-\d{2}-\d{2}", 0), F.lit("")), F.regexp_replace(file, r"(?<=.)\.[^.]*$", ""), F.lit(""))
+    return _metadata(strip(F.concat(F.lit(CHAT_TITLE), day)), lang, F.array(F.lit(CHAT_TAG)), text, most)
+
+
+def _metadata(title: Column, lang: str, tags: Column, text: Column, most: int) -> Column:
+    return F.struct(F.substring(title, 1, 200).alias("title"), F.lit(lang).alias("lang"), tags.alias("tags"), F.substring(strip(text), 1, most).alias("summary"))
 
 
 def file_title(path: Column) -> Column:
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
-    return F.substring(F.translate(stem, "-_", "  "), 1, 120)
+    """The file's name without its suffix, - and _ as blanks."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.nullif(F.substring(strip(F.regexp_replace(stem, "[-_]+", " ")), 1, 120), F.lit("")), F.lit(NO_TITLE))
 
 
 def first_heading(c: Column) -> Column:

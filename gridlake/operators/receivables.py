@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.dates import due_bucket
@@ -70,12 +72,44 @@ def by_owner(rows: DataFrame) -> DataFrame:
     )
 
 
-def owner_items(rows: DataFrame, most: int = 24) -> DataFrame:
-    """The first unpaid items of each owner by due day (none last), as rows with their rank."""
-    from pyspark.sql import Window
-
+def owner_items(rows: DataFrame, today: Column, soon: int = 5, most: int = 24) -> DataFrame:
+    """The first unpaid items of each owner by due day (none last), as rows with rank, bucket, days (late, or left) and paused."""
     order = Window.partitionBy("owner").orderBy(F.asc_nulls_last("due"), "row_no")
-    return rows.where(unpaid(F.col("status"), F.col("outstanding"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    ranked = rows.where(unpaid(F.col("status"), F.col("outstanding"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.withColumn("bucket", due_bucket(F.col("due"), today, soon)).withColumn("days", F.abs(F.date_diff("due", today))).withColumn("paused", F.col("status") == "paused")
+
+
+def prepaid_projects(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """Per owner of subscriptions paid in advance: n, amount, projects (the first `most`, in order of rows)."""
+    pre = rows.where(active_only(F.col("status"), F.col("outstanding"), F.col("prepaid")))
+    place = F.row_number().over(Window.partitionBy("owner").orderBy("row_no"))
+    named = F.collect_list(F.when(F.col("__place") <= most, F.struct("__place", "project")))
+    out = pre.withColumn("__place", place).groupBy("owner").agg(F.count(F.lit(1)).alias("n"), _sum(F.col("prepaid")).alias("amount"), F.array_sort(named).alias("p"))
+    return out.select("owner", "n", "amount", F.col("p.project").alias("projects"))
+
+
+def churn_items(rows: DataFrame, lost: str = "lost") -> DataFrame:
+    """Churned rows with amount (0 unless positive) and flag: "", "empty" or "negative"; none where the tab has no such column."""
+    if lost not in rows.columns:
+        return rows.where("false").withColumns({"amount": F.lit(0.0), "flag": F.lit("")})
+    value = F.coalesce(F.bround(lost, 0), F.lit(0))
+    gone = rows.where("status = 'churned'")
+    return gone.withColumn("amount", F.when(value > 0, value).otherwise(F.lit(0))).withColumn("flag", F.when(value > 0, "").when(value < 0, "negative").otherwise("empty"))
+
+
+def churn_warnings(rows: DataFrame, lost: str = "lost", most: int = 8) -> DataFrame:
+    """kind, n, names (the first `most` by row_no), more: churned rows whose loss is empty or negative, and rows with a
+    loss that aren't churned (mismatch). No rows where the tab has no such column: an old tab isn't wrong."""
+    if lost not in rows.columns:
+        return rows.sparkSession.createDataFrame([], "kind string, n long, names array<string>, more long")
+    value = F.coalesce(F.bround(lost, 0), F.lit(0))
+    gone = F.col("status") == "churned"
+    kind = F.when(gone & (value == 0), "empty").when(gone & (value < 0), "negative").when(~gone & (value > 0), "mismatch")
+    told = rows.select("project", "row_no", kind.alias("kind")).where("kind IS NOT NULL")
+    counts = told.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # three rows
+    first = [told.where(F.col("kind") == k).orderBy("row_no").limit(most) for k in ("empty", "negative", "mismatch")]  # no kind is gathered whole
+    names = reduce(DataFrame.unionByName, first).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("row_no", "project")))["project"].alias("names"))
+    return counts.join(names, "kind").select("kind", "n", "names", (F.col("n") - most).alias("more"))
 
 
 def carry_over(previous: DataFrame, current: DataFrame, name: str, order: str) -> DataFrame:

@@ -293,6 +293,36 @@ def churn_summary(spark, sf_dir):
     return receivables.churn_summary(receivable_rows(spark, sf_dir))
 
 
+_LATE = f"CASE WHEN due IS NULL THEN 'nodate' WHEN due < {TODAY} THEN 'overdue' WHEN due - {TODAY} <= 5 THEN 'soon' ELSE 'future' END"
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY due NULLS LAST, o_orderkey) AS "rank" FROM ({RECEIVABLE}) WHERE {_OPEN})
+ SELECT owner, project, outstanding, {_LATE} AS bucket, abs(due - {TODAY}) AS days, status = 'paused' AS paused, status_blank, "rank" FROM r WHERE "rank" <= 24""")
+def owner_items(spark, sf_dir):
+    rows = receivable_rows(spark, sf_dir).withColumn("row_no", F.col("o_orderkey"))
+    return receivables.owner_items(rows, today()).select("owner", "project", "outstanding", "bucket", "days", "paused", "status_blank", "rank")
+
+
+@query(f"""SELECT owner, count(*) AS n, {_D.format('prepaid')} AS amount, string_agg(project, ',' ORDER BY o_orderkey) AS projects FROM ({RECEIVABLE}) WHERE {_PRE} GROUP BY owner""")
+def prepaid_projects(spark, sf_dir):
+    rows = receivable_rows(spark, sf_dir).withColumn("row_no", F.col("o_orderkey"))
+    return receivables.prepaid_projects(rows).withColumn("projects", F.array_join("projects", ","))
+
+
+@query(f"""SELECT project, owner, CASE WHEN lost > 0 THEN lost ELSE 0 END AS amount, CASE WHEN lost > 0 THEN '' WHEN lost < 0 THEN 'negative' ELSE 'empty' END AS flag FROM ({RECEIVABLE}) WHERE status = 'churned'""")
+def churn_items(spark, sf_dir):
+    rows = receivable_rows(spark, sf_dir)
+    return receivables.churn_items(rows).select("project", "owner", F.col("amount").cast("int").alias("amount"), "flag")
+
+
+@query(f"""WITH k AS (SELECT project, o_orderkey, CASE WHEN status <> 'churned' THEN 'mismatch' WHEN lost < 0 THEN 'negative' ELSE 'empty' END AS kind FROM ({RECEIVABLE}) WHERE status = 'churned' AND coalesce(lost, 0) <= 0 OR status <> 'churned' AND lost > 0),
+ n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY kind) AS n FROM k)
+ SELECT kind, n, string_agg(project, ', ' ORDER BY o_orderkey) AS names, n - 8 AS more FROM n WHERE r <= 8 GROUP BY kind, n""")
+def churn_warnings(spark, sf_dir):
+    rows = receivable_rows(spark, sf_dir).withColumn("row_no", F.col("o_orderkey"))
+    return receivables.churn_warnings(rows).withColumn("names", F.array_join("names", ", "))
+
+
 @query(f"""WITH r AS (SELECT *, {_OPEN} AS is_open, CASE WHEN due IS NULL THEN 'nodate' WHEN due < {TODAY} THEN 'overdue' WHEN due - {TODAY} <= 5 THEN 'soon' ELSE 'future' END AS b FROM ({RECEIVABLE}))
 SELECT count(*) FILTER (is_open AND b = 'overdue') AS overdue_n, {_D.format("CASE WHEN is_open AND b = 'overdue' THEN outstanding END")} AS overdue_sum, count(*) FILTER (is_open AND b = 'soon') AS soon_n, count(*) FILTER (is_open AND b = 'nodate') AS nodate_n, count(*) FILTER (is_open AND b = 'future') AS dropped_n,
  count(*) FILTER (is_open AND status = 'paused') AS paused_n, count(*) FILTER ({_PRE}) AS prepaid_n, count(*) FILTER (is_open AND status_blank) AS blank_status, count(*) FILTER (is_open AND b <> 'future' AND owner IS NULL) AS unowned FROM r""")
@@ -596,34 +626,42 @@ def urgency_labels(spark, sf_dir):
     return receivable_rows(spark, sf_dir).select("o_orderkey", receivables.urgency(today()).alias("label"))
 
 
-def nation_grids(spark, sf_dir, name, head, keep, cells, tail=()):
-    """A grid a region with a row a nation, below a row of its own and a header; nations number 25 at any size."""
-    n = table(spark, sf_dir, "nation").where(keep)
-    rows = n.groupBy(F.col("n_regionkey").cast("string").alias("sheet_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(*(F.expr(c).cast("string") for c in cells)).alias("row")))).alias("r"))
+def order_grids(spark, sf_dir, name, head, keep, cells, tail=()):
+    """A grid of four customers with a row an order, below a row of its own and a header; sheets grow in number with the orders."""
+    sheet = F.floor(F.col("o_custkey") / 4).cast("string").alias("sheet_id")
+    rows = table(spark, sf_dir, "orders").where(keep).groupBy(sheet).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.array(*(F.expr(c).cast("string") for c in cells)).alias("row")))).alias("r"))
     row = lambda x: F.array(*map(F.lit, x))
     grid_rows = F.concat(F.array(row(["list"]), row(head)), F.transform("r", lambda x: x["row"]), *(F.array(row(t)) for t in tail))
     return rows.select("sheet_id", F.lit(name).alias("range"), F.lit(0).alias("ordinal"), grid_rows.alias("grid"))
 
 
-@query("""SELECT CAST(n_regionkey AS VARCHAR) AS sheet_id, count(*) FILTER (p > 0) AS active, CAST(sum(p) AS DOUBLE) AS plan, CAST(sum(a) AS DOUBLE) AS actual, CAST(sum(d) AS DOUBLE) AS delay_days,
+_SHEET = "CAST(CAST(floor(o_custkey / 4) AS BIGINT) AS VARCHAR) AS sheet_id"
+
+
+@query(f"""SELECT sheet_id, count(*) FILTER (p > 0) AS active, CAST(sum(p) AS DOUBLE) AS plan, CAST(sum(a) AS DOUBLE) AS actual, CAST(sum(d) AS DOUBLE) AS delay_days,
  round_even(CASE WHEN sum(p) = 0 THEN 0 ELSE CAST(sum(a) * 100 AS DOUBLE) / CAST(sum(p) AS DOUBLE) END, 1) AS pct, round_even(coalesce(CAST(sum(d) AS DOUBLE) * 3.33 / nullif(count(*) FILTER (p > 0), 0), 0), 2) AS delay_pct
- FROM (SELECT n_regionkey, n_nationkey * 10 AS p, n_nationkey * 7 AS a, n_nationkey % 3 AS d FROM nation) GROUP BY 1""")
+ FROM (SELECT {_SHEET}, o_orderkey % 50 * 10 AS p, o_orderkey % 50 * 7 AS a, o_orderkey % 3 AS d FROM orders) GROUP BY 1""")
 def grid_scorecard(spark, sf_dir):
-    cells = ["n_name", "n_nationkey * 10", "concat(n_nationkey * 7, ' ')", "n_nationkey % 3"]
+    cells = ["concat('loyiha ', o_orderkey)", "o_orderkey % 50 * 10", "concat(o_orderkey % 50 * 7, ' ')", "o_orderkey % 3"]
     ends = (["narvon"], ["below the table", "999", "999", "9"])
-    g = nation_grids(spark, sf_dir, "'Iyul '!A1:BZ1000", ["Proekt nomi", "Kpi ideal bali", "Proekt bali", "Kechga qolgan"], "true", cells, ends)
+    g = order_grids(spark, sf_dir, "'Iyul '!A1:BZ1000", ["Proekt nomi", "Kpi ideal bali", "Proekt bali", "Kechga qolgan"], "true", cells, ends)
     return tables.month_scorecards(g.withColumn("day", today())).drop("day")
 
 
-@query("""WITH a AS (SELECT * FROM nation WHERE n_nationkey % 7 <> 0), b AS (SELECT * FROM nation WHERE n_nationkey % 4 <> 0),
- j AS (SELECT coalesce(a.n_regionkey, b.n_regionkey) AS r, a.n_nationkey AS x, b.n_nationkey AS y FROM a FULL JOIN b ON a.n_nationkey = b.n_nationkey)
- SELECT CAST(r AS VARCHAR) AS sheet_id, count(x) AS rows_prev, count(y) AS rows_now, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed, count(*) FILTER (x IS NOT NULL AND y % 3 = 0) AS changed FROM j GROUP BY 1""")
+_KEYED = """SELECT sheet_id, "key", row_number() OVER (PARTITION BY sheet_id, "key" ORDER BY row_no) AS dup, name, priority FROM (SELECT *, CASE WHEN k = '' THEN concat('(blank key, row ', row_no, ')') ELSE k END AS "key" FROM
+ (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY o_orderkey) + 2 AS row_no FROM ({0})))"""
+_DAY = f"SELECT {_SHEET}, o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat('k', o_orderkey % 30) END AS k, {{0}} AS name, o_orderpriority AS priority FROM orders WHERE {{1}}"
+_MARKED = "CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderstatus, '*') ELSE o_orderstatus END"
+
+
+@query(f"""WITH a AS ({_KEYED.format(_DAY.format("o_orderstatus", "o_orderkey % 7 <> 0"))}), b AS ({_KEYED.format(_DAY.format(_MARKED, "o_orderkey % 4 <> 0"))}),
+ j AS (SELECT coalesce(a.sheet_id, b.sheet_id) AS sheet_id, a.dup AS x, b.dup AS y, a.name <> b.name OR a.priority <> b.priority AS differs FROM a FULL JOIN b ON a.sheet_id = b.sheet_id AND a."key" = b."key" AND a.dup = b.dup)
+ SELECT sheet_id, count(x) AS rows_prev, count(y) AS rows_now, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed, count(*) FILTER (differs) AS changed FROM j GROUP BY 1""")
 def grid_daily_diff(spark, sf_dir):
-    head = ["Key", "Name", "Region"]
-    side = lambda keep, name: nation_grids(spark, sf_dir, "T!A1:C30", head, keep, ["n_nationkey", name, "n_regionkey"]).withColumn("key_column", F.lit("key"))
-    before = side("n_nationkey % 7 <> 0", "n_name")
-    now = side("n_nationkey % 4 <> 0", "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, '*') ELSE n_name END")
-    return commands.daily_diff(now, before)[2].select("sheet_id", "rows_prev", "rows_now", "added", "removed", "changed")
+    head = ["Key", "Name", "Priority"]
+    key = "CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat('k', o_orderkey % 30) END"
+    side = lambda keep, name: order_grids(spark, sf_dir, "T!A1:C30", head, keep, [key, name, "o_orderpriority"]).withColumn("key_column", F.lit("key"))
+    return commands.daily_diff(side("o_orderkey % 4 <> 0", _MARKED), side("o_orderkey % 7 <> 0", "o_orderstatus"))[2].select("sheet_id", "rows_prev", "rows_now", "added", "removed", "changed")
 
 
 def _sql(name: str) -> str:
@@ -651,9 +689,9 @@ def critical_per_sheet(spark, sf_dir):
     return audit.critical_counts(found(spark, sf_dir))
 
 
-@query(FINDINGS + "SELECT o_orderkey, \"key\", level FROM f ORDER BY level <> 'critical', o_orderkey, \"key\", detail LIMIT 500")
+@query(FINDINGS + "SELECT o_orderkey, \"key\", level FROM f")
 def findings_in_order(spark, sf_dir):
-    return audit.by_level(found(spark, sf_dir), "o_orderkey", "key", "detail").select("o_orderkey", "key", "level").limit(500)
+    return audit.by_level(found(spark, sf_dir), "o_orderkey", "key", "detail").select("o_orderkey", "key", "level")
 
 
 @query(f"SELECT owner, unpaid_sum, row_number() OVER (ORDER BY unpaid_sum DESC, owner NULLS LAST) AS place FROM ({_sql('owner_rollup')})")
@@ -710,12 +748,19 @@ def cache_entries(spark, sf_dir):
     return jobs.fresh_entries(cache, F.lit("2024-01-30 12:00:00").cast(cache.schema["stored_at"].dataType), 864000)
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(source), 'src0'), regexp_extract(origin, '([^/]+)[.]md$', 1)) AS title, 'uz' AS lang FROM (SELECT doc_id, source, concat('a/b/doc_', CAST(doc_id AS VARCHAR), '.md') AS origin FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(^|\\n)#'))".replace("regexp_extract(origin, '([^/]+)[.]md$', 1)", "replace(regexp_extract(origin, '([^/]+)[.]md$', 1), '_', ' ')"))
+_ENDS = "regexp_replace(regexp_replace({0}, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')"
+_CHATS = "CASE WHEN doc_id % 9 = 0 THEN 'chat/2024-01-0' || (doc_id % 7 + 1) || '.md' WHEN doc_id % 9 = 1 THEN 'chat/notes.md' ELSE 'a/b/doc_-' || doc_id || '.md' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 3 = 0 THEN source END AS hint, {_CHATS} AS path FROM documents),
+ h AS (SELECT *, {_ENDS.format("regexp_extract(t, '(?m)^#{{1,6}}[ \\t]+([^\\s][^\\n]*)$', 1)")} AS heading FROM d)
+ SELECT doc_id, CASE WHEN path LIKE 'chat/%' THEN 'Suhbat arxivi — ' || coalesce(nullif(regexp_extract(path, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), ''), 'notes') ELSE coalesce(nullif(trim(hint), ''), nullif(heading, ''), concat('doc ', doc_id)) END AS title,
+ 'uz' AS lang, CASE WHEN path LIKE 'chat/%' THEN 'suhbat' ELSE '' END AS tags, left({_ENDS.format("t")}, 300) AS summary FROM h""")
 def document_metadata(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").where(~F.col("text").rlike(r"(^|\n)#"))
-    path = F.concat(F.lit("a/b/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
-    meta = text.light_metadata(F.col("text"), F.nullif(F.trim("source"), F.lit("src0")), path)
-    return docs.select("doc_id", meta.alias("m")).select("doc_id", "m.title", "m.lang")
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.expr(_CHATS)).withColumn("text", F.coalesce("text", F.lit("")))
+    light = text.light_metadata(F.col("text"), F.when(F.expr("doc_id % 3 = 0"), F.col("source")), F.col("path"))
+    meta = F.when(F.startswith("path", F.lit("chat/")), text.chat_metadata(F.col("text"), F.col("path"))).otherwise(light)
+    return docs.select("doc_id", meta.alias("m")).select("doc_id", "m.title", "m.lang", F.array_join("m.tags", ",").alias("tags"), "m.summary")
 
 
 @query("WITH t AS (SELECT o_orderkey, concat('Team ', CAST(o_custkey % 9 AS VARCHAR), CASE WHEN o_orderkey % 3 = 0 THEN ' avgust(2026)' WHEN o_orderkey % 3 = 1 THEN ' Mart x' ELSE ' other' END) AS tab FROM orders) SELECT o_orderkey, trim(regexp_extract(tab, '^(.*?)(avgust|Mart)', 1)) AS prefix, regexp_extract(tab, '(avgust.*|Mart.*)$', 1) AS rest FROM t WHERE o_orderkey % 3 <> 2")
