@@ -393,8 +393,7 @@ def chunks(spark, sf_dir):
 
 @query("SELECT term, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term")
 def fts_terms(spark, sf_dir):
-    per_doc = table(spark, sf_dir, "documents").select("doc_id", F.explode(kb.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("docs"))
+    return kb.term_counts(table(spark, sf_dir, "documents").select(kb.tokens(F.col("text")).alias("tokens")), "tokens")
 
 
 TERMS = ["tionhe", "ungber", "leaux"]
