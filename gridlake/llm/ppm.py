@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import slices, small_batches, text_bytes, tidy
+from gridlake.llm.common import discard, slices, small_batches, text_bytes, tidy, written
 
 UNKNOWN = "und"
 #: Prices looked up at once, over all languages; it bounds the working memory.
 STEP = 1 << 20
+#: Prices that the tables of all languages may hold together (4 bytes each); what is broadcast stays below a GB.
+MOST_PRICES = 100_000_000
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -91,7 +93,8 @@ def train(docs: DataFrame, is_training: Column, lang_col: str = "lang", text_col
     """Count the trees over all training rows with a text and a language.
 
     Counting is a partial count in each task and one aggregation; the driver gets a row for each 4-gram
-    that occurs in a language.
+    that occurs in a language. Their number is looked at first: a ValueError tells where grams times languages
+    are more than MOST_PRICES, so no table of unknown size is collected or broadcast.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(is_training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -116,7 +119,13 @@ def train(docs: DataFrame, is_training: Column, lang_col: str = "lang", text_col
             key, count = folded(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
 
-    found = rows.mapInArrow(tidy(grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = written(rows.mapInArrow(tidy(grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    size = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("languages"), F.sum("n").alias("grams")).first()
+    if (size.grams or 0) * size.languages > MOST_PRICES:
+        discard(counted)
+        raise ValueError(f"{size.grams} grams of {size.languages} languages are more than {MOST_PRICES} prices; train on fewer texts or languages at a time")
+    found = counted.toArrow()
+    discard(counted)
     names = found.column("lang").combine_chunks().dictionary_encode()
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
     known = names.dictionary.to_pylist()

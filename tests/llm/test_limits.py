@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.llm import chat, ngramjoin, ordermin
+from gridlake.llm import chat, ngramjoin, ordermin, ppm
 from gridlake.llm.packing import Bins, place_pieces, plan
 from tests.llm.test_corpus_ops import brute_components, near_copies, rows_of
 
@@ -115,3 +115,11 @@ def test_fingerprints_without_white_space(spark):
     edits = [(0, one), (1, one[:700] + "一丁" + one[700:])]  # two characters more
     near = ordermin.fingerprint_documents(spark.createDataFrame(edits, "doc_id long, text string")).collect()
     assert all(r.near_next > 0.8 for r in near)
+
+
+def test_tables_of_languages_have_a_stated_size(spark, monkeypatch):
+    rows = spark.createDataFrame([("en", "the cat sat on the mat"), ("de", "die katze sitzt auf der matte")], "lang string, text string")
+    assert ppm.train(rows, F.lit(True)).languages == ("de", "en")
+    monkeypatch.setattr(ppm, "MOST_PRICES", 20)
+    with pytest.raises(ValueError, match="2 languages"):
+        ppm.train(rows, F.lit(True))
