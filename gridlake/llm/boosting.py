@@ -93,11 +93,12 @@ def _boost(x: dict[str, np.ndarray], y: np.ndarray, rounds: int, depth: int, rat
     return Boosted(start, tuple(trees), float("inf"))
 
 
-def fit(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.98, least: int = 8) -> Boosted:
+def fit(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.98, least: int = 8, judged: np.ndarray | None = None) -> Boosted:
     """Fit on all rows; calibrate the threshold on margins of rows that a model didn't see, in three folds.
 
     The threshold is the lowest margin from which on the share of right ones stays at or above precision,
-    with least rows selected at least; without one nothing is ever selected.
+    with least rows selected at least; without one nothing is ever selected. judged: the rows that count for
+    it, where others are there to learn from only.
     """
     y = y.astype(float)
     if len(y) < 2 * least or y.min() == y.max():
@@ -107,10 +108,15 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 20, depth: int =
         out = fold == k
         seen = _boost({f: v[~out] for f, v in x.items()}, y[~out], rounds, depth, rate)
         score[out] = seen.margin({f: v[out] for f, v in x.items()})
+    model = _boost(x, y, rounds, depth, rate)
+    if judged is not None:
+        score, y = score[judged], y[judged]
+    if not len(y):
+        return Boosted(model.start, model.trees, float("inf"))
     order = np.argsort(-score, kind="stable")
     right, count = np.cumsum(y[order]), np.arange(1, len(y) + 1)
     good = (right / count >= precision) & np.append(np.diff(score[order]) < 0, True) & (count >= least)
-    model, last = _boost(x, y, rounds, depth, rate), np.flatnonzero(good)
+    last = np.flatnonzero(good)
     if not len(last):
         return Boosted(model.start, model.trees, float("inf"))
     n = int(last[-1])

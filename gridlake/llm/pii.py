@@ -2,12 +2,13 @@
 
 Generators of high recall propose spans of a text: the base patterns, and looser ones for addresses,
 numbers and secrets (long runs of letters and digits). Boosted trees score each loose candidate by its
-format and its context. Each group has its own trees, fitted on a bounded sample with labels that come
-from evidence which the features don't show: whether a base span overlaps an address or a number, while
-its @, its + and its check digit are hidden; whether a naming cue such as token = stands before a secret,
-while the features show its characters alone. So what looks like personal data without the hidden evidence
-is selected too: addresses with (at) and (dot), phones without +, secrets without a name. Candidates above
-a threshold calibrated on held-out ones are added to the base spans, which all stay.
+format and its context. Each group has its own trees, fitted on a bounded sample of the corpus and on
+labelled examples made by rule. A corpus candidate gets a label only where there is evidence: a base span
+overlaps it (its @ and its + are hidden from the features, so what looks alike without them is selected
+too), a long number fails its check digit, an address has no dot, or a secret has or lacks a naming cue such
+as token =. The examples show both labels of what a corpus leaves open: (at) and (dot), phones without +,
+and paths, identifiers, hashes, UUIDs, dates and codes, which are none. Candidates above a threshold
+calibrated on held-out ones are added to the base spans, which all stay.
 
 Matches get their places from split() and regexp_extract_all() of one pattern: the stretches between
 matches and the matches, in turn, make up the text. Patterns are possessive and anchored after the match
@@ -18,10 +19,12 @@ chunks of about the square root of the matches, and overlaps are found by binary
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm import boosting
+from gridlake.llm.pii_examples import examples
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the trees add come after the base ones.
@@ -40,13 +43,15 @@ LOOSE = {
     "number": r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++",
     "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}",
 }
-FEATURES = ("digits", "letters", "capitals", "dots", "groups", "longest", "parens", "chars", "before", "after", "cue", "distinct", "switches")
+FEATURES = ("digits", "letters", "capitals", "dots", "groups", "longest", "parens", "chars", "before", "after", "cue", "distinct", "switches", "slashes", "dashes", "word", "blanks", "first", "form")
 #: Candidates of a group that its trees are fitted on at most, how many of them one text may give, and of how many texts (about).
-SAMPLE = 20_000
+SAMPLE = 4_000
 PER_TEXT = 8
-TEXTS = 40_000
+TEXTS = 10_000
+#: Held-out candidates that a threshold must select at least, and the share of them that must be right.
+LEAST_SELECTED, PRECISION = 50, 0.98
 CUE = r"(?i)(?:tel|phone|fon|call|mobile|fax|mail|contact|card|visa|iban|konto|account|ip|host|server)[^A-Za-z]{0,3}$"
-#: Names that make a following run a secret; labels only, the features of a secret don't show them.
+#: Names that make a following run a secret.
 NAMED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]{0,2}\s{0,2}[\"']?$"
 CONTEXT = 24
 BLOCK = 4096
@@ -158,7 +163,10 @@ def _featurer(group: str):
         kind = F.when(x["d"] >= 13, "card").otherwise("phone") if group == "number" else F.lit(group)
         over = _overlaps_base(x)
         shown, n = x["v"], x["d"]
-        label = x["b"].rlike(NAMED) if group == "secret" else over
+        named = x["b"].rlike(NAMED)
+        none = {"email": F.size(F.regexp_extract_all(shown, F.lit(r"\."), F.lit(0))) == 0, "number": n >= 13}.get(group)
+        # null where nothing tells what the candidate is
+        label = named if group == "secret" else F.when(over, True).when(none, False)
         letters, capitals = F.length(F.regexp_replace(shown, "[^A-Za-z]", "")), F.length(F.regexp_replace(shown, "[^A-Z]", ""))
         runs = F.filter(F.split(shown, "[^0-9]+"), lambda g: g != "")
         features = {
@@ -170,11 +178,18 @@ def _featurer(group: str):
             "longest": F.coalesce(F.array_max(F.transform(runs, lambda g: F.length(g))), F.lit(0)),
             "parens": F.contains(shown, F.lit("(")).cast("int"),
             "chars": F.length(shown),
-            "before": F.lit(0) if group == "secret" else _char_class(F.right(x["b"], F.lit(1))),
-            "after": F.lit(0) if group == "secret" else _char_class(x["a"]),
-            "cue": F.lit(0) if group == "secret" else x["b"].rlike(CUE).cast("int"),
+            "before": _char_class(F.right(x["b"], F.lit(1))),
+            "after": _char_class(x["a"]),
+            "cue": (named if group == "secret" else x["b"].rlike(CUE)).cast("int"),
             "distinct": F.size(F.array_distinct(F.split(shown, ""))),
             "switches": F.size(F.regexp_extract_all(shown, F.lit("[0-9][A-Za-z]|[A-Za-z](?=[0-9])"), F.lit(0))),
+            "slashes": F.length(shown) - F.length(F.replace(shown, F.lit("/"), F.lit(""))),
+            "dashes": F.length(shown) - F.length(F.translate(shown, "-_", "")),
+            "word": F.coalesce(F.array_max(F.transform(F.split(shown, "[^a-z]+"), lambda w: F.length(w))), F.lit(0)),
+            "blanks": F.length(shown) - F.length(F.replace(shown, F.lit(" "), F.lit(""))),
+            "first": F.length(F.regexp_extract(shown, "^[(]?([0-9]*)", 1)),
+            # 1: a date, 2: a UUID, 3: hexadecimal digits only
+            "form": F.when(shown.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.-][0-9]{2}[.-][0-9]{4})"), 1).when(shown.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"), 2).when(shown.rlike("^[0-9a-fA-F]+$"), 3).otherwise(0),
         }
         return F.struct(kind.alias("k"), x["s"].alias("s"), x["e"].alias("e"), over.alias("over"), label.cast("int").alias("y"), *(features[f].cast("int").alias(f) for f in FEATURES))
 
@@ -197,11 +212,11 @@ def _stepper(spans: str, x: Column):
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, texts: int = TEXTS) -> dict[str, boosting.Boosted]:
-    """Trees for each group, fitted on at most sample candidates of about texts distinct texts.
+    """Trees for each group, fitted on at most sample candidates of about texts distinct texts, and on the examples.
 
     Texts are picked by their hash, and each gives PER_TEXT candidates of a group at most, so the sample
-    depends neither on how rows are dealt nor on copies. A group without enough candidates of both labels
-    selects nothing.
+    depends neither on how rows are dealt nor on copies. Candidates without a label are left out. Thresholds are
+    calibrated on candidates that no base span overlaps, since only such are ever added.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     share = min(1.0, texts / max(1, docs.count()))
@@ -214,15 +229,27 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, texts: in
     every = F.concat(*(F.transform(g, _tagged(g)) for g in LOOSE))
     taken = once.select(F.explode(every).alias("c")).select("c.*")
     place = F.row_number().over(Window.partitionBy("g").orderBy("h", "x"))
-    table = taken.withColumn("__r", place).where(F.col("__r") <= sample).select("g", "h", *(F.col(f"x.{f}").alias(f) for f in FEATURES), F.col("x.y").alias("y")).toArrow()
+    table = taken.withColumn("__r", place).where(F.col("__r") <= sample).select("g", "h", *(F.col(f"x.{f}").alias(f) for f in FEATURES), F.col("x.over").cast("int").alias("over"), F.col("x.y").alias("y")).toArrow()
+    table = pa.concat_tables([table, _labelled(docs.sparkSession).select(table.column_names)], promote_options="permissive")
+    table = table.filter(table.column("y").is_valid())
     values = {c: np.asarray(table.column(c)) for c in table.column_names}
     order, out = np.argsort(values["h"], kind="stable"), {}
     for g in LOOSE:
         at = order[values["g"][order] == g]
-        out[g] = boosting.fit({f: values[f][at].astype(float) for f in FEATURES}, values["y"][at].astype(float))
+        out[g] = boosting.fit({f: values[f][at].astype(float) for f in FEATURES}, values["y"][at].astype(float), rounds=40, precision=PRECISION, least=LEAST_SELECTED, judged=values["over"][at] == 0)
     return out
 
 
+def _labelled(spark: SparkSession) -> pa.Table:
+    """The candidates that the examples are about, with their labels."""
+    made = spark.createDataFrame(pa.table(list(zip(*examples(), strict=True)), names=["__text", "g", "from", "to", "label"]))
+    found = with_candidates(with_base(made, "__text"), "__text")
+    one = lambda g: F.get(F.filter(f"__loose_{g}", lambda x: (x["s"] < F.col("to")) & (x["e"] > F.col("from"))), F.lit(0))
+    own = F.coalesce(*(F.when(F.col("g") == g, one(g)) for g in LOOSE))
+    kept = found.select("g", F.xxhash64("__text").alias("h"), F.col("label").cast("int").alias("y"), own.alias("x")).where("x IS NOT NULL AND NOT x.over")
+    return kept.select("g", "h", *(F.col(f"x.{f}").alias(f) for f in FEATURES), F.lit(0).alias("over"), "y").toArrow()
+
+
 def _tagged(group: str):
     return lambda c: F.struct(F.lit(group).alias("g"), c["h"].alias("h"), c["x"].alias("x"))
 
@@ -252,7 +279,8 @@ def _kinded(kind: str):
 def _chooser(model: boosting.Boosted):
     if not np.isfinite(model.threshold):
         return lambda x: F.lit(False)
-    return lambda x: ~x["over"] & (model.margin_column(lambda f: x[f]) >= F.lit(model.threshold))
+    # where evidence speaks against a candidate the trees aren't asked
+    return lambda x: ~x["over"] & (F.coalesce(x["y"], F.lit(1)) == 1) & (model.margin_column(lambda f: x[f]) >= F.lit(model.threshold))
 
 
 def joined(spans: Column) -> Column:
