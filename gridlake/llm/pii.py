@@ -47,7 +47,7 @@ FEATURES = ("digits", "letters", "capitals", "dots", "groups", "longest", "paren
 #: Candidates of a group that its trees are fitted on at most, how many of them one text may give, and of how many texts (about).
 SAMPLE = 4_000
 PER_TEXT = 8
-TEXTS = 10_000
+TEXTS = 4_000
 #: Held-out candidates that a threshold must select at least, and the share of them that must be right.
 LEAST_SELECTED, PRECISION = 50, 0.98
 CUE = r"(?i)(?:tel|phone|fon|call|mobile|fax|mail|contact|card|visa|iban|konto|account|ip|host|server)[^A-Za-z]{0,3}$"
