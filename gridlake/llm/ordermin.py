@@ -58,9 +58,10 @@ def _unit_hashes(units: Column) -> Column:
 
     So a text without white space, as in Chinese or Thai, has as many units as characters.
     """
-    grams = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + k) for k in range(1, GRAM))))
+    of = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + k) for k in range(1, GRAM))))
+    grams = lambda u: F.flatten(F.transform(F.array(F.split(u, "")), of))  # noqa: E731  split once: a lambda's own name for it
     long = lambda u: F.octet_length(u) > LONG_UNIT
-    cut = F.flatten(F.transform(units, lambda u: F.when(long(u), grams(F.split(u, ""))).otherwise(F.array(F.xxhash64(u)))))
+    cut = F.flatten(F.transform(units, lambda u: F.when(long(u), grams(u)).otherwise(F.array(F.xxhash64(u)))))
     return F.when(F.exists(units, long), cut).otherwise(F.transform(units, lambda u: F.xxhash64(u)))
 
 
