@@ -236,7 +236,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, texts: in
     order, out = np.argsort(values["h"], kind="stable"), {}
     for g in LOOSE:
         at = order[values["g"][order] == g]
-        out[g] = boosting.fit({f: values[f][at].astype(float) for f in FEATURES}, values["y"][at].astype(float), rounds=40, precision=PRECISION, least=LEAST_SELECTED, judged=values["over"][at] == 0)
+        out[g] = boosting.fit({f: values[f][at].astype(float) for f in FEATURES}, values["y"][at].astype(float), rounds=20, precision=PRECISION, least=LEAST_SELECTED, judged=values["over"][at] == 0)
     return out
 
 
