@@ -1,4 +1,8 @@
-"""Connected components of a table of edges, by local contraction and alternating large and small stars."""
+"""Connected components of a table of edges, by local contraction and alternating large and small stars.
+
+What contraction leaves is finished by one task where it is at most MOST_AT_ONCE edges: rounds of joins
+over a few edges cost the driver more memory for plans, stages and threads than the edges take.
+"""
 
 from __future__ import annotations
 
@@ -53,6 +57,8 @@ def contract(edges: DataFrame) -> DataFrame:
 #: Rows of one node that a join may gather; nodes with more are few enough to broadcast.
 MOST_OF_NODE = 1000
 MOST_HOT = 100_000
+#: Edges, of 16 bytes, that one task finishes; more take rounds of stars.
+MOST_AT_ONCE = 50_000
 
 
 def _attached(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -70,7 +76,7 @@ def _attached(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return rows.join(hot, "a").unionByName(rows.join(hot, "a", "left_anti").join(mild, "a"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_once: int = MOST_AT_ONCE) -> DataFrame:
     """(node, label) of the nodes that aren't the smallest of their component; label is the smallest.
 
     Edges are columns a and b, longs that aren't null; loops and repeated edges do no harm. Each round is
@@ -79,6 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
     small_batches(edges.sparkSession)
     now = written(contract(edges.where("a <> b")), "edges")
     total = now.count()
+    if total <= at_once:
+        return contract(now.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("label"))
     seen = None
     while True:
         both = now.select("a", "b").union(now.select("b", "a"))

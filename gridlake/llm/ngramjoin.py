@@ -410,7 +410,8 @@ def _linked(docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col
     shared = _packed(one, shingle, ranges, hot, bins).groupBy("range").applyInArrow(tidy_group(_count), "chunk long, keys binary, sizes binary, texts binary, tokens binary, levels binary")
     active = written(shared.groupBy("chunk").applyInArrow(tidy_group(_prefixes(threshold)), ACTIVE), "active")
     linked = active.select("node", "key", "more", "n").join(_links(active, threshold, parts), "node", "left")
-    labels = linked.groupBy("key", "more", "n").agg(F.min(F.coalesce("label", "node")).alias("label"))
+    # read twice below; written, the last plan is half as large
+    labels = written(linked.groupBy("key", "more", "n").agg(F.min(F.coalesce("label", "node")).alias("label")), "labels")
     # by class: the smallest representative in its component; labels are not negative
     alone = F.col("key").bitwiseOR(F.lit(-(1 << 63)))
     named = classes.join(labels, ["key", "more", "n"], "left").withColumn("label", F.coalesce("label", alone))

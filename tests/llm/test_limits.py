@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.llm import chat, ngramjoin, ordermin, ppm
+from gridlake.llm import chat, components, ngramjoin, ordermin, ppm
+from gridlake.llm.common import written
 from gridlake.llm.packing import Bins, place_pieces, plan
 from tests.llm.test_corpus_ops import brute_components, near_copies, rows_of
 
@@ -123,3 +124,15 @@ def test_tables_of_languages_have_a_stated_size(spark, monkeypatch):
     monkeypatch.setattr(ppm, "MOST_PRICES", 20)
     with pytest.raises(ValueError, match="2 languages"):
         ppm.train(rows, F.lit(True))
+
+
+def test_few_edges_are_finished_by_one_task_and_many_by_stars(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, 1000 + i) for i in range(300)], "a long, b long").repartition(5)
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, tag: tables.append(tag) or written(df, tag))
+    few, rounds = ({r.node: r.label for r in components.components(edges, at_once=n).collect()} for n in (components.MOST_AT_ONCE, 0))
+    assert few == rounds and len(few) > 300
+    tables.clear()
+    components.components(edges)
+    assert tables == ["edges"]
