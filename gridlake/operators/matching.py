@@ -59,6 +59,34 @@ class Automaton:
         return [self.words[i] for i in out]
 
 
+#: Tokens, and their longest length, whose words a task remembers.
+TOLD_TOKENS, TOLD_LENGTH = 100_000, 64
+
+
+class Searcher:
+    """The words in texts. Words without a blank lie within a token, so each distinct token is searched once for them."""
+
+    def __init__(self, words: list[str]):
+        spaced = [w for w in words if " " in w]
+        self.whole = Automaton(spaced) if spaced else None
+        self.parts = Automaton([w for w in words if " " not in w])
+        self.told: dict[str, list[str]] = {}
+
+    def found(self, text: str) -> list[str]:
+        """The distinct words in text, in any order."""
+        out = dict.fromkeys(self.whole.found(text) if self.whole else [])
+        for token in dict.fromkeys(text.split(" ")):
+            known = self.told.get(token)
+            if known is None:
+                known = self.parts.found(token)
+                if len(token) <= TOLD_LENGTH:
+                    if len(self.told) >= TOLD_TOKENS:
+                        self.told.clear()
+                    self.told[token] = known
+            out.update(dict.fromkeys(known))
+        return list(out)
+
+
 def contained_words(texts: DataFrame, words: DataFrame, text: str = "q", word: str = "word") -> DataFrame:
     """texts, once for each distinct word that occurs in text, with the word; null texts and words, and empty words, match nothing.
 
@@ -75,7 +103,7 @@ def contained_words(texts: DataFrame, words: DataFrame, text: str = "q", word: s
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Automaton(shared.value)
+        known = Searcher(shared.value)
         for batch in batches:
             yield batch.map(lambda t: known.found(t) if t else [])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def tab_index(tabs: DataFrame, norm=text.norm) -> DataFrame:
     return named.withColumn("month", number[F.regexp_extract("__m.rest", r"^([^( ]*)", 1)]).withColumn("prefix", F.col("__m.prefix")).drop("__m")
 
 
-def match_tabs(asked: DataFrame, tabs: DataFrame, group_most: int = GROUP_TABS, most: int = WORKBOOK_TABS) -> tuple[DataFrame, DataFrame]:
+def match_tabs(asked: DataFrame, tabs: DataFrame, group_most: int = GROUP_TABS, most: int = WORKBOOK_TABS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, tag: df) -> tuple[DataFrame, DataFrame]:
     """(chosen, notes) for many questions and workbooks at once.
 
     asked: a row for each question and workbook it is put to: id, workbook, q (normalised), months (numbers in
@@ -87,21 +89,27 @@ def match_tabs(asked: DataFrame, tabs: DataFrame, group_most: int = GROUP_TABS,
     was taken), "capped" (more than group_most, the last were taken) and "missing" (asked months aren't there).
 
     The words of titles and prefixes are an index: texts are searched once for all words, and hits meet tabs by
-    equality of workbook and word. A group, like a workbook, is as long as its list of tabs.
+    equality of workbook and word. A group, like a workbook, is as long as its list of tabs. Workbooks that no
+    question is put to drop out first. keep(df, tag) may write what is read many times (tabs, questions without
+    their texts, hits) and read it back.
     """
     at, key = ["workbook"], ["id", "workbook"]
+    tabs = keep(tabs.join(asked.select(*at).distinct(), at, "left_semi"), "tabs")
+    texts = asked.select(*key, "q")
+    asked = keep(asked.withColumn("test", F.contains("q", F.lit("test"))).drop("q"), "asked")
     many = F.size("months") > 0
     words = lambda c, least: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.char_length(w) >= least))
     by_prefix = tabs.where("month IS NOT NULL AND prefix <> ''").select(*at, "prefix", F.explode(words(F.col("prefix"), 3)).alias("word")).distinct()
     names = words(F.col("name"), 5)
     by_name = tabs.select(*at, "title", "ord", "month", F.explode(F.array_except(names, F.array(*map(F.lit, dates.MONTHS)))).alias("word"))
-    hits = contained_words(asked.select("id", "q").distinct(), by_prefix.select("word").union(by_name.select("word")))
-    pairs = asked.drop("q").join(hits.select("id", "word"), "id")
+    told = by_prefix.select(*at, "word").union(by_name.select(*at, "word")).distinct()
+    hits = contained_words(texts, told.select("word")).drop("q").join(told, [*at, "word"], "left_semi")
+    pairs = keep(hits.select(*key, "word"), "hits")
 
-    test_named = F.contains("q", F.lit("test"))
+    test_named = F.col("__test")
     tab = F.struct("ord", "month", "title", F.contains("name", F.lit("test")).alias("test"))
     groups = tabs.where("month IS NOT NULL AND prefix <> ''").groupBy(*at, "prefix").agg(F.array_sort(F.collect_list(tab)).alias("tabs"))
-    named = pairs.join(by_prefix, [*at, "word"]).select(*key, "prefix").distinct().join(groups, [*at, "prefix"]).join(asked, key)
+    named = pairs.join(by_prefix, [*at, "word"]).select(*key, "prefix").distinct().join(groups, [*at, "prefix"]).join(asked.withColumnRenamed("test", "__test"), key)
     named = named.withColumn("available", F.array_distinct(F.transform("tabs", lambda t: t["month"])))
     fallback = F.when(F.array_contains("available", F.col("current")), F.col("current")).otherwise(F.element_at("available", -1))
     wanted = F.when(many, F.array_intersect("months", "available")).otherwise(F.array(fallback))
@@ -120,7 +128,7 @@ def match_tabs(asked: DataFrame, tabs: DataFrame, group_most: int = GROUP_TABS,
     from_groups = named.select(*key, F.get("tabs", F.lit(0))["ord"].alias("group_ord"), F.explode(taken).alias("t"))
 
     by_group = named.select(*key).distinct().withColumn("by_group", F.lit(True))
-    marked = asked.drop("q").join(by_group, key, "left").na.fill(False, ["by_group"])
+    marked = asked.drop("test").join(by_group, key, "left").na.fill(False, ["by_group"])
     month_names = F.array(*(F.struct(F.lit(i).alias("month"), F.lit(m).alias("word")) for i, m in enumerate(dates.MONTHS, 1)))
     spelled = tabs.select(*at, "title", "name", "ord", F.explode(F.filter(month_names, lambda m: F.contains(F.col("name"), m["word"]))).alias("m"))
     plain, about = F.col("name") == F.col("m.word"), F.contains("name", F.lit(MANAGERS))

@@ -126,3 +126,29 @@ def test_limits_of_groups_and_workbooks(spark):
 def test_normal_questions(spark):
     q = spark.createDataFrame([("  Oʻzbek  ‘SMM’ `x` ",)], "q string").select(routing.normal_question(F.col("q")), routing.normal_question(F.col("q"), text.norm_ascii)).first()
     assert q[0] == "o'zbek ‘smm' 'x'" == q[1]
+
+
+def test_a_token_is_searched_once_for_all_words_without_blanks(monkeypatch):
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choices("abc ", k=rng.randint(1, 5))) for _ in range(300)})
+    known, searched, plain = matching.Searcher(words), [], matching.Automaton.found
+    monkeypatch.setattr(matching.Automaton, "found", lambda self, t: searched.append(t) or plain(self, t))
+    for _ in range(100):
+        q = "".join(rng.choices("abc  ", k=rng.randint(0, 60)))
+        found = known.found(q)
+        assert sorted(found) == [w for w in words if w in q] and len(found) == len(set(found))
+    known = matching.Searcher(["ab", "cab"])
+    searched.clear()
+    assert [sorted(known.found("xcab ab cab")) for _ in range(50)] == [["ab", "cab"]] * 50
+    assert sorted(searched) == ["ab", "cab", "xcab"]
+
+
+def test_what_is_read_many_times_is_kept_without_texts_and_other_workbooks(spark):
+    asked = spark.createDataFrame([(1, "b1", "smm va boshqalar iyul", [7], 7, []), (2, "b2", "savdo qancha", [], 7, None)], ASKED)
+    tabs = tabs_of(spark, {"b1": ["SMM iyul", "Main"], "b2": ["Savdo iyun"], "b3": ["Savdo iyul", "smm x"]})
+    kept = {}
+    plain = routing.match_tabs(asked, tabs)
+    chosen, notes = routing.match_tabs(asked, tabs, keep=lambda df, tag: kept.setdefault(tag, df))
+    assert sorted(chosen.collect()) == sorted(plain[0].collect()) and sorted(map(str, notes.collect())) == sorted(map(str, plain[1].collect()))
+    assert "q" not in kept["asked"].columns and {r.workbook for r in kept["tabs"].collect()} == {"b1", "b2"}
+    assert {(r.id, r.workbook, r.word) for r in kept["hits"].collect()} == {(1, "b1", "smm"), (2, "b2", "savdo")}
